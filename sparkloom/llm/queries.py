@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, toxicity, warc
+from . import decontaminate, language, packing, quality, simhash, toxicity, urls, warc
 from .common import fold, scratch_path, table
 
 
@@ -32,6 +32,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+URL_RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out_fold=(5, 0)))
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
+    "op6_urls": op6_urls,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
