@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,46 +13,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Words whose ids a worker remembers, by the library's own encoding; all are forgotten when there are so many.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Sequence ids of a partition start at its number times this.
 SEQUENCES = 1 << 32
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?= )")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own for the whole text.
 
     The vocabulary lower-cases, drops white space and never joins over it, so ids of a text are those of
-    its space-separated parts in turn; parts are looked up in a cache.  A text that may hold a special
-    token's string, and a part over 200 bytes, goes to the tokenizer as it is.
+    its space-separated parts in turn, which this dictionary remembers.  Between an ASCII letter and
+    a full stop or comma no piece joins either, so such a part is put together from both.  A text that
+    may hold a special token's string goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __missing__(self, part: bytes) -> bytes:
+        if part.isalpha():  # of ASCII letters alone: the rules before the model change nothing
+            ids = [x.id for x in self.model.tokenize(part.decode())]
+        elif part[-1:] in (b".", b",") and part[-2:-1].isalpha():
+            return self._keep(part, self[part[:-1]] + self[part[-1:]])
+        else:
+            ids = self.tokenizer.encode(part.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        return self._keep(part, _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes())
+
+    def _keep(self, part: bytes, ids: bytes) -> bytes:
+        if len(part) <= 200:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[part] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        parts: list[list[bytes] | None] = []
+        out = []
         for text in texts:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            plain = b"<|" not in raw
-            parts.append(_STOP.sub(rb" \1", raw.lower().replace(b"\n", b" ")).split(b" ") if plain else None)
-        ids = self.ids
-        new = list({w for p in parts if p is not None for w in p if w not in ids})
-        own = {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, self._encode([w.decode("utf-8", "surrogatepass") for w in some]), strict=True):
-                (ids if len(w) <= 200 else own)[w] = e
-        if own:
-            return [b"".join([own[w] if len(w) > 200 else ids[w] for w in p]) if p is not None else self._encode([t])[0] for p, t in zip(parts, texts, strict=True)]
-        return [b"".join([ids[w] for w in p]) if p is not None else self._encode([t])[0] for p, t in zip(parts, texts, strict=True)]
+            if b"<|" in raw:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(self.__getitem__, raw.lower().replace(b"\n", b" ").split(b" "))))
+        return out
 
 
 @lru_cache(2)
