@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +64,20 @@ class ToxicityModel:
         return [x for x in self._sentence_scores(text) if x[2] >= least]
 
 
-def train(bags: list[list[list[bytes]]], labels: list[int], max_words: int = FIT_WORDS, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
+class _Bags(Sequence):
+    """Documents as bytes, a sentence a line; split when they are read, so that the words aren't all held at once."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, k: int) -> list[list[bytes]]:
+        return [s.split(b" ") for s in self.raw[k].split(b"\n")] if self.raw[k] else []
+
+
+def train(bags: Sequence[list[list[bytes]]], labels: list[int], max_words: int = FIT_WORDS, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
     """Sentence weights from document labels, by gradient descent on the noisy-or likelihood.
 
     ``bags`` has the words of each sentence of each document.  Words are chosen by how far the number
@@ -135,8 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(split, "id long, y int, bag binary").limit(2 * max_rows).toArrow()
     order = np.lexsort([got.column("y").to_numpy(), got.column("id").to_numpy()])
     bag, y = got.column("bag"), got.column("y")
-    bags = [[s.split(b" ") for s in x.split(b"\n")] if (x := bag[int(k)].as_py()) else [] for k in order]
-    return train(bags, [int(y[int(k)].as_py() > 0) for k in order])
+    return train(_Bags([bag[int(k)].as_py() for k in order]), [int(y[int(k)].as_py() > 0) for k in order])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
