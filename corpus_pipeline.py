@@ -5,19 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import quality
+from sparkloom.llm import decontaminate, lines, packing, quality, simhash
 from sparkloom.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the trees pass."""
+    """Documents that the base rules and the trees pass, unchanged."""
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that repeat an earlier one exactly or nearly; n_chars follows the text."""
+    return _counted(lines.remove_duplicate_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at 2 or fewer differing fingerprint bits the one with the smallest id."""
+    return simhash.keep_one(docs, width=3, seed=42, radius=2)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window of 10 words."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10, action="remove_documents")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all that is left, in sequences of at most 2048 tokens."""
+    return packing.pack(docs, size=2048, end_id=1)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
 #: A trained model decides in the first stage, which SQL can't express; the stages are tested against brute force.
 ORACLE_SQL = None

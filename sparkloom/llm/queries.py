@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, toxicity, urls, warc
+from . import decontaminate, language, lines, packing, quality, simhash, toxicity, urls, warc
 from .common import fold, scratch_path, table
 
 
@@ -51,6 +51,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trees)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.withColumn("n_lines", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long"))
+    found = lines.remove_duplicate_lines(counted, report=True)
+    removed = F.coalesce("_removed", F.expr("cast(array() as array<int>)"))
+    return found.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, seed=42, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
 
