@@ -7,38 +7,69 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, lookup, saved
+from .common import lookup, saved
 from .components import connected_components
 
 
 @dataclass(frozen=True)
 class LineOptions:
-    """Character shingles of ``width``: one at each word start, and one at each character of a word from its
-    (width + 1)-th on.  ``bands`` of ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with
-    probability 1 - (1 - 0.8 ** rows) ** bands (0.996 as set; 0.9998 at 0.9). Lines of under ``min_shingles`` are
-    similar only if they have the same shingles, so they are compared as whole lines. ``broadcast_rows`` bounds what
-    is broadcast; beyond, the same join is shuffled."""
+    """Character shingles of ``width``, one at the start of each word of ``min_word`` characters or more; where words
+    have over ``long_word`` characters on average (as in scripts without spaces) one at each character from the
+    (width + 1)-th of a word on as well.  ``bands`` of ``rows`` minima each are the signature: at a similarity of 0.8
+    a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.985 as set; 0.9997 at 0.9).  Lines of
+    under ``min_shingles`` are compared as whole lines. ``broadcast_rows`` bounds what is broadcast; beyond,
+    the same join is shuffled."""
 
     width: int = 8
+    min_word: int = 4
+    long_word: int = 24
     bands: int = 8
-    rows: int = 3
+    rows: int = 4
     similarity: float = 0.8
     min_shingles: int = 5
     broadcast_rows: int = 500_000
 
 
-def _shingles(line: Column, width: int) -> Column:
-    padded = F.concat(line, F.lit(" " * (width - 1)))
-    return F.regexp_extract_all(padded, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{width}}}))(?=(\S.{{{width - 1}}}))"), F.lit(1))
+SKETCH = 4  # words of 64 bits
+
+
+def _shingles(line: Column, o: LineOptions) -> Column:
+    text = F.concat(F.lit(" "), line, F.lit(" " * (o.width - 1)))
+    start = rf"(\S{{{o.min_word}}}.{{{o.width - o.min_word}}})"
+    at_words = F.regexp_extract_all(text, F.lit(rf"(?s)\s(?={start})"), F.lit(1))
+    dense = F.regexp_extract_all(text, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{o.width}}}))(?={start})"), F.lit(1))
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" ")))
+    return F.when((spaces + 1) * o.long_word < F.length(line), dense).otherwise(at_words)
+
+
+def _sketch(shingles: Column) -> list[Column]:
+    """XOR of one bit for each shingle: sketches of two sets differ in no more bits than the sets in shingles."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(SKETCH - 1)
+
+    def fold(w: int) -> Column:
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda s, x: F.when(word(x) == w, s.bitwiseXOR(bit(x))).otherwise(s)).alias(f"k{w}")
+
+    return [fold(w) for w in range(SKETCH)]
+
+
+def _may_be_similar(a: str, b: str, o: LineOptions) -> Column:
+    """False only for sets below the similarity: their symmetric difference is at most (1 - s) / (1 + s) of both sizes."""
+    differ = sum((F.bit_count(F.col(f"{a}k{w}").bitwiseXOR(F.col(f"{b}k{w}"))) for w in range(SKETCH)), F.lit(0))
+    return differ <= F.floor((1 - o.similarity) / (1 + o.similarity) * (F.col(f"{a}size") + F.col(f"{b}size")) + 1e-9)
+
+
+def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(key if c == "h" else f"{prefix}{c}") for c in df.columns])
 
 
 def _masks(n: int) -> list[int]:
-    """``n`` spread-out 63-bit numbers, from one rule."""
+    """``n`` spread-out 31-bit numbers, from one rule."""
     out, x = [], 0
     for _ in range(n):
         x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
         z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-        out.append((z ^ (z >> 31)) >> 1)
+        out.append((z ^ (z >> 31)) >> 33)
     return out
 
 
@@ -54,7 +85,7 @@ def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     All is folded by the line's hash before the shuffle, so neither a line that a third of all documents
     hold nor its text is sent more than once a task.
     """
-    each = occ.select("doc", "h", F.posexplode_outer(_shingles(F.col("line"), o.width)).alias("k", "s")).select("doc", "h", "k", F.xxhash64("s").alias("x"))
+    each = occ.select("doc", "h", F.posexplode_outer(_shingles(F.col("line"), o)).alias("k", "s")).select("doc", "h", "k", F.hash("s").alias("x"))
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(o.bands * o.rows))]
     folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("n"), F.max("k").alias("last"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)])
@@ -67,53 +98,67 @@ def _few(df: DataFrame, o: LineOptions) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
-    a = sets.select(F.col("h").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("h").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= o.similarity * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
-
-
-def similar_lines(occ: DataFrame, known: DataFrame, o: LineOptions) -> DataFrame:
-    """``(node, component)`` of distinct lines that are similar to another one.
-
-    Lines that share a band are candidates. They are first held against the smallest of their band; lines
-    found similar are then one component.  Where a band has several components left, its lines are
-    held against the next 8, 64, 512 ... of other components, until every pair of a band is either in one
-    component or was compared: the number of pairs stays in proportion to the lines, and no candidate is dropped.
+    """The pairs (a, b, and other columns) whose shingle sets are similar enough."""
+    ends = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h"), "ends")
+    here = sets.join(_few(ends, o), "h", "left_semi")
+    left = pairs.join(_named(here, "a_", "a"), "a")
+    right = _named(here, "b_", "_b")
+    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
+    return both.where(F.col("shared") >= o.similarity * (F.col("a_size") + F.col("b_size") - F.col("shared"))).select(pairs.columns)
+
+
+def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
+    """``(h, component)`` of distinct lines that are similar to another one.
+
+    Lines that share a band are candidates.  Those of a band are first held against the one of them that
+    shares most bands with most lines, as the original of many near copies does; what is found similar is
+    then one component.  Where a band has several components left, its lines are held against the next 8, 64,
+    512 ... of other components, until each pair of a band either is in one component or was compared.
+    Sketches are compared inside the join, so that only pairs leave it that may reach the similarity: near
+    copies of one text take pairs in proportion to their number, and no candidate is dropped.
     """
     banded = known.where("bands is not null").select(F.explode("bands").alias("band"), "h")
     groups = saved(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("m")).where("m > 1"), "groups")
-    large = saved(groups.where("m > 2").select("band", "low", "m"), "large")
+    large = saved(groups.where("m > 2").select("band", "m"), "large")
     if (n := large.count()) <= o.broadcast_rows:
         members = banded.join(F.broadcast(large), "band")
     else:
-        members = lookup(banded, large.withColumn("weight", F.col("m")), "band", "weight", "h", large.agg(F.sum("m")).first()[0]).where("low is not null")
-    members = saved(members.select("band", "h", "low", "m"), "members")
-    pairs = groups.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b")))
-    pairs = saved(pairs.distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h")
+        members = lookup(banded, large.withColumn("weight", F.col("m")), "band", "weight", "h", large.agg(F.sum("m")).first()[0]).where("m is not null")
+    members = saved(members.select("band", "h", "m"), "members")
+    central = members.groupBy("h").agg(F.sum("m").alias("degree"))
+    members = saved(members.join(central, "h").select("band", "h", "m", F.struct((-F.col("degree")).alias("d"), F.col("h").alias("h")).alias("place")), "placed")
+    first = members.groupBy("band").agg(F.min("place")["h"].alias("a"))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = members.select("band", F.col("h").alias("b")).join(first, "band").where("a <> b").select(*ordered("a", "b"))
+    pairs = saved(groups.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(star).distinct(), "pairs")
+    wanted = members.select("h").union(groups.where("m = 2").select(F.explode(F.array("low", "high")))).distinct()
     wanted = saved(wanted.join(known.select("h", "first_doc"), "h"), "wanted")
-    texts = occ.join(_few(wanted, o), "h").where("doc = first_doc").groupBy("h").agg(F.min("line").alias("line"))
-    sets = saved(texts.select("h", F.array_distinct(F.transform(_shingles(F.col("line"), o.width), lambda s: F.xxhash64(s))).alias("set")), "sets")
-    edges = saved(_verified(pairs, sets, o), "edges")
-    found = saved(connected_components(edges), "components")
+    carriers = saved(wanted.select(F.col("first_doc").alias(id_col)).distinct(), "carriers")
+    split = docs.join(_few(carriers, o), id_col, "left_semi").select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
+    texts = split.withColumn("h", F.xxhash64("line")).join(_few(wanted, o), "h").where("doc = first_doc")
+    sets = saved(texts.select("h", F.array_distinct(F.transform(_shingles(F.col("line"), o), lambda s: F.xxhash64(s))).alias("set")), "shingles")
+    sets = saved(sets.select("h", "set", F.size("set").alias("size"), *_sketch(F.col("set"))), "sets")
+    found = saved(connected_components(_verified(pairs, sets, o)).withColumnRenamed("node", "h"), "components")
     ranked, done = None, 1
     while n:
-        labels = found.select(F.col("node").alias("h"), "component")
-        named = (members if ranked is None else ranked).join(labels, "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
+        named = (members if ranked is None else ranked).join(found, "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
         open_ = named.where(F.col("m") > done).groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        named = Saved(named.join(open_, "band", "left_semi"), "open").df
+        named = saved(named.join(open_, "band", "left_semi"), "open")
         if named.isEmpty():
             break
         if ranked is None:
-            named = saved(named.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("h"))), "ranked")
+            rank = F.row_number().over(Window.partitionBy("band").orderBy("place"))
+            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop("set"), "h"), "ranked")
         ranked, until = named.drop("label"), done * 8 + 1
-        pivots = named.where((F.col("rank") > done) & (F.col("rank") <= until)).select("band", F.col("h").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        others = named.select("band", F.col("h").alias("b"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        more = pivots.join(others, "band").where("rb > ra and la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = saved(edges.union(_verified(more, sets, o)), "edges")
-        found = saved(connected_components(edges), "components")
-        done = until
+        pivots = named.where((F.col("rank") > done) & (F.col("rank") <= until))
+        near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", o)
+        more = _named(pivots, "a_", "ha").join(_named(named, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
+        more = saved(more.select(*ordered("ha", "hb"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "pairs")
+        merged = connected_components(_verified(more, sets, o).select("la", "lb").distinct(), "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
+        merged = saved(merged, "merged")
+        both = found.select("h", F.col("component").alias("label")).join(merged, "label", "left").select("h", F.coalesce("to", "label").alias("component"))
+        alone = merged.select(F.col("label").alias("h"), F.col("to").alias("component")).join(found, "h", "left_anti")
+        found, done = saved(both.union(alone), "components"), until
     return found
 
 
@@ -125,8 +170,8 @@ def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str
     """
     occ = occurrences(docs, id_col, text_col)
     known = saved(signatures(occ, o), "lines")
-    graph = similar_lines(occ, known, o)
-    named = known.select("h", "first_doc", "n").join(graph.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")
+    graph = similar_lines(docs, known, o, id_col, text_col)
+    named = known.select("h", "first_doc", "n").join(graph, "h", "left").where("n > 1 or component is not null")
     named = saved(named.withColumn("component", F.coalesce("component", "h")), "named")
     first = named.groupBy("component").agg(F.min("first_doc").alias("keep_doc"))
     classes = saved(named.join(first, "component").select("h", "n", "component", "keep_doc"), "classes")
