@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, packing, quality, simhash, toxicity, urls, warc
+from . import decontaminate, language, lines, packing, quality, simhash, substrings, toxicity, urls, warc
 from .common import fold, scratch_path, table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate_substrings(table(spark, sf_dir, "documents"), substrings.SubstringOptions(length=200))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination_digest(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10))
@@ -65,6 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
