@@ -213,32 +213,46 @@ def _chunks(table: DataFrame, places: DataFrame, o: SubstringOptions) -> DataFra
 def _with_bytes(table: DataFrame, chunks: DataFrame, o: SubstringOptions) -> DataFrame:
     """Mixed chunks with their bytes before and after the core (``left``, ``right``)."""
 
-    def make(text: str, th: int, n: int, ck: list[int], cr: list[int], s: list[int], a: list[int], w: list[int], m: list[int]):
+    def make(text: str, th: int, n: int, ck: list[int], s: list[int], a: list[int], w: list[int], m: list[int]):
         raw = _bytes(text)
         left = [raw[x : x + y] for x, y in zip(s, a, strict=True)]
         right = [raw[x + y + o.core : x + z - 1 + o.length] for x, y, z in zip(s, a, w, strict=True)]
         long = pa.int64()
-        return pa.array(ck, long), pa.array(cr, long), _many(th, len(s)), _many(n, len(s)), pa.array(s, long), pa.array(a, long), pa.array(w, long), pa.array(m, long), pa.array(left, pa.binary()), pa.array(right, pa.binary())
+        return pa.array(ck, long), _many(th, len(s)), _many(n, len(s)), pa.array(s, long), pa.array(a, long), pa.array(w, long), pa.array(m, long), pa.array(left, pa.binary()), pa.array(right, pa.binary())
 
-    items = ["ck", "cr", "s", "a", "w", "m"]
+    items = ["ck", "s", "a", "w", "m"]
     rows = _at_places(table, chunks.withColumn("key", F.concat_ws(":", "th", "n")), items, o).select("text", "th", "n", *items)
-    names = ["ck", "cr", "th", "n", "s", "a", "w", "m"]
+    names = ["ck", "th", "n", "s", "a", "w", "m"]
     return rows.mapInArrow(_each(make, [*names, "left", "right"]), ", ".join(f"{c} long" for c in names) + ", left binary, right binary")
 
 
-def repeated_windows(ck: np.ndarray, left: list[bytes], right: list[bytes], w: np.ndarray, o: SubstringOptions, space: Workspace) -> list[np.ndarray]:
-    """Per chunk, which of its ``w`` windows equal a window of another chunk: of their neighbours in suffix order
-    one has ``length`` bytes or more in common. A core counts as one symbol of its whole length."""
-    n = len(left)
-    _, core = np.unique(ck, return_inverse=True)
-    sizes = np.array([len(a) + len(b) + 2 for a, b in zip(left, right, strict=True)])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all values of a binary column, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+
+def repeated_windows(ck: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.ndarray, w: np.ndarray, o: SubstringOptions, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk number of every window, and whether it equals a window of another chunk: of its neighbours in suffix
+    order one has ``length`` bytes or more in common.
+
+    A chunk has ``a`` bytes before its core and w - a + chunk - 2 after it, and ``w`` windows; ``left`` and ``right`` have
+    all chunks' such bytes in a row.  A core counts as one symbol of its whole length.
+    """
+    n = len(ck)
+    kinds, core = np.unique(ck, return_inverse=True)
+    # numbers in an order that has nothing to do with the strings': induced suffixes then lie far from their sources
+    mixed = np.random.default_rng(0)
+    core = mixed.permutation(len(kinds))[core]
+    after = w - a + o.chunk - 2
     # each string is [its number][left][core][right]: no two numbers are equal, so nothing in common goes past an end
-    raw = np.frombuffer(b"".join([b"\0" + a + b"\0" + b for a, b in zip(left, right, strict=True)]), np.uint8)
-    text = space.array(int(starts[-1]) + 1, np.int64)
-    text[:-1] = raw.astype(np.int64) + n + 1
-    at_core = starts[:-1] + np.array([len(a) for a in left]) + 1
-    text[starts[:-1]] = np.arange(1, n + 1)
+    starts = np.concatenate([[0], np.cumsum(a + after + 2)])
+    at_core = starts[:-1] + a + 1
+    text = space.array(int(starts[-1]) + 1, np.int32 if 2 * n + 300 < 2**31 else np.int64)
+    place = np.arange(len(left)) + np.repeat(starts[:-1] + 1 - (np.cumsum(a) - a), a)
+    text[place] = left.astype(text.dtype) + n + 1
+    place = np.arange(len(right)) + np.repeat(at_core + 1 - (np.cumsum(after) - after), after)
+    text[place] = right.astype(text.dtype) + n + 1
+    text[starts[:-1]] = mixed.permutation(n) + 1
     text[at_core] = n + 257 + core
     text[-1] = 0
     weight = np.ones(len(text), np.int64)
@@ -249,34 +263,25 @@ def repeated_windows(ck: np.ndarray, left: list[bytes], right: list[bytes], w: n
     near = np.maximum(common, np.append(common[1:], 0))
     long_enough = np.zeros(len(text), bool)
     long_enough[sa[near >= o.length]] = True
-    return [long_enough[s + 1 : s + 1 + k] for s, k in zip(starts[:-1].tolist(), w.tolist(), strict=True)]
-
-
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return edges[::2], edges[1::2] - 1
+    at = np.repeat(np.arange(n), w)
+    return at, long_enough[np.arange(len(at)) + np.repeat(starts[:-1] + 1 - (np.cumsum(w) - w), w)]
 
 
 def _sorted_spans(rows: DataFrame, o: SubstringOptions, parent: str | None) -> DataFrame:
     """Spans of repeats among chunks of the same core; every partition sorts its groups shard by shard."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        ck, cr, th, n, s, w = (t.column(c).to_numpy() for c in ("ck", "cr", "th", "n", "s", "w"))
-        _, at, back, count = np.unique(np.stack([ck, cr], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-        left, right = t.column("left").take(pa.array(at)).to_pylist(), t.column("right").take(pa.array(at)).to_pylist()
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ck, th, n, s, a, w = (t.column(c).to_numpy() for c in ("ck", "th", "n", "s", "a", "w"))
         with Workspace(o.memory, parent) as space:
-            flags = repeated_windows(ck[at], left, right, w[at], o, space)
-        back = back.ravel()
-        out = []
-        for k in range(len(s)):
-            u = back[k]
-            if count[u] > 1:  # a chunk with an equal one is a repeat throughout
-                out.append((k, s[k], s[k] + w[k] - 1 + o.length))
-            elif flags[u].any():
-                out += [(k, s[k] + x, s[k] + y + o.length) for x, y in zip(*_runs(flags[u]), strict=True)]
-        which = np.array([x[0] for x in out], np.int64)
-        return pa.RecordBatch.from_pydict({"th": pa.array(th[which]), "n": pa.array(n[which]), "start": pa.array([x[1] for x in out], pa.int64()), "end": pa.array([x[2] for x in out], pa.int64())})
+            at, flags = repeated_windows(ck, _joined(t.column("left")), _joined(t.column("right")), a, w, o, space)
+        # runs of repeated windows: at has the windows' chunks, in order
+        first = s[at] + np.arange(len(at)) - np.searchsorted(at, at)
+        edge = np.concatenate([[True], at[1:] != at[:-1], [True]])
+        on = flags & (edge[:-1] | ~np.concatenate([[False], flags[:-1]]))
+        off = flags & (edge[1:] | ~np.concatenate([flags[1:], [False]]))
+        which = at[on]
+        return pa.RecordBatch.from_pydict({"th": pa.array(th[which]), "n": pa.array(n[which]), "start": pa.array(first[on]), "end": pa.array(first[off] + o.length)})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -294,7 +299,7 @@ def _sorted_spans(rows: DataFrame, o: SubstringOptions, parent: str | None) -> D
         if held:
             yield solve(held)
 
-    dealt = rows.select("ck", "cr", "th", "n", "s", "w", "left", "right").repartition("ck").sortWithinPartitions("ck")
+    dealt = rows.select("ck", "th", "n", "s", "a", "w", "left", "right").repartition("ck").sortWithinPartitions("ck")
     return dealt.mapInArrow(apply, "th long, n long, start long, end long")
 
 
@@ -309,6 +314,11 @@ def _window_spans(rows: DataFrame, o: SubstringOptions) -> DataFrame:
     return found.select("th", "n", (F.col("s") + F.col("i")).alias("start"), (F.col("s") + F.col("i") + o.length).alias("end"))
 
 
+def _any_row(*names: str) -> list:
+    """Columns of one row of a group, whichever comes first: in one aggregate all are of the same row."""
+    return [F.first(c).alias(c) for c in names]
+
+
 def repeats(table: DataFrame, o: SubstringOptions) -> DataFrame:
     """``(key, spans)``: bytes [start, end) of each text that has any, covered by repeated strings, merged."""
     spark = table.sparkSession
@@ -319,16 +329,19 @@ def repeats(table: DataFrame, o: SubstringOptions) -> DataFrame:
     found = saved(anchors(table, o), "anchors")
     shared = _shared(found, "g", "rh", o)
     spans = [span(shared.where("not mixed"))]
-    mixed = saved(shared.where("mixed").withColumn("gr", F.concat_ws(":", "g", "rh")), "mixed")
-    regions = mixed.groupBy("gr").agg(F.count("*").alias("m"), F.min(F.struct("th", "n", "p", "first", "last")).alias("one"))
-    regions = saved(regions.select("gr", "m", "one.*"), "regions")
+    mixed = saved(shared.where("mixed").withColumn("gr", F.xxhash64("g", "rh")), "mixed")
+    regions = saved(mixed.groupBy("gr").agg(F.count("*").alias("m"), *_any_row("th", "n", "p", "first", "last")), "regions")
     same = regions.where("m > 1").select("gr", "m", F.lit(True).alias("again"))
     spans.append(span(lookup(mixed, same, "gr", "m", "p", same.agg(F.sum("m")).first()[0] or 0).where("again")))
     packed = F.shiftleft("p", 16) + F.shiftleft(F.col("p") - F.col("first"), 8) + F.col("p") - F.col("last")
     chunks = saved(_chunks(table, regions.select(F.concat_ws(":", "th", "n").alias("key"), packed.alias("packed")), o), "chunks")
-    parted = saved(_shared(chunks, "ck", "cr", o), "parted")
+    parted = _shared(chunks, "ck", "cr", o)
     spans.append(whole(parted.where("not mixed")))
-    unequal = saved(_with_bytes(table, parted.where("mixed").select("ck", "cr", "th", "n", "s", "a", "w", "m").distinct(), o), "unequal")
+    parted = saved(parted.where("mixed").withColumn("cc", F.xxhash64("ck", "cr")), "parted")
+    kinds = saved(parted.groupBy("cc").agg(F.count("*").alias("copies"), *_any_row("th", "n", "s", "a", "w", "ck", "m")), "kinds")
+    same = kinds.where("copies > 1").select("cc", "copies", F.lit(True).alias("again"))
+    spans.append(whole(lookup(parted, same, "cc", "copies", "s", same.agg(F.sum("copies")).first()[0] or 0).where("again")))
+    unequal = saved(_with_bytes(table, kinds.select("ck", "th", "n", "s", "a", "w", "m"), o), "unequal")
     spans.append(_sorted_spans(unequal.where(F.col("m") <= o.group), o, parent))
     large = unequal.where(F.col("m") > o.group)
     if not large.isEmpty():

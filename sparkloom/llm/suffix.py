@@ -23,6 +23,8 @@ class Workspace:
 
     def __init__(self, budget: int = 256 << 20, parent: str | None = None):
         self.budget, self.parent, self.folder, self.files = budget, parent, None, 0
+        #: Reduced strings of up to so many symbols are sorted in memory, which ends the recursion.
+        self.base = budget // 128
 
     def path(self) -> str:
         if self.folder is None:
@@ -240,6 +242,30 @@ def _induce(t: np.ndarray, run: np.ndarray, want: np.ndarray, sign: int, seeds:
     return out_s, out_l
 
 
+def _doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and common prefixes in memory, by ranks of prefixes of 1, 2, 4 ... symbols."""
+    n = len(t)
+    ranks = [np.unique(t, return_inverse=True)[1]]
+    while ranks[-1].max() < n - 1:
+        step = 1 << (len(ranks) - 1)
+        key = ranks[-1] * (n + 1)
+        key[:-step] += ranks[-1][step:] + 1
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        ranks.append(rank)
+    sa = np.empty(n, np.int64)
+    sa[ranks[-1]] = np.arange(n)
+    a, b = sa[1:].copy(), sa[:-1].copy()
+    lcp = np.zeros(n, np.int32)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = np.flatnonzero(ranks[k][a] == ranks[k][b])
+        for x in (a, b):
+            x[same] += 1 << k
+        lcp[1:][same] += 1 << k
+    return sa, lcp
+
+
 def _both(t: np.ndarray, run: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lcp: np.ndarray, space: Workspace):
     """L suffixes in order, then S suffixes in order (the end first), each with common prefixes, from sorted LMS suffixes."""
     large, large_lcp = _induce(t, run, ~is_s, 1, lms, lcp, space)
@@ -252,11 +278,13 @@ def _both(t: np.ndarray, run: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lcp
     return large, large_lcp, up, up_lcp
 
 
-def sort_suffixes(t: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(t: np.ndarray, space: Workspace, reduced_string: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``t`` and common prefixes of neighbours; ``t`` ends with its only 0, its least symbol."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int32)
+    if reduced_string and n <= space.base:
+        return _doubled(t)
     equal = t[:-1] == t[1:]
     last = np.minimum.accumulate(np.where(equal, n - 1, np.arange(n - 1))[::-1])[::-1]
     is_s = np.append(t[last] < t[np.minimum(last + 1, n - 1)], True)
@@ -290,7 +318,7 @@ def sort_suffixes(t: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarr
             reduced = np.empty(len(lms), np.int64)
             reduced[index[ordered]] = names
             del ordered, mark, a, b, differ, size
-            sa, shared = sort_suffixes(reduced, space)
+            sa, shared = sort_suffixes(reduced, space, True)
             order = lms[sa]
             x, y = lms[sa[1:] + shared[1:]], lms[sa[:-1] + shared[1:]]
             lcp = np.append(np.zeros(1, np.int32), (x - order[1:] + _common(t, x, y)).astype(np.int32))
