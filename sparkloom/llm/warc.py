@@ -115,6 +115,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
                     if at < 0:
                         break
                     head = bytes(buffer[:at])
+                    if not head.strip():  # a last row without a separator was given one
+                        break
                     if not head.startswith(b"WARC/"):
                         raise ValueError(f"{file}: no record where one must begin")
                     sizes = [x.partition(b":")[2] for x in head.split(CRLF.encode()) if x.lower().startswith(b"content-length:")]
