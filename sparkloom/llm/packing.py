@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Words whose ids a worker remembers, by the library's own encoding; all are forgotten when there are so many.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Sequence ids of a partition start at its number times this.
 SEQUENCES = 1 << 32
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 if rows:
                     yield batch_of(rows)
                     rows = []
+        encode.clear()  # a worker goes on to other work
         for window in packer.rest():
             place(window)
         if rows:

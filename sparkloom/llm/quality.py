@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             found = [statistics(t)[1] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.int64()), "y": b.column(2), "x": pa.array(found, pa.list_(pa.float64()))})
 
@@ -176,15 +176,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_trees(x, np.array([r.y > 0 for r in got], float), list(FEATURES.values()))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that few texts are held as strings at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20, min_score: float = 0.5) -> DataFrame:
     """One row a document: id, COUNTS, ``score``, ``base_failed`` and ``kept``. No shuffle. Null texts count as empty."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trees)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             counts, score, failed, kept = verdicts(b.column(1).to_pylist(), model.value, min_words, max_repeat_percent, min_score)
             yield pa.RecordBatch.from_pydict({"id": b.column(0)} | {k: pa.array([c[j] for c in counts], pa.int64()) for j, k in enumerate(COUNTS)} | {"score": pa.array(score), "base_failed": pa.array(failed), "kept": pa.array(kept)})
 
@@ -206,7 +211,7 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", min_words:
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             kept = verdicts(b.column(at).to_pylist(), model.value, min_words, max_repeat_percent, min_score)[3]
             yield b.filter(pa.array(kept, pa.bool_()))
 
