@@ -30,7 +30,7 @@ class LineOptions:
     broadcast_rows: int = 500_000
 
 
-SKETCH = 4  # words of 64 bits
+SKETCH = 2  # words of 64 bits
 
 
 def _shingles(line: Column, o: LineOptions) -> Column:
@@ -175,8 +175,12 @@ def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str
     named = saved(named.withColumn("component", F.coalesce("component", "h")), "named")
     first = named.groupBy("component").agg(F.min("first_doc").alias("keep_doc"))
     classes = saved(named.join(first, "component").select("h", "n", "component", "keep_doc"), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    again = saved(lookup(occ.select("doc", "pos", "h"), classes, "h", "n", "pos", total).where("component is not null").select("doc", "pos", "component", "keep_doc"), "again")
+    size = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
+    if size.rows <= o.broadcast_rows:
+        named = occ.select("doc", "pos", "h").join(F.broadcast(classes.drop("n")), "h")
+    else:
+        named = lookup(occ.select("doc", "pos", "h"), classes, "h", "n", "pos", size["lines"]).where("component is not null")
+    again = saved(named.select("doc", "pos", "component", "keep_doc"), "again")
     kept = again.where("doc = keep_doc").groupBy("component", "doc").agg(F.min("pos").alias("pos")).select("doc", "pos")
     gone = again.select("doc", "pos").join(kept, ["doc", "pos"], "left_anti").distinct()
     return saved(gone.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")

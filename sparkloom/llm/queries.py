@@ -57,7 +57,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long"))
+    counted = docs.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long"))
     found = lines.remove_duplicate_lines(counted, report=True)
     removed = F.coalesce("_removed", F.expr("cast(array() as array<int>)"))
     return found.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kept_xxh64"))
