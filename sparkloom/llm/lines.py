@@ -13,16 +13,12 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class LineOptions:
-    """Character shingles of ``width``, one at the start of each word of ``min_word`` characters or more; where words
-    have over ``long_word`` characters on average (as in scripts without spaces) one at each character from the
-    (width + 1)-th of a word on as well.  ``bands`` of ``rows`` minima each are the signature: at a similarity of 0.8
-    a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.985 as set; 0.9997 at 0.9).  Lines of
+    """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.  ``bands`` of
+    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.985 as set; 0.9997 at 0.9).  Lines of
     under ``min_shingles`` are compared as whole lines. ``broadcast_rows`` bounds what is broadcast; beyond,
     the same join is shuffled."""
 
     width: int = 8
-    min_word: int = 4
-    long_word: int = 24
     bands: int = 8
     rows: int = 4
     similarity: float = 0.8
@@ -30,16 +26,12 @@ class LineOptions:
     broadcast_rows: int = 500_000
 
 
-SKETCH = 2  # words of 64 bits
+SKETCH = 4  # words of 64 bits
 
 
 def _shingles(line: Column, o: LineOptions) -> Column:
-    text = F.concat(F.lit(" "), line, F.lit(" " * (o.width - 1)))
-    start = rf"(\S{{{o.min_word}}}.{{{o.width - o.min_word}}})"
-    at_words = F.regexp_extract_all(text, F.lit(rf"(?s)\s(?={start})"), F.lit(1))
-    dense = F.regexp_extract_all(text, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{o.width}}}))(?={start})"), F.lit(1))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" ")))
-    return F.when((spaces + 1) * o.long_word < F.length(line), dense).otherwise(at_words)
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{o.width}}}))"), F.lit(1))
+    return F.when(F.length(line) <= o.width, F.array(line)).otherwise(every)
 
 
 def _sketch(shingles: Column) -> list[Column]:
@@ -54,9 +46,12 @@ def _sketch(shingles: Column) -> list[Column]:
 
 
 def _may_be_similar(a: str, b: str, o: LineOptions) -> Column:
-    """False only for sets below the similarity: their symmetric difference is at most (1 - s) / (1 + s) of both sizes."""
+    """False only for sets below the similarity: their symmetric difference is at most (1 - s) / (1 + s) of both sizes,
+    the smaller at least s of the larger."""
+    sizes = F.col(f"{a}size"), F.col(f"{b}size")
     differ = sum((F.bit_count(F.col(f"{a}k{w}").bitwiseXOR(F.col(f"{b}k{w}"))) for w in range(SKETCH)), F.lit(0))
-    return differ <= F.floor((1 - o.similarity) / (1 + o.similarity) * (F.col(f"{a}size") + F.col(f"{b}size")) + 1e-9)
+    near = differ <= F.floor((1 - o.similarity) / (1 + o.similarity) * (sizes[0] + sizes[1]) + 1e-9)
+    return (F.least(*sizes) >= o.similarity * F.greatest(*sizes) - 1e-9) & near
 
 
 def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
@@ -98,13 +93,13 @@ def _few(df: DataFrame, o: LineOptions) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
-    """The pairs (a, b, and other columns) whose shingle sets are similar enough."""
+    """The pairs (a, b, and other columns) whose shingle sets are similar enough; shingles themselves are compared."""
     ends = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h"), "ends")
     here = sets.join(_few(ends, o), "h", "left_semi")
     left = pairs.join(_named(here, "a_", "a"), "a")
     right = _named(here, "b_", "_b")
-    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
-    return both.where(F.col("shared") >= o.similarity * (F.col("a_size") + F.col("b_size") - F.col("shared"))).select(pairs.columns)
+    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", F.size(F.array_intersect(_shingles(F.col("a_line"), o), _shingles(F.col("b_line"), o))))
+    return both.where(F.col("shared") >= o.similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select(pairs.columns)
 
 
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
@@ -136,8 +131,8 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
     carriers = saved(wanted.select(F.col("first_doc").alias(id_col)).distinct(), "carriers")
     split = docs.join(_few(carriers, o), id_col, "left_semi").select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
     texts = split.withColumn("h", F.xxhash64("line")).join(_few(wanted, o), "h").where("doc = first_doc")
-    sets = saved(texts.select("h", F.array_distinct(F.transform(_shingles(F.col("line"), o), lambda s: F.xxhash64(s))).alias("set")), "shingles")
-    sets = saved(sets.select("h", "set", F.size("set").alias("size"), *_sketch(F.col("set"))), "sets")
+    sets = texts.select("h", "line", F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda s: F.xxhash64(s)).alias("set"))
+    sets = saved(sets.select("h", "line", F.size("set").alias("size"), *_sketch(F.col("set"))), "sets")
     found = saved(connected_components(_verified(pairs, sets, o)).withColumnRenamed("node", "h"), "components")
     ranked, done = None, 1
     while n:
@@ -148,7 +143,7 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
             break
         if ranked is None:
             rank = F.row_number().over(Window.partitionBy("band").orderBy("place"))
-            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop("set"), "h"), "ranked")
+            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop("line"), "h"), "ranked")
         ranked, until = named.drop("label"), done * 8 + 1
         pivots = named.where((F.col("rank") > done) & (F.col("rank") <= until))
         near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", o)

@@ -331,6 +331,18 @@ def test_lines_without_broadcast(docs, empty):
     assert lines.remove_duplicate_lines(empty).count() == 0
 
 
+def removed_lines(spark, texts, o=None):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines.remove_duplicate_lines(rows, o or lines.LineOptions(), report=True).collect()
+    return {r.doc_id for r in got if r._removed}
+
+
+def test_lines_read_every_character(spark):
+    other = ["Temperature 17 Precipitation 23 Humidity 55 Pressure 12 Visibility 10", "Temperature 94 Precipitation 61 Humidity 38 Pressure 77 Visibility 42"]
+    same = "it was so on a day of old, and he and I sat by the sea to see if it is as big as we had all said it was to be, or not"
+    assert removed_lines(spark, [*other, same, same[:-2] + "t?"]) == {3}
+
+
 def brute_fingerprint(text):
     w = [x for x in "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if x]
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
