@@ -14,12 +14,12 @@ from .components import connected_components
 @dataclass(frozen=True)
 class LineOptions:
     """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.  ``bands`` of
-    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.985 as set; 0.9997 at 0.9).  Lines of
+    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.995 as set; above 0.9999 at 0.9).  Lines of
     under ``min_shingles`` are compared as whole lines. ``broadcast_rows`` bounds what is broadcast; beyond,
     the same join is shuffled."""
 
     width: int = 8
-    bands: int = 8
+    bands: int = 10
     rows: int = 4
     similarity: float = 0.8
     min_shingles: int = 5
@@ -59,12 +59,14 @@ def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
 
 
 def _masks(n: int) -> list[int]:
-    """``n`` spread-out 31-bit numbers, from one rule."""
+    """``n`` spread-out 64-bit numbers, from one rule."""
     out, x = [], 0
     for _ in range(n):
         x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
         z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-        out.append((z ^ (z >> 31)) >> 33)
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+        z ^= z >> 31
+        out.append(z - (1 << 64) if z >> 63 else z)
     return out
 
 
@@ -77,11 +79,12 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     """``(h, first_doc, n, bands)`` for every distinct line.
 
+    Each minimum is over its own 64-bit hash of the shingles: XXH64 of theirs XOR a mask.
     All is folded by the line's hash before the shuffle, so neither a line that a third of all documents
     hold nor its text is sent more than once a task.
     """
-    each = occ.select("doc", "h", F.posexplode_outer(_shingles(F.col("line"), o)).alias("k", "s")).select("doc", "h", "k", F.hash("s").alias("x"))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(o.bands * o.rows))]
+    each = occ.select("doc", "h", F.posexplode_outer(_shingles(F.col("line"), o)).alias("k", "s")).select("doc", "h", "k", F.xxhash64("s").alias("x"))
+    minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(m)))).alias(f"m{j}") for j, m in enumerate(_masks(o.bands * o.rows))]
     folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("n"), F.max("k").alias("last"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)])
     return folded.select("h", "first_doc", "n", F.when(F.col("last") + 1 >= o.min_shingles, bands).alias("bands"))

@@ -343,6 +343,24 @@ def test_lines_read_every_character(spark):
     assert removed_lines(spark, [*other, same, same[:-2] + "t?"]) == {3}
 
 
+def test_lines_recall_at_the_threshold(spark):
+    """Bands of the production parameters against brute force, over pairs of lines just above the similarity."""
+    rng, o, pairs = random.Random(11), lines.LineOptions(), []
+    shingles = lambda x: {x[k : k + o.width] for k in range(len(x) - o.width + 1)}
+    while len(pairs) < 1500:
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.choice((75, 90, 110)))).replace(" ", "x")
+        b = a[: len(a) - rng.randrange(8, 13)] + "".join(rng.choices("0123456789", k=rng.randrange(0, 9)))
+        both = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        if 0.8 <= both < 0.82:
+            pairs.append((a, b))
+    rows = [(2 * k + s, x) for k, pair in enumerate(pairs) for s, x in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.h: set(r.bands) for r in lines.signatures(lines.occurrences(docs), o).collect()}
+    hashes = {r.doc: r.h for r in lines.occurrences(docs).select("doc", "h").collect()}
+    found = sum(bool(of[hashes[2 * k]] & of[hashes[2 * k + 1]]) for k in range(len(pairs))) / len(pairs)
+    assert found >= 0.985
+
+
 def brute_fingerprint(text):
     w = [x for x in "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if x]
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
