@@ -14,15 +14,15 @@ from .components import connected_components
 @dataclass(frozen=True)
 class LineOptions:
     """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.  ``bands`` of
-    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.995 as set; above 0.9999 at 0.9).  Lines of
-    under ``min_shingles`` are compared as whole lines. ``broadcast_rows`` bounds what is broadcast; beyond,
+    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability
+    1 - (1 - 0.8 ** rows) ** bands (0.995 as set; above 0.9999 at 0.9).  Lines of up to ``short`` shingles have exact keys besides. ``broadcast_rows`` bounds what is broadcast; beyond,
     the same join is shuffled."""
 
     width: int = 8
     bands: int = 10
     rows: int = 4
     similarity: float = 0.8
-    min_shingles: int = 5
+    short: int = 24
     broadcast_rows: int = 500_000
 
 
@@ -87,7 +87,22 @@ def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(m)))).alias(f"m{j}") for j, m in enumerate(_masks(o.bands * o.rows))]
     folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("n"), F.max("k").alias("last"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)])
-    return folded.select("h", "first_doc", "n", F.when(F.col("last") + 1 >= o.min_shingles, bands).alias("bands"))
+    return folded.select("h", "first_doc", "n", bands.alias("bands"))
+
+
+def short_keys(occ: DataFrame, o: LineOptions) -> DataFrame:
+    """``(band, h)`` for lines of at most ``short`` shingles: two of them that are similar share a key for certain.
+
+    Sets of n shingles share t = ceil(s * n) of them with any similar set.  In order of their hashes the first
+    two that are shared are then among the first n - t + 2 of both, and each two of these are a key.  With t under
+    2 (n = 1) the shingle is the key: a similar set equals it.
+    """
+    brief = occ.where(F.length("line") < o.short + o.width).select("h", "line").distinct()
+    sets = brief.select("h", F.sort_array(F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda x: F.xxhash64(x))).alias("set"))
+    n = F.size("set")
+    sets = sets.select("h", F.slice("set", F.lit(1), n - F.ceil(o.similarity * n - F.lit(1e-9)).cast("int") + 2).alias("first"), n.alias("n"))
+    twos = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(F.lit("short"), x, y))))
+    return sets.select(F.explode(F.when(F.col("n") == 1, F.transform("first", lambda x: F.xxhash64(F.lit("short"), x))).otherwise(twos)).alias("band"), "h")
 
 
 def _few(df: DataFrame, o: LineOptions) -> DataFrame:
@@ -108,14 +123,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
     """``(h, component)`` of distinct lines that are similar to another one.
 
-    Lines that share a band are candidates.  Those of a band are first held against the one of them that
+    Lines that share a band, or a key of short lines, are candidates.  Those of a band are first held against the one of them that
     shares most bands with most lines, as the original of many near copies does; what is found similar is
     then one component.  Where a band has several components left, its lines are held against the next 8, 64,
     512 ... of other components, until each pair of a band either is in one component or was compared.
     Sketches are compared inside the join, so that only pairs leave it that may reach the similarity: near
     copies of one text take pairs in proportion to their number, and no candidate is dropped.
     """
-    banded = known.where("bands is not null").select(F.explode("bands").alias("band"), "h")
+    banded = known.select(F.explode("bands").alias("band"), "h")
+    banded = banded.union(saved(short_keys(occurrences(docs, id_col, text_col), o), "short"))
     groups = saved(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("m")).where("m > 1"), "groups")
     large = saved(groups.where("m > 2").select("band", "m"), "large")
     if (n := large.count()) <= o.broadcast_rows:

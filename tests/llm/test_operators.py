@@ -361,6 +361,28 @@ def test_lines_recall_at_the_threshold(spark):
     assert found >= 0.985
 
 
+def test_lines_that_are_short(spark):
+    """Every similar pair of short lines is found, as by brute force, with no bands to help."""
+    rng = random.Random(3)
+    texts = ["Accept all cookies and continue reading", "Accept all cookies and continue reading!", "abcdefghijk", "abcdefghijkl", "a" * 9, "a" * 20, "tiny", "tiny!"]
+    for _ in range(60):
+        base = "".join(rng.choices("abcd", k=rng.randrange(9, 31)))
+        texts += [base, base + "e", "e" + base[: rng.randrange(6, 40)], base[:-1] + "f", base[2:]]
+    texts = sorted({x for x in texts if len(x) < 32})
+    shingles = [{x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in texts]
+    linked = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    of = brute_components(len(texts), linked)
+    assert len(set(of)) < len(texts) - 50
+    keys = lines.short_keys(lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), lines.LineOptions()).collect()
+    named = {r.h: r.doc for r in lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    share = defaultdict(set)
+    for r in keys:
+        share[named[r.h]].add(r.band)
+    assert all(share[a] & share[b] for a in range(len(texts)) for b in range(a) if linked(a, b))
+    assert removed_lines(spark, texts) == {k for k, c in enumerate(of) if c != k}
+    assert removed_lines(spark, ["Accept all cookies and continue reading", "Accept all cookies and continue reading!"]) == {1}
+
+
 def brute_fingerprint(text):
     w = [x for x in "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if x]
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
