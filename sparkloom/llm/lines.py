@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,28 +111,47 @@ def _few(df: DataFrame, o: LineOptions) -> DataFrame:
     return F.broadcast(df) if df.count() <= o.broadcast_rows else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
-    """The pairs (a, b, and other columns) whose shingle sets are similar enough; shingles themselves are compared."""
+def _verified(pairs: DataFrame, sets: DataFrame, shared: Column, o: LineOptions) -> DataFrame:
+    """The pairs (a, b, and other columns) whose sets are similar enough; ``shared`` is how many elements they share."""
     ends = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h"), "ends")
     here = sets.join(_few(ends, o), "h", "left_semi")
     left = pairs.join(_named(here, "a_", "a"), "a")
     right = _named(here, "b_", "_b")
-    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", F.size(F.array_intersect(_shingles(F.col("a_line"), o), _shingles(F.col("b_line"), o))))
+    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", shared)
     return both.where(F.col("shared") >= o.similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select(pairs.columns)
 
 
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
     """``(h, component)`` of distinct lines that are similar to another one.
 
-    Lines that share a band, or a key of short lines, are candidates.  Those of a band are first held against the one of them that
-    shares most bands with most lines, as the original of many near copies does; what is found similar is
-    then one component.  Where a band has several components left, its lines are held against the next 8, 64,
+    Lines that share a band, or a key of short lines, are candidates; shingles themselves are compared.
+    """
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = saved(wanted.join(known.select("h", "first_doc"), "h"), "wanted")
+        carriers = saved(wanted.select(F.col("first_doc").alias(id_col)).distinct(), "carriers")
+        split = docs.join(_few(carriers, o), id_col, "left_semi").select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
+        texts = split.withColumn("h", F.xxhash64("line")).join(_few(wanted, o), "h").where("doc = first_doc")
+        sets = texts.select("h", "line", F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda s: F.xxhash64(s)).alias("set"))
+        return sets.select("h", "line", F.size("set").alias("size"), *_sketch(F.col("set")))
+
+    banded = known.select(F.explode("bands").alias("band"), "h")
+    banded = banded.union(saved(short_keys(occurrences(docs, id_col, text_col), o), "short"))
+    shared = F.size(F.array_intersect(_shingles(F.col("a_line"), o), _shingles(F.col("b_line"), o)))
+    return similar_sets(banded, sets_of, "line", shared, o)
+
+
+def similar_sets(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], payload: str, shared: Column, o: LineOptions) -> DataFrame:
+    """``(h, component)`` of sets that are similar to another one with which they share a band, from ``(band, h)``.
+
+    ``sets_of`` gets the ``h`` that are asked for and returns ``(h, payload, size, k0, k1, ...)``.
+    Those of a band are first held against the one of them that
+    shares most bands with most others, as the original of many near copies does; what is found similar is
+    then one component.  Where a band has several components left, its members are held against the next 8, 64,
     512 ... of other components, until each pair of a band either is in one component or was compared.
     Sketches are compared inside the join, so that only pairs leave it that may reach the similarity: near
     copies of one text take pairs in proportion to their number, and no candidate is dropped.
     """
-    banded = known.select(F.explode("bands").alias("band"), "h")
-    banded = banded.union(saved(short_keys(occurrences(docs, id_col, text_col), o), "short"))
     groups = saved(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("m")).where("m > 1"), "groups")
     large = saved(groups.where("m > 2").select("band", "m"), "large")
     if (n := large.count()) <= o.broadcast_rows:
@@ -146,13 +166,8 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
     star = members.select("band", F.col("h").alias("b")).join(first, "band").where("a <> b").select(*ordered("a", "b"))
     pairs = saved(groups.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(star).distinct(), "pairs")
     wanted = members.select("h").union(groups.where("m = 2").select(F.explode(F.array("low", "high")))).distinct()
-    wanted = saved(wanted.join(known.select("h", "first_doc"), "h"), "wanted")
-    carriers = saved(wanted.select(F.col("first_doc").alias(id_col)).distinct(), "carriers")
-    split = docs.join(_few(carriers, o), id_col, "left_semi").select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
-    texts = split.withColumn("h", F.xxhash64("line")).join(_few(wanted, o), "h").where("doc = first_doc")
-    sets = texts.select("h", "line", F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda s: F.xxhash64(s)).alias("set"))
-    sets = saved(sets.select("h", "line", F.size("set").alias("size"), *_sketch(F.col("set"))), "sets")
-    found = saved(connected_components(_verified(pairs, sets, o)).withColumnRenamed("node", "h"), "components")
+    sets = saved(sets_of(wanted), "sets")
+    found = saved(connected_components(_verified(pairs, sets, shared, o)).withColumnRenamed("node", "h"), "components")
     ranked, done = None, 1
     while n:
         named = (members if ranked is None else ranked).join(found, "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
@@ -162,13 +177,13 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
             break
         if ranked is None:
             rank = F.row_number().over(Window.partitionBy("band").orderBy("place"))
-            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop("line"), "h"), "ranked")
+            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop(payload), "h"), "ranked")
         ranked, until = named.drop("label"), done * 8 + 1
         pivots = named.where((F.col("rank") > done) & (F.col("rank") <= until))
         near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", o)
         more = _named(pivots, "a_", "ha").join(_named(named, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
         more = saved(more.select(*ordered("ha", "hb"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "pairs")
-        merged = connected_components(_verified(more, sets, o).select("la", "lb").distinct(), "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
+        merged = connected_components(_verified(more, sets, shared, o).select("la", "lb").distinct(), "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
         merged = saved(merged, "merged")
         both = found.select("h", F.col("component").alias("label")).join(merged, "label", "left").select("h", F.coalesce("to", "label").alias("component"))
         alone = merged.select(F.col("label").alias("h"), F.col("to").alias("component")).join(found, "h", "left_anti")

@@ -243,7 +243,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     found = near_duplicates(docs, **options)
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return only(docs, found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col)
+
+
+def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """One row (the smallest by all columns) of each of ``ids``, and all rows with a null id."""
     rest = [c for c in docs.columns if c != id_col]
     one = docs.join(ids, id_col).groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_r")).select(id_col, *[F.col("_r")[c].alias(c) for c in rest])
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

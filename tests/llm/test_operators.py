@@ -405,6 +405,40 @@ def test_simhash(docs, corpus, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def brute_near_documents(rows):
+    """Ids that stay: the smallest of each component at a similarity of 0.8 of five-word shingles."""
+    ids, sets = [], []
+    for i, t in sorted(rows):
+        w = (t or "").split()
+        ids.append(i)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    of = brute_components(len(ids), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return sorted(ids[k] for k, c in enumerate(of) if c == k)
+
+
+def near_copies(rng):
+    """Texts and copies of them with some words replaced: similarities on both sides of 0.8."""
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(VOCAB) for _ in range(rng.choice((60, 300, 500)))]
+        rows.append(" ".join(base))
+        for n in (1, 2, 5, 40):
+            words = list(base)
+            for at in rng.sample(range(len(base)), max(1, n * len(base) // 300)):
+                words[at] = "other"
+            rows.append(" ".join(words))
+    return list(enumerate([*rows, rows[0], "", None, "only four words here", "only four words here"]))
+
+
+def test_near_dedup_stage(spark):
+    import corpus_pipeline
+
+    rows = near_copies(random.Random(8))
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string"), "")
+    got = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
+    assert got == [*brute_near_documents(rows), None]
+
+
 def test_bit_sliced_links():
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(30)]
