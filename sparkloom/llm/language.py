@@ -10,14 +10,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, saved
 
 #: Labelled documents a language is learned from at most, chosen by a hash of the id.
 FIT_DOCUMENTS = 500
-#: Distinct words of the sample that are learned from at most, the most frequent ones.
+#: Distinct words of the sample that are learned from at most, over all languages: the most frequent ones of each.
 FIT_WORDS = 150_000
 #: Words whose scores a worker remembers; all are forgotten when there are so many.
 CACHE_WORDS = 400_000
@@ -176,11 +176,23 @@ def estimate(counts: dict[str, dict[bytes, int]], path: str, rounds: int = 3, sm
     return LanguageModel(langs, np.stack([(1 - smoothing) * p + smoothing * mean for p in found]), path)
 
 
+def word_share(sizes: list[int], bound: int) -> int:
+    """The most words of a language such that all together keep ``bound`` at most."""
+    level = 0
+    for k, n in enumerate(sorted(sizes)):
+        level = bound // (len(sizes) - k)
+        if n > level:
+            return level
+        bound -= n
+    return max(sizes, default=0)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: tuple[int, int] | None = (4, 2), path: str | None = None, max_documents: int = FIT_DOCUMENTS) -> LanguageModel:
     """Learn from text and non-null language of documents outside the held-out fold.
 
     At most about ``max_documents`` of a language are used, chosen by a hash of the id against the
-    language's own count, and of their distinct words the FIT_WORDS most frequent.
+    language's own count, and of their distinct words the most frequent, FIT_WORDS over all
+    languages: what languages with few words leave of an equal share goes to the others. Ties go by a hash of the word.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if held_out_fold:
@@ -204,7 +216,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     totals = known.where(sample).select(lang_col, text_col).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, int]] = {lang: {} for lang in sizes}
-    for r in totals.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).collect():
+    totals = saved(totals, "words")
+    level = word_share([r[1] for r in totals.groupBy("lang").agg(F.count("*")).collect()], FIT_WORDS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word"))
+    for r in totals.withColumn("place", place).where(F.col("place") <= level).collect():
         counts[r.lang][bytes(r.word)] = r.n
     return estimate({k: v for k, v in counts.items() if v}, path)
 

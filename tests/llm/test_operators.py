@@ -202,6 +202,18 @@ def test_language(spark, empty):
     assert language.identify(spark.createDataFrame([(1, "word")], "doc_id long, text string"), nothing).first().lang_pred == "und"
 
 
+def test_language_words_are_shared_out(spark, monkeypatch):
+    assert language.word_share([5, 100, 80], 65) == 30 and language.word_share([5, 9], 20) == 9 and language.word_share([], 9) == 0
+    seen = {}
+    monkeypatch.setattr(language, "FIT_WORDS", 30)
+    monkeypatch.setattr(language, "estimate", lambda counts, path: seen.update(counts))
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26) + "q"
+    rows = [(k, " ".join(word(j) for j in range(60)), "aa") for k in range(4)] + [(9, " ".join(word(j) for j in range(90)), "zz"), (10, "one two three", "mm")]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out_fold=None)
+    sizes = {k: len(v) for k, v in seen.items()}
+    assert sizes["mm"] == 3 and sizes["aa"] == sizes["zz"] == 13
+
+
 @pytest.mark.parametrize("query,column,least", [("op5_language", "lang", 0.95)])
 def test_language_held_out(spark, query, column, least):
     from sparkloom.llm.queries import QUERIES
