@@ -442,6 +442,27 @@ def near_copies(rng):
     return list(enumerate([*rows, rows[0], "", None, "only four words here", "only four words here"]))
 
 
+def test_line_dedup_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    base = [prose(rng, n) for n in (3, 5, 12, 30, 30, 60)]
+    changed = [x[:k] + "#" + x[k + 1 :] for x in base for k in rng.sample(range(len(x)), 2)] + [x + "!" for x in base]
+    texts = ["\n".join(base), *["\n".join(rng.sample(base + changed, 5)) for _ in range(8)]]
+    seen = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n"))]
+    distinct = sorted({x for _, _, x in seen})
+    sets = [{x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in distinct]
+    of = dict(zip(distinct, brute_components(len(distinct), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])), strict=True))
+    first = {}
+    for i, p, x in seen:
+        first.setdefault(of[x], (i, p))
+    want = ["\n".join(x for j, p, x in seen if j == i and first[of[x]] == (i, p)) for i in range(len(texts))]
+    assert want != texts and len(set(of.values())) < len(of)
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()
+    assert [r.text for r in got] == want and [r.n_chars for r in got] == list(map(len, want))
+
+
 def test_near_dedup_stage(spark):
     import corpus_pipeline
 
