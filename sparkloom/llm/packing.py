@@ -135,8 +135,8 @@ class SquaresPacker:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids`` if asked for).
 
-    Every partition is packed as it is read, without a shuffle; it holds its open windows only (at most
-    some of ``size`` ids each), and its last windows are cut so that none is padded.  Each id of a document lies in exactly
+    Every partition is packed as it is read, without a shuffle; it holds its open windows (of under
+    ``size`` ids each, their number is not bounded), which are concatenated and cut at its end so that none is padded.  Each id of a document lies in exactly
     one piece. A null or empty text is ``end_id`` alone. Repeated rows are packed each; other columns are ignored.
     """
     if size < 1 or size & (size - 1):
