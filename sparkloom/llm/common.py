@@ -90,6 +90,18 @@ def bounded_sample(df: DataFrame, by: str, bound: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(by)), F.lit(parts)) < int(parts * bound / total))
 
 
+def hash_masks(n: int) -> list[int]:
+    """``n`` spread-out 64-bit numbers, from one rule."""
+    out, x = [], 0
+    for _ in range(n):
+        x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
+        z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+        z ^= z >> 31
+        out.append(z - (1 << 64) if z >> 63 else z)
+    return out
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str, total: int) -> DataFrame:
     """Left outer join with ``right`` (one row a key), safe for keys that hold a large share of ``left``.
 

@@ -2,48 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, saved
-from .components import connected_components
+from .common import hash_masks, lookup, saved
+from .similar import few, similar_sets
 
 
 @dataclass(frozen=True)
 class LineOptions:
     """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.  ``bands`` of
     ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability
-    1 - (1 - 0.8 ** rows) ** bands (0.995 as set; above 0.9999 at 0.9).  Lines of up to ``short`` shingles have exact keys besides. ``broadcast_rows`` bounds what is broadcast; beyond,
+    1 - (1 - 0.8 ** rows) ** bands (0.997 as set; above 0.9999 at 0.9).  Lines of up to ``short`` shingles have exact keys besides. ``broadcast_rows`` bounds what is broadcast; beyond,
     the same join is shuffled."""
 
     width: int = 8
-    bands: int = 10
-    rows: int = 4
+    bands: int = 8
+    rows: int = 3
     similarity: float = 0.8
     short: int = 24
     broadcast_rows: int = 500_000
 
 
-SKETCH = 4  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 
 
-def _shingles(line: Column, o: LineOptions) -> Column:
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{o.width}}}))"), F.lit(1))
-    return F.when(F.length(line) <= o.width, F.array(line)).otherwise(every)
+def _coded(line: str) -> Column:
+    """The line as UTF-32, where a shingle is a slice at a known place."""
+    return F.encode(line, "UTF-32").alias("e")
 
 
-def _sketch(shingles: Column) -> list[Column]:
-    """XOR of one bit for each shingle: sketches of two sets differ in no more bits than the sets in shingles."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(SKETCH - 1)
+def _last(coded: str, o: LineOptions) -> Column:
+    return F.greatest(F.lit(0), (F.octet_length(coded) / 4).cast("int") - o.width)
 
-    def fold(w: int) -> Column:
-        return F.aggregate(shingles, F.lit(0).cast("long"), lambda s, x: F.when(word(x) == w, s.bitwiseXOR(bit(x))).otherwise(s)).alias(f"k{w}")
 
-    return [fold(w) for w in range(SKETCH)]
+def _hashed(lines: DataFrame, o: LineOptions) -> DataFrame:
+    """A row for every shingle of the column ``line``: the other columns, its place ``k`` and XXH64 ``x``; in generated code throughout."""
+    kept = [c for c in lines.columns if c != "line"]
+    each = lines.select(*kept, _coded("line")).select(*kept, "e", F.explode(F.sequence(F.lit(0), _last("e", o))).alias("k"))
+    return each.select(*kept, "k", F.expr(f"xxhash64(substring(e, 4 * k + 1, {4 * o.width}))").alias("x"))
 
 
 def _may_be_similar(a: str, b: str, o: LineOptions) -> Column:
@@ -59,34 +58,23 @@ def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
     return df.select(*[F.col(c).alias(key if c == "h" else f"{prefix}{c}") for c in df.columns])
 
 
-def _masks(n: int) -> list[int]:
-    """``n`` spread-out 64-bit numbers, from one rule."""
-    out, x = [], 0
-    for _ in range(n):
-        x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
-        z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
-        z ^= z >> 31
-        out.append(z - (1 << 64) if z >> 63 else z)
-    return out
-
-
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, pos, line, h)``: lines with more than white space of documents with an id; ``h`` is the line's XXH64."""
-    split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    """``(doc, own, pos, line, h)``: lines with more than white space of documents with an id; ``own`` is the whole text's XXH64
+    and tells rows with one id apart, ``h`` the line's."""
+    split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("own"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     return split.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
 
 
 def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     """``(h, first_doc, n, bands)`` for every distinct line.
 
-    Each minimum is over its own 64-bit hash of the shingles: XXH64 of theirs XOR a mask.
+    Shingles are cut, hashed and folded in generated code.  Each minimum is over its own 64-bit hash of the shingles: XXH64 of theirs XOR a mask.
     All is folded by the line's hash before the shuffle, so neither a line that a third of all documents
     hold nor its text is sent more than once a task.
     """
-    each = occ.select("doc", "h", F.posexplode_outer(_shingles(F.col("line"), o)).alias("k", "s")).select("doc", "h", "k", F.xxhash64("s").alias("x"))
-    minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(m)))).alias(f"m{j}") for j, m in enumerate(_masks(o.bands * o.rows))]
-    folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("n"), F.max("k").alias("last"), *minima)
+    each = _hashed(occ.select("doc", "h", "line"), o)
+    minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(m)))).alias(f"m{j}") for j, m in enumerate(hash_masks(o.bands * o.rows))]
+    folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)])
     return folded.select("h", "first_doc", "n", bands.alias("bands"))
 
@@ -99,26 +87,52 @@ def short_keys(occ: DataFrame, o: LineOptions) -> DataFrame:
     2 (n = 1) the shingle is the key: a similar set equals it.
     """
     brief = occ.where(F.length("line") < o.short + o.width).select("h", "line").distinct()
-    sets = brief.select("h", F.sort_array(F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda x: F.xxhash64(x))).alias("set"))
+    sets = _hashed(brief, o).groupBy("h").agg(F.sort_array(F.collect_set("x")).alias("set"))
     n = F.size("set")
     sets = sets.select("h", F.slice("set", F.lit(1), n - F.ceil(o.similarity * n - F.lit(1e-9)).cast("int") + 2).alias("first"), n.alias("n"))
     twos = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(F.lit("short"), x, y))))
     return sets.select(F.explode(F.when(F.col("n") == 1, F.transform("first", lambda x: F.xxhash64(F.lit("short"), x))).otherwise(twos)).alias("band"), "h")
 
 
-def _few(df: DataFrame, o: LineOptions) -> DataFrame:
-    """Marked for a broadcast if it has at most ``broadcast_rows`` rows."""
-    return F.broadcast(df) if df.count() <= o.broadcast_rows else df
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, shared: Column, o: LineOptions) -> DataFrame:
-    """The pairs (a, b, and other columns) whose sets are similar enough; ``shared`` is how many elements they share."""
-    ends = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h"), "ends")
-    here = sets.join(_few(ends, o), "h", "left_semi")
-    left = pairs.join(_named(here, "a_", "a"), "a")
-    right = _named(here, "b_", "_b")
-    both = left.join(right, (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", o)).withColumn("shared", shared)
-    return both.where(F.col("shared") >= o.similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select(pairs.columns)
+class LineSets:
+    """Shingle sets of distinct lines.  XOR sketches, one bit for each shingle, differ in no more bits than the sets in
+    shingles; of pairs that pass all shingles are counted (as XXH64 of them), from the lines' texts.  All shingles
+    of a line or a pair meet in one task, so they are not shuffled themselves."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str):
+        self.docs, self.known, self.o, self.id_col, self.text_col = docs, known, o, id_col, text_col
+
+    def prepare(self, wanted: DataFrame) -> None:
+        o, rows = self.o, self.o.broadcast_rows
+        wanted = saved(wanted.join(self.known.select("h", "first_doc"), "h"), "wanted")
+        carriers = saved(wanted.select(F.col("first_doc").alias(self.id_col)).distinct(), "carriers")
+        held = self.docs.join(few(carriers, rows), self.id_col, "left_semi")
+        split = held.select(F.col(self.id_col).alias("doc"), F.explode(F.array_distinct(F.split(self.text_col, "\n"))).alias("line"))
+        texts = split.withColumn("h", F.xxhash64("line")).join(few(wanted, rows), "h").where("doc = first_doc")
+        self.texts = saved(texts.select("h", "line").distinct(), "texts")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
+        words = _hashed(self.texts.repartition("h"), o).groupBy("h", "x").agg(F.lit(1)).groupBy("h", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1).alias("w"))
+        words = words.agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("n"))
+        parts = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]
+        self.sketches = saved(words.groupBy("h").agg(F.sum("n").alias("size"), *parts), "sketches")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        left = pairs.join(_named(self.sketches, "a_", "a"), "a")
+        both = left.join(_named(self.sketches, "b_", "_b"), (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", self.o))
+        return both.select(*pairs.columns)
+
+    def near_pivots(self, ranked: DataFrame, done: int, until: int) -> DataFrame:
+        full = saved(ranked.join(self.sketches, "h"), "sketched")
+        pivots = full.where((F.col("rank") > done) & (F.col("rank") <= until))
+        near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", self.o)
+        return _named(pivots, "a_", "ha").join(_named(full, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        side = [pairs.select("a", "b").join(self.texts.withColumnRenamed("h", c), c).select("a", "b", F.lit(bit).alias("side"), "line") for c, bit in (("a", 1), ("b", 2))]
+        each = _hashed(side[0].union(side[1]).repartition("a", "b"), self.o)
+        sums = each.groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides")).groupBy("a", "b")
+        sums = sums.agg(F.sum((F.col("sides") == 3).cast("int")).alias("shared"), F.count("*").alias("all"))
+        return pairs.join(sums.where(F.col("shared") >= self.o.similarity * F.col("all") - 1e-9), ["a", "b"], "left_semi")
 
 
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
@@ -126,76 +140,16 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
 
     Lines that share a band, or a key of short lines, are candidates; shingles themselves are compared.
     """
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = saved(wanted.join(known.select("h", "first_doc"), "h"), "wanted")
-        carriers = saved(wanted.select(F.col("first_doc").alias(id_col)).distinct(), "carriers")
-        split = docs.join(_few(carriers, o), id_col, "left_semi").select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
-        texts = split.withColumn("h", F.xxhash64("line")).join(_few(wanted, o), "h").where("doc = first_doc")
-        sets = texts.select("h", "line", F.transform(F.array_distinct(_shingles(F.col("line"), o)), lambda s: F.xxhash64(s)).alias("set"))
-        return sets.select("h", "line", F.size("set").alias("size"), *_sketch(F.col("set")))
-
     banded = known.select(F.explode("bands").alias("band"), "h")
     banded = banded.union(saved(short_keys(occurrences(docs, id_col, text_col), o), "short"))
-    shared = F.size(F.array_intersect(_shingles(F.col("a_line"), o), _shingles(F.col("b_line"), o)))
-    return similar_sets(banded, sets_of, "line", shared, o)
-
-
-def similar_sets(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], payload: str, shared: Column, o: LineOptions) -> DataFrame:
-    """``(h, component)`` of sets that are similar to another one with which they share a band, from ``(band, h)``.
-
-    ``sets_of`` gets the ``h`` that are asked for and returns ``(h, payload, size, k0, k1, ...)``.
-    Those of a band are first held against the one of them that
-    shares most bands with most others, as the original of many near copies does; what is found similar is
-    then one component.  Where a band has several components left, its members are held against the next 8, 64,
-    512 ... of other components, until each pair of a band either is in one component or was compared.
-    Sketches are compared inside the join, so that only pairs leave it that may reach the similarity: near
-    copies of one text take pairs in proportion to their number, and no candidate is dropped.
-    """
-    groups = saved(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("m")).where("m > 1"), "groups")
-    large = saved(groups.where("m > 2").select("band", "m"), "large")
-    if (n := large.count()) <= o.broadcast_rows:
-        members = banded.join(F.broadcast(large), "band")
-    else:
-        members = lookup(banded, large.withColumn("weight", F.col("m")), "band", "weight", "h", large.agg(F.sum("m")).first()[0]).where("m is not null")
-    members = saved(members.select("band", "h", "m"), "members")
-    central = members.groupBy("h").agg(F.sum("m").alias("degree"))
-    members = saved(members.join(central, "h").select("band", "h", "m", F.struct((-F.col("degree")).alias("d"), F.col("h").alias("h")).alias("place")), "placed")
-    first = members.groupBy("band").agg(F.min("place")["h"].alias("a"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.select("band", F.col("h").alias("b")).join(first, "band").where("a <> b").select(*ordered("a", "b"))
-    pairs = saved(groups.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(star).distinct(), "pairs")
-    wanted = members.select("h").union(groups.where("m = 2").select(F.explode(F.array("low", "high")))).distinct()
-    sets = saved(sets_of(wanted), "sets")
-    found = saved(connected_components(_verified(pairs, sets, shared, o)).withColumnRenamed("node", "h"), "components")
-    ranked, done = None, 1
-    while n:
-        named = (members if ranked is None else ranked).join(found, "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
-        open_ = named.where(F.col("m") > done).groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        named = saved(named.join(open_, "band", "left_semi"), "open")
-        if named.isEmpty():
-            break
-        if ranked is None:
-            rank = F.row_number().over(Window.partitionBy("band").orderBy("place"))
-            named = saved(named.withColumn("rank", rank).drop("place").join(sets.drop(payload), "h"), "ranked")
-        ranked, until = named.drop("label"), done * 8 + 1
-        pivots = named.where((F.col("rank") > done) & (F.col("rank") <= until))
-        near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", o)
-        more = _named(pivots, "a_", "ha").join(_named(named, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
-        more = saved(more.select(*ordered("ha", "hb"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "pairs")
-        merged = connected_components(_verified(more, sets, shared, o).select("la", "lb").distinct(), "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
-        merged = saved(merged, "merged")
-        both = found.select("h", F.col("component").alias("label")).join(merged, "label", "left").select("h", F.coalesce("to", "label").alias("component"))
-        alone = merged.select(F.col("label").alias("h"), F.col("to").alias("component")).join(found, "h", "left_anti")
-        found, done = saved(both.union(alone), "components"), until
-    return found
+    return similar_sets(banded, LineSets(docs, known, o, id_col, text_col), o.broadcast_rows)
 
 
 def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, removed)``: for documents that lose lines, their sorted positions (from 0).
+    """``(doc, own, removed)``: for documents that lose lines, their sorted positions (from 0); ``own`` is the whole text's XXH64.
 
     Equal lines, and lines in one component of similar ones, are a class; of each class the line of
-    the smallest id, and there of the smallest position, stays.
+    the smallest id stays, there (if rows share the id) of the smallest text hash, and there of the smallest position.
     """
     occ = occurrences(docs, id_col, text_col)
     known = saved(signatures(occ, o), "lines")
@@ -206,27 +160,29 @@ def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str
     classes = saved(named.join(first, "component").select("h", "n", "component", "keep_doc"), "classes")
     size = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
     if size.rows <= o.broadcast_rows:
-        named = occ.select("doc", "pos", "h").join(F.broadcast(classes.drop("n")), "h")
+        named = occ.select("doc", "own", "pos", "h").join(F.broadcast(classes.drop("n")), "h")
     else:
-        named = lookup(occ.select("doc", "pos", "h"), classes, "h", "n", "pos", size["lines"]).where("component is not null")
-    again = saved(named.select("doc", "pos", "component", "keep_doc"), "again")
-    kept = again.where("doc = keep_doc").groupBy("component", "doc").agg(F.min("pos").alias("pos")).select("doc", "pos")
-    gone = again.select("doc", "pos").join(kept, ["doc", "pos"], "left_anti").distinct()
-    return saved(gone.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")
+        named = lookup(occ.select("doc", "own", "pos", "h"), classes, "h", "n", "pos", size["lines"]).where("component is not null")
+    again = saved(named.select("doc", "own", "pos", "component", "keep_doc"), "again")
+    kept = again.where("doc = keep_doc").groupBy("component", "doc").agg(F.min(F.struct("own", "pos")).alias("at")).select("doc", "at.own", "at.pos")
+    gone = again.select("doc", "own", "pos").join(kept, ["doc", "own", "pos"], "left_anti").distinct()
+    return saved(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")
 
 
 def remove_duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` with all but one line of each class removed from the texts; other lines and all columns stay as they are.
 
     Lines of white space stay.  Null and empty texts have no lines; rows with a null id are left as they are and don't
-    take part; rows with the same id count as one document. ``report`` adds ``_removed`` (positions, null if
-    none). Lines are told apart by a 64-bit hash; two different ones meet in it with a chance of n^2 / 2^65.
+    take part; rows with one id but different texts are documents of their own, rows that agree in both count as one and come out alike.
+    ``report`` adds ``_removed`` (positions, null if none) in place of a column of that name. Lines, and texts under one id, are told
+    apart by a 64-bit hash; two different lines meet in it with a chance of n^2 / 2^65.
     """
-    gone = duplicate_lines(docs, o, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("_removed")), F.lit(0)).alias("lines")).first()
-    few = size.docs <= o.broadcast_rows and size.lines <= 4 * o.broadcast_rows
-    base = docs.drop("_doc", "_removed")
-    joined = base.join(F.broadcast(gone) if few else gone, base[id_col] == gone["_doc"], "left")
-    left = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text_col, text).select(*base.columns, *(["_removed"] if report else []))
+    gone = duplicate_lines(docs, o, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("removed").alias("__removed"))
+    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__removed")), F.lit(0)).alias("lines")).first()
+    small = size.docs <= o.broadcast_rows and size.lines <= 4 * o.broadcast_rows
+    joined = docs.join(F.broadcast(gone) if small else gone, (docs[id_col] == gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__own"]), "left")
+    joined = joined.withColumn("__parts", F.when(F.col("__removed").isNotNull(), F.split(text_col, "\n")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__removed")
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get("__parts", i)), "\n"))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if not (report and c == "_removed")]
+    return joined.select(*columns, *([F.col("__removed").alias("_removed")] if report else []))

@@ -1,98 +1,8 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles: MinHash candidates, exact check."""
+"""The former place of ``simhash.keep_one``."""
 
-from __future__ import annotations
+from .simhash import NearOptions
+from .simhash import keep_one as _keep_one
 
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-from .lines import SKETCH, LineOptions, _few, _masks, similar_sets
-from .simhash import only, shingle_hashes
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
-    """Sorted hashes of the word shingles; a text without words has one element of its own."""
-    found = np.unique(shingle_hashes(text, width, seed))
-    return found if len(found) else np.zeros(1, np.uint64)
-
-
-def _digest(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes())
-
-
-def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band: of ``rows`` minima, each over its own hash of the elements."""
-    minima = np.array([_mixed(found ^ np.uint64(m & 0xFFFFFFFFFFFFFFFF)).min() for m in _masks(bands * rows)], np.uint64).reshape(bands, rows)
-    return np.array([xxhash.xxh64_intdigest(minima[b].tobytes(), b) for b in range(bands)], np.uint64)
-
-
-def _sketch_of(found: np.ndarray) -> np.ndarray:
-    """XOR of one bit for each element: sketches of two sets differ in no more bits than the sets in elements."""
-    odd = np.bincount((found % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
-
-
-def _signatures(docs: DataFrame, o: LineOptions, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                sets = [shingle_set(t, width, seed) for t in b.column(1).to_pylist()]
-                keys = np.array([band_keys(s, o.bands, o.rows) for s in sets], np.uint64).view(np.int64)
-                h = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), *[pa.array(keys[:, k]) for k in range(o.bands)]], [id_col, "h", *[f"b{k}" for k in range(o.bands)]])
-
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, h long, " + ", ".join(f"b{k} long" for k in range(o.bands))
-    return docs.select(id_col, text_col).mapInArrow(apply, schema)
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                sets = [shingle_set(t, width, seed) for t in b.column(1).to_pylist()]
-                words = np.array([_sketch_of(s) for s in sets], np.uint64).view(np.int64)
-                h = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                size = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), lists, size, *[pa.array(words[:, k]) for k in range(SKETCH)]], [id_col, "h", "set", "size", *[f"k{k}" for k in range(SKETCH)]])
-
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, h long, set array<long>, size int, " + ", ".join(f"k{k} long" for k in range(SKETCH))
-    return docs.select(id_col, text_col).mapInArrow(apply, schema)
-
-
-def keep_one(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id, all columns unchanged.
-
-    Linked are documents whose sets of ``width``-word shingles (ASCII case folded) have a Jaccard similarity of
-    ``o.similarity`` or more.  A pair is a candidate if it shares one of ``o.bands`` bands (0.995 at the similarity
-    of 0.8) and is compared exactly.  Equal sets are folded into one before.  A text of at most ``width`` words is one
-    shingle; texts without words equal each other. Rows with a null id stay as they are.
-    """
-    named = docs.where(F.col(id_col).isNotNull())
-    bands = [f"b{k}" for k in range(o.bands)]
-    signed = _signatures(named, o, id_col, text_col, width, seed)
-    distinct = saved(signed.groupBy("h").agg(F.min(id_col).alias("first"), *[F.min(b).alias(b) for b in bands]), "distinct")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = saved(wanted.join(distinct.select("h", "first"), "h"), "wanted")
-        carriers = named.join(_few(wanted.select(F.col("first").alias(id_col)).distinct(), o), id_col, "left_semi")
-        here = _sets(carriers, id_col, text_col, width, seed).join(_few(wanted, o), "h").where(F.col(id_col) == F.col("first"))
-        return here.select("h", "set", "size", *[f"k{k}" for k in range(SKETCH)])
-
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    graph = similar_sets(distinct.select(F.explode(F.array(*bands)).alias("band"), "h"), sets_of, "set", shared, o)
-    of = distinct.select("h", "first").join(graph, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    return only(docs, of.groupBy("component").agg(F.min("first").alias(id_col)).select(id_col).distinct(), id_col)
+def keep_one(docs, width: int = 5, seed: int = 42):
+    return _keep_one(docs, NearOptions(width=width, seed=seed))

@@ -313,17 +313,19 @@ def brute_components(n, linked):
     return [find(k) for k in range(n)]
 
 
-def test_lines(spark, docs, corpus):
+def line_shingles(x, width=8):
+    return {x[k : k + width] for k in range(max(1, len(x) - width + 1))}
+
+
+def test_lines(docs, corpus):
     o = lines.LineOptions(bands=40, rows=2)  # so many bands that no similar pair is missed
     seen = [(i, p, x) for i, t in dict(corpus).items() for p, x in enumerate((t or "").split("\n")) if x.strip()]
     distinct = sorted({x for _, _, x in seen})
-    table = spark.createDataFrame([(x,) for x in distinct], "line string")
-    sets = {r.line: set(r.s) for r in table.select("line", lines._shingles(F.col("line"), o).alias("s")).collect()}
-    sizes = {r.line: r.n for r in table.select("line", F.size(lines._shingles(F.col("line"), o)).alias("n")).collect()}
+    sets = {x: line_shingles(x) for x in distinct}
 
     def linked(a, b):
         x, y = distinct[a], distinct[b]
-        return min(sizes[x], sizes[y]) >= 5 and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+        return len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
 
     of = dict(zip(distinct, brute_components(len(distinct), linked), strict=True))
     assert len(set(of.values())) < len(of)
@@ -331,7 +333,7 @@ def test_lines(spark, docs, corpus):
     for i, p, x in sorted(seen):
         first.setdefault(of[x], (i, p))
     want = {i: [p for j, p, x in sorted(seen) if j == i and first[of[x]] != (i, p)] for i, _ in corpus}
-    got = lines.remove_duplicate_lines(docs.drop("_removed"), o, report=True).collect()
+    got = lines.remove_duplicate_lines(docs, o, report=True).collect()
     assert len(got) == len(corpus) and {r.doc_id: r._removed or [] for r in got} == want
     texts = dict(corpus)
     assert all(r.text == (texts[r.doc_id] if not want[r.doc_id] else "\n".join(x for p, x in enumerate(texts[r.doc_id].split("\n")) if p not in want[r.doc_id])) for r in got)
@@ -343,6 +345,31 @@ def test_lines_without_broadcast(docs, empty):
     assert lines.remove_duplicate_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Texts under one id are documents of their own; rows that agree in both come out alike; null ids take no part."""
+    a, b, c = "first line of the one text\nand its second line", "a line that occurs once\nfirst line of the one text", "漢字 and 😀 beyond the basic plane, once"
+    rows = [(2, a), (2, b), (2, b), (3, a), (3, c), (None, a), (4, None), (4, ""), (4, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("own") for x in ("_removed", "doc", "own", "h", "__x")})
+    got = lines.remove_duplicate_lines(docs).collect()
+    assert len(got) == len(rows) and all(r._removed == r.own == r.doc == "own" for r in got)
+    texts = Counter((r.doc_id, r.text) for r in got)
+    assert texts[2, "a line that occurs once"] in (0, 2) and texts[3, c] == 1 and texts[None, a] == 1 and texts[4, None] == 1 and texts[4, ""] == 1 and texts[4, " \n"] == 1
+    left = {x for (i, t) in texts if i for x in (t or "").split("\n")}
+    assert {*a.split("\n"), *b.split("\n"), c} <= left
+    one = lines.remove_duplicate_lines(spark.createDataFrame([("y", a), ("x", a)], "doc_id string, text string"))
+    assert {(r.doc_id, r.text) for r in one.collect()} == {("x", a), ("y", "")}
+
+
+def test_lines_of_a_very_long_text(spark):
+    """60,000 lines that differ in numbers alone, one line of a million characters, and a near copy of it."""
+    rng = random.Random(9)
+    many = "\n".join(f"{rng.getrandbits(60):x} {k} {rng.getrandbits(60):x}" for k in range(20_000))
+    long = "".join(rng.choices("abcdefghij ", k=1_000_000))
+    rows = [(1, "\n".join([many] * 3)), (2, long), (3, long[:500_000] + "#" + long[500_000:]), (4, many.split("\n", 1)[0])]
+    got = {r.doc_id: r.text for r in lines.remove_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: many, 2: long, 3: "", 4: ""}
+
+
 def removed_lines(spark, texts, o=None):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = lines.remove_duplicate_lines(rows, o or lines.LineOptions(), report=True).collect()
@@ -358,12 +385,19 @@ def test_lines_read_every_character(spark):
 def test_lines_recall_at_the_threshold(spark):
     """Bands of the production parameters against brute force, over pairs of lines just above the similarity."""
     rng, o, pairs = random.Random(11), lines.LineOptions(), []
-    shingles = lambda x: {x[k : k + o.width] for k in range(len(x) - o.width + 1)}
     while len(pairs) < 1500:
-        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.choice((75, 90, 110)))).replace(" ", "x")
-        b = a[: len(a) - rng.randrange(8, 13)] + "".join(rng.choices("0123456789", k=rng.randrange(0, 9)))
-        both = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
-        if 0.8 <= both < 0.82:
+        kind = len(pairs) % 3  # letters with the end changed; short words with one changed; numbers with one changed
+        if kind == 0:
+            a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice((75, 90, 110))))
+            b = a[: len(a) - rng.randrange(8, 13)] + "".join(rng.choices("0123456789", k=rng.randrange(0, 9)))
+        else:
+            words = ["".join(rng.choices("0123456789" if kind == 2 else "aeinorst", k=rng.randrange(1, 4))) for _ in range(rng.randrange(20, 120))]
+            a = " ".join(words)
+            for _ in range(rng.randrange(1, 6)):
+                words[rng.randrange(len(words))] = "xy"
+            b = " ".join(words)
+        x, y = line_shingles(a), line_shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
             pairs.append((a, b))
     rows = [(2 * k + s, x) for k, pair in enumerate(pairs) for s, x in enumerate(pair)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -371,6 +405,8 @@ def test_lines_recall_at_the_threshold(spark):
     hashes = {r.doc: r.h for r in lines.occurrences(docs).select("doc", "h").collect()}
     found = sum(bool(of[hashes[2 * k]] & of[hashes[2 * k + 1]]) for k in range(len(pairs))) / len(pairs)
     assert found >= 0.985
+    gone = {r.doc_id for r in lines.remove_duplicate_lines(docs, o, report=True).collect() if r._removed}
+    assert len(gone) >= 0.985 * len(pairs) and all(k % 2 for k in gone)  # none but the second of a pair
 
 
 def test_lines_that_are_short(spark):
@@ -413,7 +449,6 @@ def test_simhash(docs, corpus, empty):
     for bucket in (4096, 2):  # the small bucket splits and splits again
         got = simhash.near_duplicates(docs, bucket=bucket).collect()
         assert sorted((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got) == want
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({c for _, _, c in want})
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -463,6 +498,46 @@ def test_line_dedup_stage(spark):
     assert [r.text for r in got] == want and [r.n_chars for r in got] == list(map(len, want))
 
 
+@pytest.mark.parametrize("block,rows", [(4096, 500_000), (2, -1)])
+def test_near_documents(spark, block, rows):
+    """Against brute force; also with buckets dealt out in small blocks and without broadcasts."""
+    texts = near_copies(random.Random(8))
+    docs = spark.createDataFrame([*texts, (None, "x"), (None, "x")], "doc_id long, text string").withColumns({c: F.lit("own") for c in ("id", "own", "h", "fp", "component", "__id")})
+    kept = simhash.keep_one(docs, simhash.NearOptions(block=block, broadcast_rows=rows))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [*brute_near_documents(texts), None, None]
+
+
+def test_near_documents_that_share_an_id(spark):
+    """No unique text goes; of equal rows one stays."""
+    rng = random.Random(1)
+    s, unique, other = prose(rng, 90), prose(rng, 90), prose(rng, 90)
+    rows = [(1, s), (5, s), (5, unique), (7, other), (7, other), (8, None), (9, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, s), (5, unique), (7, other), (8, None)]
+    named = spark.createDataFrame([("b", s), ("a", s)], "doc_id string, text string")
+    assert [r.doc_id for r in simhash.keep_one(named).collect()] == ["a"]
+    assert simhash.keep_one(named.limit(0)).count() == 0
+
+
+def test_near_documents_recall_at_the_threshold():
+    """Bands and radius of the production parameters over pairs just above the similarity."""
+    rng, o, found, near, n = random.Random(2), simhash.NearOptions(), 0, 0, 0
+    while n < 600:
+        words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(rng.choice((60, 200, 600)))]
+        a = simhash.shingle_set(" ".join(words), 5, 42)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 46)):
+            words[at] = "x"
+        b = simhash.shingle_set(" ".join(words), 5, 42)
+        both = len(np.intersect1d(a, b))
+        if 0.8 <= both / (len(a) + len(b) - both) < 0.85:
+            n += 1
+            found += bool({*simhash.band_keys(a, o.bands, o.rows).tolist()} & {*simhash.band_keys(b, o.bands, o.rows).tolist()})
+            x, y = simhash.prints_of([a, b]).tolist()
+            near += (x ^ y).bit_count() <= o.radius
+    assert found >= 0.985 * n and near >= 0.995 * n
+
+
 def test_near_dedup_stage(spark):
     import corpus_pipeline
 
@@ -476,7 +551,7 @@ def test_bit_sliced_links():
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(30)]
     group = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for b in base for _ in range(9)})
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 3, 7, 20, 63):
         a, b = simhash.bit_sliced_links([np.array(group, np.uint64), np.array(group[:3], np.uint64)], radius)
         want = {(x, y) for x in group for y in group if x > y and (x ^ y).bit_count() <= radius}
         assert {tuple(sorted(p, reverse=True)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want
