@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, lines, neardocs, packing, quality
+from sparkloom.llm import decontaminate, lines, packing, quality, simhash
 from sparkloom.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of their five-word shingles the one with the smallest id."""
-    return neardocs.keep_one(docs, width=5, seed=42)
+    return simhash.keep_one(docs, simhash.NearOptions(width=5, similarity=0.8))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
