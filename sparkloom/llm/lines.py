@@ -13,20 +13,33 @@ from .similar import few, similar_sets
 
 @dataclass(frozen=True)
 class LineOptions:
-    """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.  ``bands`` of
-    ``rows`` minima each are the signature: at a similarity of 0.8 a pair shares a band with probability
-    1 - (1 - 0.8 ** rows) ** bands (0.997 as set; above 0.9999 at 0.9).  Lines of up to ``short`` shingles have exact keys besides. ``broadcast_rows`` bounds what is broadcast; beyond,
-    the same join is shuffled."""
+    """All overlapping character shingles of ``width``; a line of fewer characters is one shingle.
+
+    A signature has ``bands * rows`` minima of one hash of the shingles, each over the part of them that the hash puts in its
+    bin (one-permutation hashing).  Only hashes so small that a bin has ``sure`` of them on average are held: a larger minimum,
+    which a bin has with probability exp(-sure), counts as none.  A bin without a minimum takes another's, in an order that is the
+    same for all lines. At a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands (0.997 as
+    set; above 0.9999 at 0.9).  Lines of up to ``short`` shingles, which fill few bins, have exact keys besides.
+    ``least`` of the minima agree in a pair that is compared, unless one of both has under ``4 * short`` shingles: at 0.8 all but 1 in
+    3,000 do. ``broadcast_rows`` bounds what is broadcast; beyond, the same join is shuffled."""
 
     width: int = 8
     bands: int = 8
     rows: int = 3
     similarity: float = 0.8
     short: int = 24
+    sure: float = 5.0
+    least: int = 12
     broadcast_rows: int = 500_000
 
+    @property
+    def bins(self) -> int:
+        return self.bands * self.rows
 
-SKETCH = 16  # words of 64 bits
+
+def _shingles(line: Column, o: LineOptions) -> Column:
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{o.width}}}))"), F.lit(1))
+    return F.when(F.length(line) <= o.width, F.array(line)).otherwise(every)
 
 
 def _coded(line: str) -> Column:
@@ -38,16 +51,30 @@ def _last(coded: str, o: LineOptions) -> Column:
     return F.greatest(F.lit(0), (F.octet_length(coded) / 4).cast("int") - o.width)
 
 
-def _hashed(lines: DataFrame, o: LineOptions) -> DataFrame:
-    """A row for every shingle of the column ``line``: the other columns, its place ``k`` and XXH64 ``x``; in generated code throughout."""
+def _hashed(lines: DataFrame, o: LineOptions, bound: float | None = None) -> DataFrame:
+    """A row for every shingle of the column ``line``: the other columns, its place ``k``, XXH64 ``x``, and the line's ``size`` in shingles.
+
+    In generated code throughout.  With a ``bound`` only about as many a line, those of the smallest hashes, and the first.
+    """
     kept = [c for c in lines.columns if c != "line"]
-    each = lines.select(*kept, _coded("line")).select(*kept, "e", F.explode(F.sequence(F.lit(0), _last("e", o))).alias("k"))
-    return each.select(*kept, "k", F.expr(f"xxhash64(substring(e, 4 * k + 1, {4 * o.width}))").alias("x"))
+    sized = lines.select(*kept, _coded("line")).select(*kept, "e", (_last("e", o) + 1).alias("size"))
+    each = sized.select(*kept, "e", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
+    each = each.select(*kept, "size", "k", F.expr(f"xxhash64(substring(e, 4 * k + 1, {4 * o.width}))").alias("x"))
+    if bound is None:
+        return each
+    most = F.lit(bound * 2.0**63) / F.col("size")
+    return each.where((F.col("k") == 0) | (F.shiftrightunsigned("x", 1).cast("double") < most))
+
+
+def _agree(a: str, b: str, o: LineOptions) -> Column:
+    """Enough minima agree, or a line is too short to tell."""
+    agree = sum(((F.col(f"{a}m{j}") == F.col(f"{b}m{j}")).cast("int") for j in range(o.bins)), F.lit(0))
+    return (F.least(f"{a}size", f"{b}size") < 4 * o.short) | (agree >= o.least)
 
 
 def _may_be_similar(a: str, b: str, o: LineOptions) -> Column:
     """False only for sets below the similarity: their symmetric difference is at most (1 - s) / (1 + s) of both sizes,
-    the smaller at least s of the larger."""
+    the smaller at least s of the larger; sketches differ in no more bits than the sets in elements."""
     sizes = F.col(f"{a}size"), F.col(f"{b}size")
     differ = sum((F.bit_count(F.col(f"{a}k{w}").bitwiseXOR(F.col(f"{b}k{w}"))) for w in range(SKETCH)), F.lit(0))
     near = differ <= F.floor((1 - o.similarity) / (1 + o.similarity) * (sizes[0] + sizes[1]) + 1e-9)
@@ -62,77 +89,106 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(doc, own, pos, line, h)``: lines with more than white space of documents with an id; ``own`` is the whole text's XXH64
     and tells rows with one id apart, ``h`` the line's."""
     split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("own"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return split.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
+    return split.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("h", F.xxhash64("line"))
+
+
+def _filled(minima: str, o: LineOptions) -> Column:
+    """The array ``minima``, with those of other bins (in an order of its own for each) in place of missing ones."""
+    masks = hash_masks(o.bins * o.bins)
+    order = F.array(*[F.array(*map(F.lit, sorted(range(o.bins), key=lambda k: masks[o.bins * j + k]))) for j in range(o.bins)])  # noqa: B023
+    there = lambda x: x < F.lit(1 << 32)
+    other = lambda j: F.get(F.filter(F.transform(F.get(order, j), lambda i: F.get(minima, i)), there), F.lit(0))
+    return F.transform(minima, lambda x, j: F.when(there(x), x).otherwise(other(j)))
 
 
 def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
-    """``(h, first_doc, n, bands)`` for every distinct line.
+    """``(h, first_doc, n, size, m0, m1, ...)`` for every distinct line: its lines, shingles and minima.
 
-    Shingles are cut, hashed and folded in generated code.  Each minimum is over its own 64-bit hash of the shingles: XXH64 of theirs XOR a mask.
-    All is folded by the line's hash before the shuffle, so neither a line that a third of all documents
-    hold nor its text is sent more than once a task.
+    Shingles are cut, hashed and folded in generated code.  All is folded by the line's hash before the shuffle, so neither
+    a line that a third of all documents hold nor its text is sent more than once a task.
     """
-    each = _hashed(occ.select("doc", "h", "line"), o)
-    minima = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(m)))).alias(f"m{j}") for j, m in enumerate(hash_masks(o.bands * o.rows))]
-    folded = each.groupBy("h").agg(F.min("doc").alias("first_doc"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)])
-    return folded.select("h", "first_doc", "n", bands.alias("bands"))
+    each = _hashed(occ.select("doc", "h", "line"), o, bound=o.sure * o.bins)
+    # y has the bin above 32 bits of hash: XOR a bin's number it is under 2^32 for that bin alone
+    place = F.shiftright(F.col("x").bitwiseAND(0xFFFFFF) * o.bins, 24)
+    held = each.select("doc", "h", "k", "size", F.shiftleft(place, 32).bitwiseOR(F.shiftrightunsigned("x", 33)).alias("y"))
+    minima = [F.min(F.col("y").bitwiseXOR(F.lit(j << 32))).alias(f"m{j}") for j in range(o.bins)]
+    lines = F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n")
+    folded = held.groupBy("h").agg(F.min("doc").alias("first_doc"), lines, F.max("size").alias("size"), *minima)
+    kept = ["h", "first_doc", "n", "size"]
+    filled = folded.select(*kept, F.array(*[f"m{j}" for j in range(o.bins)]).alias("minima")).select(*kept, _filled("minima", o).alias("filled"))
+    return filled.select(*kept, *[F.get("filled", F.lit(j)).cast("int").alias(f"m{j}") for j in range(o.bins)])
 
 
-def short_keys(occ: DataFrame, o: LineOptions) -> DataFrame:
-    """``(band, h)`` for lines of at most ``short`` shingles: two of them that are similar share a key for certain.
+def bands(known: DataFrame, o: LineOptions) -> DataFrame:
+    """``(band, h)`` of signatures."""
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)]) for b in range(o.bands)]
+    return known.select(F.explode(F.array(*keys)).alias("band"), "h")
+
+
+def short_keys(lines: DataFrame, o: LineOptions) -> DataFrame:
+    """``(band, h)`` of lines (h, line) of at most ``short`` shingles: two of them that are similar share a key for certain.
 
     Sets of n shingles share t = ceil(s * n) of them with any similar set.  In order of their hashes the first
     two that are shared are then among the first n - t + 2 of both, and each two of these are a key.  With t under
     2 (n = 1) the shingle is the key: a similar set equals it.
     """
-    brief = occ.where(F.length("line") < o.short + o.width).select("h", "line").distinct()
-    sets = _hashed(brief, o).groupBy("h").agg(F.sort_array(F.collect_set("x")).alias("set"))
+    sets = _hashed(lines.where(F.length("line") < o.short + o.width).distinct(), o).groupBy("h").agg(F.sort_array(F.collect_set("x")).alias("set"))
     n = F.size("set")
     sets = sets.select("h", F.slice("set", F.lit(1), n - F.ceil(o.similarity * n - F.lit(1e-9)).cast("int") + 2).alias("first"), n.alias("n"))
     twos = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(F.lit("short"), x, y))))
     return sets.select(F.explode(F.when(F.col("n") == 1, F.transform("first", lambda x: F.xxhash64(F.lit("short"), x))).otherwise(twos)).alias("band"), "h")
 
 
+SKETCH = 16  # words of 64 bits
+
+
 class LineSets:
-    """Shingle sets of distinct lines.  XOR sketches, one bit for each shingle, differ in no more bits than the sets in
-    shingles; of pairs that pass all shingles are counted (as XXH64 of them), from the lines' texts.  All shingles
-    of a line or a pair meet in one task, so they are not shuffled themselves."""
+    """Shingle sets of distinct lines.  Signatures tell which pairs may be similar; of these all shingles are compared, from
+    the lines' texts.  Where many lines of a band are held against each other, pairs must also pass XOR sketches of
+    all shingles, one bit for each."""
 
     def __init__(self, docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str):
         self.docs, self.known, self.o, self.id_col, self.text_col = docs, known, o, id_col, text_col
 
-    def prepare(self, wanted: DataFrame) -> None:
-        o, rows = self.o, self.o.broadcast_rows
-        wanted = saved(wanted.join(self.known.select("h", "first_doc"), "h"), "wanted")
+    def lines(self, wanted: DataFrame) -> DataFrame:
+        """``(h, line)`` of ``wanted`` (h, first_doc), from one document of each; of rows that share an id perhaps twice."""
+        rows = self.o.broadcast_rows
         carriers = saved(wanted.select(F.col("first_doc").alias(self.id_col)).distinct(), "carriers")
         held = self.docs.join(few(carriers, rows), self.id_col, "left_semi")
         split = held.select(F.col(self.id_col).alias("doc"), F.explode(F.array_distinct(F.split(self.text_col, "\n"))).alias("line"))
-        texts = split.withColumn("h", F.xxhash64("line")).join(few(wanted, rows), "h").where("doc = first_doc")
-        self.texts = saved(texts.select("h", "line").distinct(), "texts")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
-        words = _hashed(self.texts.repartition("h"), o).groupBy("h", "x").agg(F.lit(1)).groupBy("h", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1).alias("w"))
-        words = words.agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("n"))
-        parts = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]
-        self.sketches = saved(words.groupBy("h").agg(F.sum("n").alias("size"), *parts), "sketches")
+        return split.withColumn("h", F.xxhash64("line")).join(few(wanted, rows), "h").where("doc = first_doc").select("h", "line")
+
+    def prepare(self, wanted: DataFrame) -> None:
+        self.signed = saved(self.known.join(few(wanted, self.o.broadcast_rows), "h", "left_semi"), "signed")
+        self.sketches: DataFrame | None = None
+        self.texts = saved(self.lines(self.signed.select("h", "first_doc")), "texts")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        left = pairs.join(_named(self.sketches, "a_", "a"), "a")
-        both = left.join(_named(self.sketches, "b_", "_b"), (F.col("b") == F.col("_b")) & _may_be_similar("a_", "b_", self.o))
+        signed = self.signed.drop("first_doc", "n")
+        left = pairs.join(_named(signed, "a_", "a"), "a")
+        both = left.join(_named(signed, "b_", "_b"), (F.col("b") == F.col("_b")) & _agree("a_", "b_", self.o))
         return both.select(*pairs.columns)
 
     def near_pivots(self, ranked: DataFrame, done: int, until: int) -> DataFrame:
+        if self.sketches is None:  # later ranks are some of the first
+            asked = self.texts.join(few(ranked.select("h").distinct(), self.o.broadcast_rows), "h", "left_semi")
+            each = asked.select("h", F.array_distinct(_shingles(F.col("line"), self.o)).alias("set")).select("h", F.size("set").alias("size"), F.explode("set").alias("s"))
+            each = each.select("h", "size", F.xxhash64("s").alias("x")).withColumn("w", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
+            words = each.groupBy("h", "size", "w").agg(F.bit_xor(bit).alias("bits")).groupBy("h", "size")
+            self.sketches = saved(words.agg(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]), "sketches")
         full = saved(ranked.join(self.sketches, "h"), "sketched")
         pivots = full.where((F.col("rank") > done) & (F.col("rank") <= until))
         near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", self.o)
         return _named(pivots, "a_", "ha").join(_named(full, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        side = [pairs.select("a", "b").join(self.texts.withColumnRenamed("h", c), c).select("a", "b", F.lit(bit).alias("side"), "line") for c, bit in (("a", 1), ("b", 2))]
-        each = _hashed(side[0].union(side[1]).repartition("a", "b"), self.o)
-        sums = each.groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides")).groupBy("a", "b")
-        sums = sums.agg(F.sum((F.col("sides") == 3).cast("int")).alias("shared"), F.count("*").alias("all"))
-        return pairs.join(sums.where(F.col("shared") >= self.o.similarity * F.col("all") - 1e-9), ["a", "b"], "left_semi")
+        both = pairs
+        for c in "ab":
+            both = both.join(self.texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line")), c)
+        sets = [_shingles(F.col(f"{c}_line"), self.o) for c in "ab"]
+        counted = saved(both.select(*pairs.columns, F.size(F.array_intersect(*sets)).alias("shared"), F.size(F.array_union(*sets)).alias("all")), "counted")
+        return counted.where(F.col("shared") >= self.o.similarity * F.col("all") - 1e-9).select(*pairs.columns)
 
 
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:
@@ -140,9 +196,10 @@ def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str
 
     Lines that share a band, or a key of short lines, are candidates; shingles themselves are compared.
     """
-    banded = known.select(F.explode("bands").alias("band"), "h")
-    banded = banded.union(saved(short_keys(occurrences(docs, id_col, text_col), o), "short"))
-    return similar_sets(banded, LineSets(docs, known, o, id_col, text_col), o.broadcast_rows)
+    sets = LineSets(docs, known, o, id_col, text_col)
+    brief = saved(known.where(F.col("size") <= o.short).select("h", "first_doc"), "brief")
+    keys = bands(known, o).union(saved(short_keys(sets.lines(brief), o), "short"))
+    return similar_sets(keys, sets, o.broadcast_rows)
 
 
 def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
