@@ -39,6 +39,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def posix_root(spark: SparkSession) -> str | None:
+    """``scratch_root`` as a path that plain file calls reach on every executor; None if it is in a store that only Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return path.toUri().getPath() if store == "file" else None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/sparkloom/{uuid.uuid4().hex}/{label}"
     if not _written:

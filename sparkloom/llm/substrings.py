@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, saved, scratch_root
+from .common import lookup, posix_root, saved
 from .suffix import Workspace, sort_suffixes
 
 
@@ -32,10 +32,14 @@ class SubstringOptions:
     chunk: int = 16
     group: int = 20_000
     shard: int = 40_000
-    memory: int = 128 << 20
+    memory: int = 16 << 20
     broadcast_rows: int = 1_500_000
     broadcast_items: int = 4_000_000
 
+    def __post_init__(self):
+        if not (1 <= self.gram <= self.length and 1 <= self.chunk <= self.length):
+            raise ValueError("gram and chunk go from 1 to length")
+
     @property
     def windows(self) -> int:
         return self.length - self.gram + 1
@@ -158,7 +162,7 @@ def anchors(table: DataFrame, o: SubstringOptions) -> DataFrame:
         if n < o.length:
             return None
         hashes, g, p, first, last = _anchors(np.frombuffer(_bytes(text), np.uint8), o)
-        rh = hashes.of(first, last + o.length, (p - first) * 1000 + (p - last))
+        rh = hashes.of(first, last + o.length, ((p - first) << 24) + (p - last))
         return _signed(g), _signed(rh), _many(th, len(p)), _many(n, len(p)), pa.array(p), pa.array(first), pa.array(last)
 
     names = ["g", "rh", "th", "n", "p", "first", "last"]
@@ -192,10 +196,10 @@ def _chunks(table: DataFrame, places: DataFrame, o: SubstringOptions) -> DataFra
     ``s`` is the first window's start, ``a`` how far it is before the core, ``w`` the number of windows.
     """
 
-    def make(text: str, th: int, n: int, places: list[int]):
+    def make(text: str, th: int, n: int, places: list[int], firsts: list[int], lasts: list[int]):
         hashes = _Hashes(np.frombuffer(_bytes(text), np.uint8))
-        x = np.array(places, np.int64)
-        p, most, least = x >> 16, x >> 8 & 255, x & 255  # how far before p windows start, at most and at least
+        p = np.array(places, np.int64)
+        most, least = p - np.array(firsts, np.int64), p - np.array(lasts, np.int64)  # how far before p windows start
         out = []
         for j in range(int(least.min()) // o.chunk, int(most.max()) // o.chunk + 1):
             l0, l1 = np.maximum(least, j * o.chunk), np.minimum(most, (j + 1) * o.chunk - 1)
@@ -204,10 +208,11 @@ def _chunks(table: DataFrame, places: DataFrame, o: SubstringOptions) -> DataFra
             s, w = core - a, l1[k] - l0[k] + 1
             out.append((hashes.of(core, core + o.core, 1 + j), hashes.of(s, s + w - 1 + o.length, a), s, a, w))
         ck, cr, s, a, w = (np.concatenate([x[i] for x in out]) for i in range(5))
-        return _signed(ck), _signed(cr), _many(th, len(s)), _many(n, len(s)), pa.array(s), pa.array(a.astype(np.int8)), pa.array(w.astype(np.int8))
+        return _signed(ck), _signed(cr), _many(th, len(s)), _many(n, len(s)), pa.array(s), pa.array(a.astype(np.int32)), pa.array(w.astype(np.int32))
 
-    rows = _at_places(table, places, ["packed"], o).select("text", "th", "n", "packed")
-    return rows.mapInArrow(_each(make, ["ck", "cr", "th", "n", "s", "a", "w"]), "ck long, cr long, th long, n long, s long, a byte, w byte")
+    items = ["p", "first", "last"]
+    rows = _at_places(table, places, items, o).select("text", "th", "n", *items)
+    return rows.mapInArrow(_each(make, ["ck", "cr", "th", "n", "s", "a", "w"]), "ck long, cr long, th long, n long, s long, a int, w int")
 
 
 def _with_bytes(table: DataFrame, chunks: DataFrame, o: SubstringOptions) -> DataFrame:
@@ -236,35 +241,46 @@ def repeated_windows(ck: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.
     order one has ``length`` bytes or more in common.
 
     A chunk has ``a`` bytes before its core and w - a + chunk - 2 after it, and ``w`` windows; ``left`` and ``right`` have
-    all chunks' such bytes in a row.  A core counts as one symbol of its whole length.
+    all chunks' such bytes in a row.  A core counts as one symbol of its whole length.  What has an element for each
+    symbol belongs to the workspace and is worked on in blocks.
     """
     n = len(ck)
     kinds, core = np.unique(ck, return_inverse=True)
     # numbers in an order that has nothing to do with the strings': induced suffixes then lie far from their sources
     mixed = np.random.default_rng(0)
-    core = mixed.permutation(len(kinds))[core]
+    core, number = mixed.permutation(len(kinds))[core], mixed.permutation(n) + 1
     after = w - a + o.chunk - 2
     # each string is [its number][left][core][right]: no two numbers are equal, so nothing in common goes past an end
     starts = np.concatenate([[0], np.cumsum(a + after + 2)])
+    lefts, rights = np.concatenate([[0], np.cumsum(a)]), np.concatenate([[0], np.cumsum(after)])
     at_core = starts[:-1] + a + 1
     text = space.array(int(starts[-1]) + 1, np.int32 if 2 * n + 300 < 2**31 else np.int64)
-    place = np.arange(len(left)) + np.repeat(starts[:-1] + 1 - (np.cumsum(a) - a), a)
-    text[place] = left.astype(text.dtype) + n + 1
-    place = np.arange(len(right)) + np.repeat(at_core + 1 - (np.cumsum(after) - after), after)
-    text[place] = right.astype(text.dtype) + n + 1
-    text[starts[:-1]] = mixed.permutation(n) + 1
-    text[at_core] = n + 257 + core
+    step = max(1, space.block // (2 * o.chunk))
+    for x in range(0, n, step):
+        y = min(n, x + step)
+        own = np.arange(x, y)
+        part = np.empty(int(starts[y] - starts[x]), text.dtype)
+        at = starts[x:y] - starts[x]
+        part[at], part[at_core[x:y] - starts[x]] = number[own], n + 257 + core[own]
+        for raw, ends, size, first in ((left, lefts, a, at + 1), (right, rights, after, at_core[x:y] - starts[x] + 1)):
+            some = raw[ends[x] : ends[y]]
+            part[np.arange(len(some)) + np.repeat(first - (ends[x:y] - ends[x]), size[x:y])] = some.astype(text.dtype) + n + 1
+        text[starts[x] : starts[y]] = part
     text[-1] = 0
-    weight = np.ones(len(text), np.int64)
-    weight[at_core] = o.core
-    far = np.concatenate([[0], np.cumsum(weight)])
     sa, lcp = sort_suffixes(text, space)
-    common = far[sa + lcp] - far[sa]  # in bytes, with the suffix before
-    near = np.maximum(common, np.append(common[1:], 0))
-    long_enough = np.zeros(len(text), bool)
-    long_enough[sa[near >= o.length]] = True
-    at = np.repeat(np.arange(n), w)
-    return at, long_enough[np.arange(len(at)) + np.repeat(starts[:-1] + 1 - (np.cumsum(w) - w), w)]
+    far = lambda i: i + (o.core - 1) * np.searchsorted(at_core, i)  # noqa: E731  bytes before a symbol
+    long_enough = space.array(len(text), bool)
+    for x, y in space.blocks(len(text)):
+        here = np.array(sa[x : min(y + 1, len(text))])
+        common = far(here + lcp[x : x + len(here)]) - far(here)  # in bytes, with the suffix before
+        long_enough[here[: y - x]] = np.maximum(common, np.append(common[1:], 0)[: len(common)])[: y - x] >= o.length
+    out = [long_enough[np.repeat(starts[x : x + step][: n - x] + 1, w[x : x + step]) + _counted(w[x : x + step])] for x in range(0, n, step)]
+    return np.repeat(np.arange(n), w), np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size, in a row."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _sorted_spans(rows: DataFrame, o: SubstringOptions, parent: str | None) -> DataFrame:
@@ -321,23 +337,21 @@ def _any_row(*names: str) -> list:
 
 def repeats(table: DataFrame, o: SubstringOptions) -> DataFrame:
     """``(key, spans)``: bytes [start, end) of each text that has any, covered by repeated strings, merged."""
-    spark = table.sparkSession
-    root = scratch_root(spark)
-    parent = (root.removeprefix("file://").removeprefix("file:") + "/sparkloom/suffix") if root.startswith(("file:", "/")) else None
+    root = posix_root(table.sparkSession)
+    parent = f"{root}/sparkloom/suffix" if root else None
     whole = lambda rows: rows.select("th", "n", F.col("s").alias("start"), (F.col("s") + F.col("w") - 1 + o.length).alias("end"))
     span = lambda rows: rows.select("th", "n", F.col("first").alias("start"), (F.col("last") + o.length).alias("end"))
     found = saved(anchors(table, o), "anchors")
     shared = _shared(found, "g", "rh", o)
     spans = [span(shared.where("not mixed"))]
-    mixed = saved(shared.where("mixed").withColumn("gr", F.xxhash64("g", "rh")), "mixed")
+    mixed = saved(shared.where("mixed").withColumn("gr", F.concat_ws(":", "g", "rh")), "mixed")
     regions = saved(mixed.groupBy("gr").agg(F.count("*").alias("m"), *_any_row("th", "n", "p", "first", "last")), "regions")
     same = regions.where("m > 1").select("gr", "m", F.lit(True).alias("again"))
     spans.append(span(lookup(mixed, same, "gr", "m", "p", same.agg(F.sum("m")).first()[0] or 0).where("again")))
-    packed = F.shiftleft("p", 16) + F.shiftleft(F.col("p") - F.col("first"), 8) + F.col("p") - F.col("last")
-    chunks = saved(_chunks(table, regions.select(F.concat_ws(":", "th", "n").alias("key"), packed.alias("packed")), o), "chunks")
+    chunks = saved(_chunks(table, regions.select(F.concat_ws(":", "th", "n").alias("key"), "p", "first", "last"), o), "chunks")
     parted = _shared(chunks, "ck", "cr", o)
     spans.append(whole(parted.where("not mixed")))
-    parted = saved(parted.where("mixed").withColumn("cc", F.xxhash64("ck", "cr")), "parted")
+    parted = saved(parted.where("mixed").withColumn("cc", F.concat_ws(":", "ck", "cr")), "parted")
     kinds = saved(parted.groupBy("cc").agg(F.count("*").alias("copies"), *_any_row("th", "n", "s", "a", "w", "ck", "m")), "kinds")
     same = kinds.where("copies > 1").select("cc", "copies", F.lit(True).alias("again"))
     spans.append(whole(lookup(parted, same, "cc", "copies", "s", same.agg(F.sum("copies")).first()[0] or 0).where("again")))

@@ -3,6 +3,8 @@
 Suffixes are induced from sorted ones in order of their first symbol.  What is induced waits in a monotone priority queue
 whose far ranges lie on disk beyond a memory budget; with each suffix goes the length of its common prefix with the one before
 it.  Suffixes of the left-most-S kind are sorted first, by the same procedure on the string of their names (recursion).
+Whatever has an element for each symbol is an array of the workspace, on disk beyond a share of the budget, and is worked
+on in blocks; so are the suffixes of one first symbol, however many they are.
 """
 
 from __future__ import annotations
@@ -10,35 +12,50 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 _ENTRY = np.dtype([("key", "<i8"), ("suffix", "<i8"), ("lcp", "<i4")])
-#: Entries of one range of the queue, about.
-RANGE = 1 << 15
+FAR = int(np.iinfo(np.int64).max)
 
 
 class Workspace:
-    """Arrays in memory up to a budget of bytes, beyond that in files of a folder that goes at the end."""
+    """Arrays in memory up to a share of a budget of bytes, beyond that in files of a folder that goes at the end.
+
+    Without a ``parent`` folder all stays in memory.  ``spilled`` counts the bytes that queues wrote, ``deepest`` the recursions.
+    """
 
     def __init__(self, budget: int = 256 << 20, parent: str | None = None):
         self.budget, self.parent, self.folder, self.files = budget, parent, None, 0
+        #: Elements that are worked on together, of which some hundred bytes are held each.
+        self.block = min(1 << 16, max(256, budget // 1024))
         #: Reduced strings of up to so many symbols are sorted in memory, which ends the recursion.
-        self.base = budget // 128
+        self.base = budget // 1024
+        self.spilled = self.deepest = 0
 
     def path(self) -> str:
         if self.folder is None:
-            if self.parent:
-                os.makedirs(self.parent, exist_ok=True)
+            os.makedirs(self.parent, exist_ok=True)
             self.folder = tempfile.mkdtemp(prefix="suffix-", dir=self.parent)
         self.files += 1
         return f"{self.folder}/{self.files}"
 
     def array(self, n: int, dtype) -> np.ndarray:
-        if n * np.dtype(dtype).itemsize <= self.budget // 16:
+        if self.parent is None or n * np.dtype(dtype).itemsize <= self.budget // 64:
             return np.empty(n, dtype)
         return np.memmap(self.path(), dtype, "w+", shape=(n,))
 
+    def blocks(self, n: int, first: int = 0) -> Iterator[tuple[int, int]]:
+        for a in range(first, n, self.block):
+            yield a, min(n, a + self.block)
+
+    def free(self, *arrays: np.ndarray) -> None:
+        """Files of arrays that are not needed any more."""
+        for a in arrays:
+            if isinstance(a, np.memmap) and a.filename:
+                os.remove(a.filename)
+
     def __enter__(self) -> Workspace:
         return self
 
@@ -50,67 +67,111 @@ class Workspace:
 class MonotoneQueue:
     """Entries (key, suffix, lcp) by key, first in first out; what is pushed is never below the keys taken so far.
 
-    Keys are split into ranges at ``bounds``. Only the range at the front is kept sorted; others are
-    buffers, which all go to their files when together they exceed the budget.
+    Keys are split into ranges.  Only the range at the front is in memory, in order; others are
+    buffers, which all go to their files when together they exceed their share of the budget.  A key so frequent that
+    it would fill a range has one to itself, which needs no order and is read block by block.
     """
 
-    def __init__(self, bounds: np.ndarray, space: Workspace):
-        self.bounds, self.space = bounds, space
-        self.buffers: list[list[np.ndarray]] = [[] for _ in range(len(bounds) + 1)]
-        self.files: list[str | None] = [None] * len(self.buffers)
-        self.counts = np.zeros(len(self.buffers), np.int64)
+    def __init__(self, sample: np.ndarray, total: int, space: Workspace):
+        """``sample`` has keys in order, out of ``total`` to come."""
+        width = max(64, space.budget // (12 * _ENTRY.itemsize))
+        step = max(1, int(len(sample) * width / max(total, 1)))
+        cuts = sample[step::step] if total > width and space.parent else sample[:0]
+        heavy = np.unique(cuts[1:][cuts[1:] == cuts[:-1]])
+        self.bounds, self.space = np.unique(np.concatenate([cuts, heavy + 1])), space
+        self.single = np.concatenate([[False], np.isin(self.bounds, heavy)])
+        n = len(self.bounds) + 1
+        self.ahead: dict[int, list[np.ndarray]] = {}  # to be read before the file
+        self.files: dict[int, str] = {}
+        self.read: dict[int, int] = {}
+        self.pending: list[np.ndarray] = []  # to be read after the file, of all ranges
+        self.counts = np.zeros(n, np.int64)  # entries outside the front
         self.held, self.at, self.front = 0, 0, np.empty(0, _ENTRY)
 
     def push(self, entries: np.ndarray) -> None:
         """``entries`` are in order of key."""
         where = np.searchsorted(self.bounds, entries["key"], "right")
-        cuts = np.flatnonzero(np.diff(where)) + 1
-        for part, r in zip(np.split(entries, cuts), where[np.concatenate([[0], cuts]).astype(np.int64)].tolist(), strict=True):
-            if r < self.at:  # the front was taken from further on, as nothing lay here
-                if len(self.front):
-                    self.buffers[self.at].insert(0, self.front)
-                    self.counts[self.at] += len(self.front)
-                    self.held += len(self.front)
-                self.at, self.front = r, np.empty(0, _ENTRY)
-            if r == self.at:
-                both = np.concatenate([self.front, part])
-                self.front = both[np.argsort(both["key"], kind="stable")]
-            else:
-                self.buffers[r].append(part)
-                self.counts[r] += len(part)
-                self.held += len(part)
-        if self.held * _ENTRY.itemsize > self.space.budget // 4:
-            self._spill()
+        if where[0] < self.at:  # the front was taken from further on, as nothing lay here
+            if len(self.front):
+                self.ahead.setdefault(self.at, []).insert(0, self.front)
+                self.counts[self.at] += len(self.front)
+            self.at, self.front = int(where[0]), np.empty(0, _ENTRY)
+        if where[0] == self.at and not self.single[self.at]:
+            here = int(np.searchsorted(where, self.at, "right"))
+            both = np.concatenate([self.front, entries[:here]])
+            self.front = both[np.argsort(both["key"], kind="stable")]
+            entries, where = entries[here:], where[here:]
+        if len(entries):
+            self.pending.append(entries.copy())
+            np.add.at(self.counts, where, 1)
+            self.held += entries.nbytes + 150  # with what an array takes besides
+            if self.space.parent and self.held > self.space.budget // 12:
+                self._spill()
 
     def _spill(self) -> None:
-        for r, blocks in enumerate(self.buffers):
-            if blocks:
-                self.files[r] = self.files[r] or self.space.path()
-                with open(self.files[r], "ab") as out:
-                    for b in blocks:
-                        b.tofile(out)
-                blocks.clear()
-        self.held = 0
+        every = np.concatenate(self.pending)
+        self.pending, self.held = [], 0
+        where = np.searchsorted(self.bounds, every["key"], "right")
+        order = np.argsort(where, kind="stable")
+        every, where = every[order], where[order]
+        cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(every)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            r = int(where[a])
+            if r not in self.files:
+                self.files[r] = self.space.path()
+            with open(self.files[r], "ab") as out:
+                out.write(every[a:b].tobytes())
+        self.space.spilled += every.nbytes
+
+    def _waiting(self, r: int) -> list[np.ndarray]:
+        """Takes a range's entries out of what is pending."""
+        if not self.pending:
+            return []
+        every = np.concatenate(self.pending)
+        mine = np.searchsorted(self.bounds, every["key"], "right") == r
+        self.pending = [every[~mine]] if not mine.all() else []
+        self.held = sum(x.nbytes + 150 for x in self.pending)
+        return [every[mine]] if mine.any() else []
+
+    def _taken(self, r: int, most: int) -> np.ndarray:
+        """Up to ``most`` entries of a range (or some more) in the order in which they came."""
+        out, n = [], 0
+        while n < most and self.ahead.get(r):
+            out.append(self.ahead[r].pop(0))
+            n += len(out[-1])
+        if n < most and r in self.files:
+            done = self.read.get(r, 0)
+            more = np.fromfile(self.files[r], _ENTRY, count=most - n, offset=done * _ENTRY.itemsize)
+            self.read[r] = done + len(more)
+            out.append(more)
+            n += len(more)
+            if self.read[r] * _ENTRY.itemsize >= os.path.getsize(self.files[r]):
+                os.remove(self.files.pop(r))
+                del self.read[r]
+        if n < most and r not in self.files:
+            out += self._waiting(r)
+            n = sum(map(len, out))
+        self.counts[r] -= n
+        return np.concatenate(out) if out else np.empty(0, _ENTRY)
 
     def head(self) -> np.ndarray:
-        """The sorted entries of the first range that has any."""
+        """The first entries in order: of a range, or some of one that has a single key."""
         if not len(self.front):
             more = np.flatnonzero(self.counts)
             if len(more):
                 self.at = r = int(more[0])
-                blocks = [np.fromfile(self.files[r], _ENTRY)] if self.files[r] else []
-                if self.files[r]:
-                    os.remove(self.files[r])
-                    self.files[r] = None
-                self.held -= sum(map(len, self.buffers[r]))
-                both = np.concatenate(blocks + self.buffers[r])
-                self.buffers[r], self.counts[r] = [], 0
-                self.front = both[np.argsort(both["key"], kind="stable")]
+                if self.single[r]:
+                    self.front = self._taken(r, self.space.block)
+                else:
+                    both = self._taken(r, int(self.counts[r]))
+                    self.front = both[np.argsort(both["key"], kind="stable")]
         return self.front
 
-    def limit(self) -> int | None:
+    def limit(self) -> int:
         """Entries outside the front have at least this key."""
-        return int(self.bounds[self.at]) if self.at < len(self.bounds) else None
+        if self.single[self.at]:
+            return int(self.bounds[self.at - 1])
+        return int(self.bounds[self.at]) if self.at < len(self.bounds) else FAR
 
     def take(self, n: int) -> None:
         self.front = self.front[n:]
@@ -141,43 +202,150 @@ def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(t: np.ndarray, run: np.ndarray, want: np.ndarray, sign: int, seeds: np.ndarray, seed_lcp: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of the kind ``want`` in order (of ``sign`` times their first symbol), with their common prefixes.
+class _Group:
+    """What a group of suffixes of one first symbol, that is worked on in blocks, has induced so far under each symbol."""
+
+    def __init__(self, symbols: int, space: Workspace):
+        self.space, self.now, self.first = space, 0, 0
+        self.block, self.least = space.array(symbols, np.int32), space.array(symbols, np.int32)
+        for a, b in space.blocks(symbols):
+            self.block[a:b] = -1
+        # least common prefixes of finished blocks: of each the number, and the least from it on; both rise
+        self.top, self.numbers, self.minima = 0, np.empty(64, np.int64), np.empty(64, np.int64)
+
+    def begin(self) -> None:
+        self.first, self.top = self.now, 0
+
+    def link(self, symbol: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        """Common prefixes less one of suffixes induced by those ``at`` with the last ones under their (different) symbols; -1: none yet."""
+        known = np.flatnonzero(self.block[symbol] >= self.first)
+        out = np.full(len(symbol), -1, np.int64)
+        if len(known):
+            earlier = self.block[symbol[known]]
+            here = np.minimum.accumulate(lcp.astype(np.int64))[at[known]]
+            k = np.searchsorted(self.numbers[: self.top], earlier, "right")
+            between = np.where(k < self.top, self.minima[np.minimum(k, len(self.minima) - 1)], FAR)  # of the blocks since
+            out[known] = np.minimum(np.minimum(self.least[symbol[known]], between), here)
+        return out
+
+    def end(self, symbol: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> None:
+        """The block is over: ``at`` are the last that induced the ``symbol``s."""
+        behind = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(np.int32).max)
+        self.block[symbol], self.least[symbol] = self.now, behind[at + 1]
+        least = int(lcp.min())
+        while self.top and self.minima[self.top - 1] >= least:
+            self.top -= 1
+        if self.top == len(self.minima):
+            for name in ("numbers", "minima"):
+                old = getattr(self, name)
+                new = self.space.array(2 * len(old), np.int64)
+                new[: len(old)] = old
+                setattr(self, name, new)
+                self.space.free(old)
+        self.numbers[self.top], self.minima[self.top] = self.now, least
+        self.top += 1
+        self.now += 1
+
+
+def _sample(t: np.ndarray, n: int, of, space: Workspace) -> np.ndarray:
+    """Keys of some of ``n`` elements, evenly spread, in order."""
+    return np.sort(of(np.arange(0, n, max(1, n // (4 * space.block)))))
+
+
+def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want_s: bool, total: int, seeds: np.ndarray, seed_lcp: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of one kind in order (S: the largest first), with their common prefixes; the end is of neither kind.
 
     ``seeds`` are sorted suffixes of the other kind, which follow those of equal first symbol.  In each step a stretch of
     keys is taken from queue and seeds of which no suffix induces one that would belong into it; what is
-    induced has 1 + the least common prefix in between in common. A symbol that induces itself is taken alone, in rounds.
+    induced has 1 + the least common prefix in between in common.  A symbol that induces itself, or that has too many
+    suffixes, is taken alone, block by block.
     """
-    total = int(np.count_nonzero(want))
+    sign, end = (-1 if want_s else 1), len(t) - 1
     out_s, out_l = space.array(total, np.int64), space.array(total, np.int32)
-    done = 0
-    sample = np.sort(sign * t[np.flatnonzero(want)].astype(np.int64))[RANGE::RANGE] if total > RANGE else np.empty(0, np.int64)
-    queue = MonotoneQueue(np.unique(sample), space)
-    at, cap, far = 0, 1024, np.iinfo(np.int64).max
-    key_at = lambda k: sign * int(t[seeds[k]]) if k < len(seeds) else far
+    keys_of = lambda places: sign * t[places].astype(np.int64)
+
+    def induced(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which suffixes have one before them of the kind, and the key of that."""
+        before = suffix - 1
+        able = (suffix > 0) & (is_s[before] == want_s) & (before != end)
+        return able, np.where(able, keys_of(before), FAR)
+
+    queue = MonotoneQueue(_sample(t, len(t), keys_of, space), total, space)
+    group: _Group | None = None
+    done, at, cap = 0, 0, max(64, space.block // 16)
+    key_at = lambda k: int(keys_of(seeds[k : k + 1])[0]) if k < len(seeds) else FAR
+
+    def emit(suffix: np.ndarray, lcp: np.ndarray) -> None:
+        nonlocal done
+        out_s[done : done + len(suffix)], out_l[done : done + len(suffix)] = suffix, lcp
+        done += len(suffix)
+
+    def push(hit: np.ndarray, to: np.ndarray, suffix: np.ndarray, lcp: np.ndarray, group: _Group | None = None) -> None:
+        hit = hit[np.argsort(to[hit], kind="stable")]
+        entries = np.empty(len(hit), _ENTRY)
+        entries["key"], entries["suffix"], entries["lcp"] = to[hit], suffix[hit] - 1, -1
+        first = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]]) if len(hit) else np.zeros(0, bool)
+        near = np.flatnonzero(~first)
+        if len(near):
+            entries["lcp"][near] = 1 + _range_min(lcp, hit[near - 1] + 1, hit[near])
+        if group is not None:
+            heads = np.flatnonzero(first)
+            symbol = sign * entries["key"][heads]
+            since = group.link(symbol, hit[heads], lcp)
+            entries["lcp"][heads] = np.where(since < 0, -1, 1 + since)
+            lasts = np.append(heads[1:], len(hit))[: len(heads)] - 1
+            group.end(symbol, hit[lasts], lcp)
+        if len(hit):
+            queue.push(entries)
+
+    def alone(first: int) -> None:
+        """All suffixes of one first symbol: what is and comes into the queue, then seeds."""
+        nonlocal at, group
+        group = group or _Group(symbols, space)
+        group.begin()
+        before, seeded = -1, False
+        while True:
+            head = queue.head()
+            if len(head) and head["key"][0] == first:
+                n = min(space.block, int(np.searchsorted(head["key"], first, "right")))
+                suffix, lcp, now = head["suffix"][:n].copy(), head["lcp"][:n].copy(), False
+                queue.take(n)
+            else:
+                suffix = np.array(seeds[at : at + space.block])
+                suffix = suffix[: int(np.searchsorted(keys_of(suffix), first, "right"))]
+                if not len(suffix):
+                    return
+                lcp, now = np.array(seed_lcp[at : at + len(suffix)]), True
+                at += len(suffix)
+            prior = np.concatenate([[before if before >= 0 else suffix[0]], suffix[:-1]])
+            joint = lcp < 0
+            joint[0] |= now and not seeded
+            lcp = np.where(joint, np.minimum(run[suffix], run[prior]), lcp).astype(np.int32)
+            if before < 0:
+                lcp[0] = 0
+            before, seeded = int(suffix[-1]), now
+            if not now:
+                emit(suffix, lcp)
+            able, to = induced(suffix)
+            push(np.flatnonzero(able), to, suffix, lcp, group)
+
     while True:
         head = queue.head()
-        first = min(int(head["key"][0]) if len(head) else far, key_at(at))
-        if first == far:
+        first = min(int(head["key"][0]) if len(head) else FAR, key_at(at))
+        if first == FAR:
             break
-        limit = queue.limit()
-        until = far if limit is None or not len(head) else limit
+        until = queue.limit() if len(head) else FAR
         if len(head) > cap:
             until = min(until, int(head["key"][cap]))
         if at + cap < len(seeds):
             until = min(until, key_at(at + cap))
-        if not len(head) and limit is not None:
-            until = min(until, max(limit, first + 1))
-        until = max(until, first + 1)
+        if until <= first:
+            alone(first)
+            continue
         nq = int(np.searchsorted(head["key"], until, "left"))
-        width = cap
-        while True:  # whole groups of seeds
-            ahead = seeds[at : at + width]
-            keys = sign * t[ahead].astype(np.int64)
-            ns = int(np.searchsorted(keys, until, "left"))
-            if ns < width or at + width >= len(seeds):
-                break
-            width *= 2
+        ahead = np.array(seeds[at : at + cap])
+        keys = keys_of(ahead)
+        ns = int(np.searchsorted(keys, until, "left"))
         q = head[:nq]
         key = np.concatenate([q["key"], keys[:ns]])
         order = np.argsort(key, kind="stable")
@@ -185,15 +353,13 @@ def _induce(t: np.ndarray, run: np.ndarray, want: np.ndarray, sign: int, seeds:
         suffix = np.concatenate([q["suffix"], ahead[:ns]])[order]
         lcp = np.concatenate([q["lcp"], seed_lcp[at : at + ns]])[order]
         seeded = (np.arange(len(order)) >= nq)[order]
-        before = suffix - 1
-        able = (suffix > 0) & want[before]
-        to = np.where(able, sign * t[before].astype(np.int64), far)
+        able, to = induced(suffix)
         bad = np.flatnonzero(np.minimum.accumulate(to) <= key)
         cut = int(np.searchsorted(key, key[bad[0]], "left")) if len(bad) else len(key)
-        alone = cut == 0
-        cap = min(1 << 16, 2 * cap) if cut == len(key) else max(256, 2 * cut)
-        if alone:
-            cut = int(np.searchsorted(key, first, "right"))
+        cap = min(space.block // 2, 2 * cap) if cut == len(key) else max(64, 2 * cut)
+        if cut == 0:
+            alone(first)
+            continue
         key, suffix, lcp, seeded, to, able = (x[:cut] for x in (key, suffix, lcp, seeded, to, able))
         taken_q = int(np.count_nonzero(~seeded))
         same = np.concatenate([[False], key[1:] == key[:-1]])
@@ -202,43 +368,11 @@ def _induce(t: np.ndarray, run: np.ndarray, want: np.ndarray, sign: int, seeds:
         lcp = np.where(joint, short, np.where(same, lcp, 0)).astype(np.int32)
         queue.take(taken_q)
         at += cut - taken_q
-        if alone:
-            parts, lcps = [suffix[:taken_q]], [lcp[:taken_q]]
-            while True:
-                s, a = parts[-1], lcps[-1]
-                hit = np.flatnonzero((s > 0) & want[s - 1] & (t[s - 1] == t[s]))
-                if not len(hit):
-                    break
-                new = s[hit] - 1
-                gap = np.empty(len(hit), np.int32)
-                gap[0] = min(run[s[-1]], run[new[0]])
-                gap[1:] = 1 + _range_min(a, hit[:-1] + 1, hit[1:])
-                parts.append(new)
-                lcps.append(gap)
-            own = np.concatenate(parts)
-            rest, rest_lcp = suffix[taken_q:], lcp[taken_q:].copy()
-            if len(rest) and len(own):
-                rest_lcp[0] = min(run[own[-1]], run[rest[0]])
-            suffix, lcp = np.concatenate([own, rest]), np.concatenate([*lcps, rest_lcp]).astype(np.int32)
-            seeded = np.arange(len(suffix)) >= len(own)
-            before = suffix - 1
-            able = (suffix > 0) & want[before]
-            to = np.where(able, sign * t[before].astype(np.int64), far)
-            able &= to != first
-        own = ~seeded
-        k = int(np.count_nonzero(own))
-        out_s[done : done + k], out_l[done : done + k] = suffix[own], lcp[own]
-        done += k
-        hit = np.flatnonzero(able)
-        if len(hit):
-            hit = hit[np.argsort(to[hit], kind="stable")]
-            entries = np.empty(len(hit), _ENTRY)
-            entries["key"], entries["suffix"], entries["lcp"] = to[hit], suffix[hit] - 1, -1
-            near = np.flatnonzero(entries["key"][1:] == entries["key"][:-1]) + 1
-            if len(near):
-                entries["lcp"][near] = 1 + _range_min(lcp, hit[near - 1] + 1, hit[near])
-            queue.push(entries)
+        emit(suffix[~seeded], lcp[~seeded])
+        push(np.flatnonzero(able), to, suffix, lcp)
     assert done == total
+    if group is not None:
+        space.free(group.block, group.least)
     return out_s, out_l
 
 
@@ -266,66 +400,148 @@ def _doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, lcp
 
 
-def _both(t: np.ndarray, run: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lcp: np.ndarray, space: Workspace):
+def _kinds(t: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is S (the end is), and the length of the run of its first symbol; from the end, in blocks."""
+    n = len(t)
+    is_s, run = space.array(n, bool), space.array(n, np.int32)
+    is_s[n - 1], run[n - 1] = True, 1
+    for b in range(n - 1, 0, -space.block):
+        a = max(0, b - space.block)
+        here = np.array(t[a : b + 1])
+        ends = np.where(here[:-1] != here[1:], np.arange(b - a), b - a)
+        last = np.minimum.accumulate(ends[::-1])[::-1]  # of the run, b - a if it goes on in the next block
+        on = last == b - a
+        run[a:b] = np.where(on, b - a + run[b] - np.arange(b - a), last - np.arange(b - a) + 1)
+        is_s[a:b] = np.where(on, is_s[b], here[last] < here[np.minimum(last + 1, b - a)])
+    return is_s, run
+
+
+def _filled(total: int, dtype, parts: Iterator[np.ndarray], space: Workspace) -> np.ndarray:
+    out, done = space.array(total, dtype), 0
+    for p in parts:
+        out[done : done + len(p)] = p
+        done += len(p)
+    assert done == total
+    return out
+
+
+def _by_symbol(t: np.ndarray, places: np.ndarray, space: Workspace) -> np.ndarray:
+    """``places`` in order of their symbols, through the queue."""
+    queue = MonotoneQueue(_sample(t, len(places), lambda k: t[places[k]].astype(np.int64), space), len(places), space)
+    for a, b in space.blocks(len(places)):
+        entries = np.empty(b - a, _ENTRY)
+        entries["suffix"], entries["lcp"] = places[a:b], 0
+        entries["key"] = t[entries["suffix"]]
+        queue.push(entries[np.argsort(entries["key"], kind="stable")])
+
+    def drained() -> Iterator[np.ndarray]:
+        while len(head := queue.head()):
+            yield head["suffix"]
+            queue.take(len(head))
+
+    return _filled(len(places), np.int64, drained(), space)
+
+
+def _both(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, n_s: int, lms: np.ndarray, lcp: np.ndarray, space: Workspace):
     """L suffixes in order, then S suffixes in order (the end first), each with common prefixes, from sorted LMS suffixes."""
-    large, large_lcp = _induce(t, run, ~is_s, 1, lms, lcp, space)
-    small = is_s.copy()
-    small[-1] = False
-    back = np.concatenate([large_lcp[:1] * 0, large_lcp[:0:-1]])
-    down, down_lcp = _induce(t, run, small, -1, large[::-1], back, space)
-    up = np.concatenate([[len(t) - 1], down[::-1]])
-    up_lcp = np.concatenate([[0, 0], down_lcp[:0:-1]])[: len(up)].astype(np.int32)
+    large, large_lcp = _induce(t, symbols, run, is_s, False, len(t) - n_s, lms, lcp, space)
+    m = len(large)
+    # from the largest on, a suffix has in common with the one before it what that has with it
+    back = _filled(m, np.int32, (np.concatenate([[0] * (a == 0), large_lcp[m - b + 1 : m - max(a, 1) + 1][::-1]]) for a, b in space.blocks(m)), space)
+    down, down_lcp = _induce(t, symbols, run, is_s, True, n_s - 1, large[::-1], back, space)
+    space.free(back)
+    k = n_s - 1
+    up = _filled(n_s, np.int64, (np.concatenate([[len(t) - 1] * (a == 0), down[k - b + 1 : k - max(a, 1) + 1][::-1]]) for a, b in space.blocks(n_s)), space)
+    up_lcp = _filled(n_s, np.int32, (np.concatenate([[0, 0][: (a == 0) * min(2, b)], down_lcp[k - b + 2 : k - max(a, 2) + 2][::-1]]) for a, b in space.blocks(n_s)), space)
+    space.free(down, down_lcp)
     return large, large_lcp, up, up_lcp
 
 
-def sort_suffixes(t: np.ndarray, space: Workspace, reduced_string: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray, space: Workspace) -> tuple[np.ndarray, int]:
+    """The string of the names of the strings from one LMS place to the next, which are ``ordered``; and the last name."""
+    n = len(lms)
+    reduced = space.array(n, np.int64)
+    name, prior = -1, None
+    for a, b in space.blocks(n):
+        here = np.array(ordered[a:b])
+        index = np.searchsorted(lms, here)
+        size = np.where(index + 1 < n, lms[np.minimum(index + 1, n - 1)] - here + 1, 1)
+        x = np.concatenate([here[:1] if prior is None else prior[0], here])
+        sizes = np.concatenate([[0] if prior is None else prior[1], size])
+        prior = here[-1:], size[-1:]
+        differ = sizes[:-1] != sizes[1:]
+        live, step = np.flatnonzero(~differ), 0
+        while len(live):
+            unequal = t[x[live] + step] != t[x[live + 1] + step]
+            differ[live[unequal]] = True
+            live, step = live[~unequal], step + 1
+            live = live[size[live] > step]
+        names = name + np.cumsum(differ)
+        reduced[index], name = names, int(names[-1])
+    return reduced, name
+
+
+def sort_suffixes(t: np.ndarray, space: Workspace, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``t`` and common prefixes of neighbours; ``t`` ends with its only 0, its least symbol."""
     n = len(t)
+    space.deepest = max(space.deepest, depth)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int32)
-    if reduced_string and n <= space.base:
-        return _doubled(t)
-    equal = t[:-1] == t[1:]
-    last = np.minimum.accumulate(np.where(equal, n - 1, np.arange(n - 1))[::-1])[::-1]
-    is_s = np.append(t[last] < t[np.minimum(last + 1, n - 1)], True)
-    run = np.append(last - np.arange(n - 1) + 1, 1).astype(np.int32)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    if len(lms) == 1:
-        order, lcp = lms, np.zeros(1, np.int32)
+    if depth and n <= space.base:
+        return _doubled(np.array(t))
+    symbols = 1 + max(int(t[a:b].max()) for a, b in space.blocks(n))
+    is_s, run = _kinds(t, space)
+    starts = lambda a, b: a + np.flatnonzero(is_s[a:b] & ~is_s[a - 1 : b - 1])
+    n_s = n_lms = 0
+    for a, b in space.blocks(n):
+        n_s, n_lms = n_s + int(np.count_nonzero(is_s[a:b])), n_lms + len(starts(max(a, 1), b))
+    lms = _filled(n_lms, np.int64, (starts(a, b) for a, b in space.blocks(n, 1)), space)
+    no_lcp = _filled(n_lms, np.int32, (np.zeros(b - a, np.int32) for a, b in space.blocks(n_lms)), space)
+    if n_lms == 1:
+        order, lcp = lms, no_lcp
     else:
         # names of the strings from one LMS place to the next, sorted by inducing from unsorted places
-        rough = lms[np.argsort(t[lms], kind="stable")]
-        ordered = _both(t, run, is_s, rough, np.zeros(len(rough), np.int32), space)[2]
-        mark = np.zeros(n, bool)
-        mark[lms] = True
-        ordered = ordered[mark[ordered]]
-        index = np.zeros(n, np.int64)
-        index[lms] = np.arange(len(lms))
-        size = np.append(np.diff(lms) + 1, 1)[index[ordered]]
-        a, b = ordered[:-1], ordered[1:]
-        differ = size[:-1] != size[1:]
-        live, step = np.flatnonzero(~differ), 0
-        while len(live):
-            unequal = t[a[live] + step] != t[b[live] + step]
-            differ[live[unequal]] = True
-            live, step = live[~unequal], step + 1
-            live = live[size[live] > step]
-        names = np.concatenate([[0], np.cumsum(differ)])
-        if names[-1] == len(lms) - 1:
+        rough = _by_symbol(t, lms, space)
+        large, large_lcp, up, up_lcp = _both(t, symbols, run, is_s, n_s, rough, no_lcp, space)
+        space.free(rough, no_lcp, large, large_lcp, up_lcp)
+
+        def only_lms() -> Iterator[np.ndarray]:
+            for a, b in space.blocks(n_s):
+                x = np.array(up[a:b])
+                yield x[(x > 0) & ~is_s[x - 1]]
+
+        ordered = _filled(n_lms, np.int64, only_lms(), space)
+        space.free(up)
+        reduced, last = _named(t, lms, ordered, space)
+        if last == n_lms - 1:
             order = ordered
-            lcp = np.append(np.zeros(1, np.int32), _common(t, order[1:], order[:-1]))
+            lcp = _filled(n_lms, np.int32, (np.concatenate([[0] * (a == 0), _common(t, np.array(order[max(a, 1) : b]), np.array(order[max(a, 1) - 1 : b - 1]))]) for a, b in space.blocks(n_lms)), space)
         else:
-            reduced = np.empty(len(lms), np.int64)
-            reduced[index[ordered]] = names
-            del ordered, mark, a, b, differ, size
-            sa, shared = sort_suffixes(reduced, space, True)
-            order = lms[sa]
-            x, y = lms[sa[1:] + shared[1:]], lms[sa[:-1] + shared[1:]]
-            lcp = np.append(np.zeros(1, np.int32), (x - order[1:] + _common(t, x, y)).astype(np.int32))
-    large, large_lcp, up, up_lcp = _both(t, run, is_s, order, lcp, space)
-    suffix = np.concatenate([large, up])
-    place = np.argsort(t[suffix], kind="stable")  # L before S of the same symbol
-    suffix, lcp = suffix[place], np.concatenate([large_lcp, up_lcp])[place]
-    border = np.flatnonzero(is_s[suffix[1:]] & ~is_s[suffix[:-1]] & (t[suffix[1:]] == t[suffix[:-1]])) + 1
-    lcp[border] = np.minimum(run[suffix[border]], run[suffix[border - 1]])
-    return suffix, lcp
+            space.free(ordered)
+            sa, shared = sort_suffixes(reduced, space, depth + 1)
+            order = _filled(n_lms, np.int64, (lms[sa[a:b]] for a, b in space.blocks(n_lms)), space)
+
+            def in_symbols() -> Iterator[np.ndarray]:
+                for a, b in space.blocks(n_lms):
+                    c = max(a, 1)
+                    x, y = lms[sa[c:b] + shared[c:b]], lms[sa[c - 1 : b - 1] + shared[c:b]]
+                    yield np.concatenate([[0] * (a == 0), x - order[c:b] + _common(t, x, y)])
+
+            lcp = _filled(n_lms, np.int32, in_symbols(), space)
+            space.free(sa, shared)
+        space.free(reduced)
+    large, large_lcp, up, up_lcp = _both(t, symbols, run, is_s, n_s, order, lcp, space)
+    space.free(order, lcp)
+    suffix, common = space.array(n, np.int64), space.array(n, np.int32)
+    keys = [_filled(len(x), np.int64, (t[x[a:b]] for a, b in space.blocks(len(x))), space) for x in (large, up)]
+    for own, own_lcp, key, other, side in ((large, large_lcp, keys[0], keys[1], "left"), (up, up_lcp, keys[1], keys[0], "right")):
+        for a, b in space.blocks(len(own)):  # L before S of the same symbol
+            place = np.arange(a, b) + np.searchsorted(other, key[a:b], side)
+            suffix[place], common[place] = own[a:b], own_lcp[a:b]
+    space.free(large, large_lcp, up, up_lcp, *keys)
+    for a, b in space.blocks(n, 1):
+        x = np.array(suffix[a - 1 : b])
+        border = np.flatnonzero(is_s[x[1:]] & ~is_s[x[:-1]] & (t[x[1:]] == t[x[:-1]]))
+        common[a + border] = np.minimum(run[x[border + 1]], run[x[border]])
+    space.free(is_s, run)
+    return suffix, common
