@@ -19,9 +19,12 @@ from .common import fold, saved
 FIT_DOCUMENTS = 500
 #: Distinct words of the sample that are learned from at most, over all languages: the most frequent ones of each.
 FIT_WORDS = 150_000
-#: Words whose scores a worker remembers; all are forgotten when there are so many.
-CACHE_WORDS = 400_000
-LONGEST_PIECE, LONGEST_WORD = 16, 64
+#: Bytes from which on a sampled word is learned from in parts; texts are scored whole.
+FIT_LONGEST = 1024
+#: Words whose scores a worker remembers, of up to CACHE_LONGEST bytes; all are forgotten when there are so many.
+CACHE_WORDS, CACHE_LONGEST = 400_000, 64
+#: Places of words that are worked on together.
+CELLS = 1 << 16
 UNDETERMINED = "und"
 #: ASCII other than letters to a space; other bytes stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,72 +38,132 @@ def default_path() -> str:
 
 @lru_cache(2)
 def vocabulary(path: str) -> dict[bytes, int]:
-    """Pieces of up to LONGEST_PIECE bytes; each single byte is a piece, so every text has a segmentation."""
+    """All pieces of the file; each single byte is a piece, so every text has a segmentation."""
     with open(path, "rb") as lines:
-        pieces = [base64.b64decode(x.split()[0]) for x in lines if x.strip()]
-    return {p: k for k, p in enumerate(sorted({p for p in pieces if len(p) <= LONGEST_PIECE} | {bytes([b]) for b in range(256)}))}
+        pieces = {base64.b64decode(x.split()[0]) for x in lines if x.strip()}
+    return {p: k for k, p in enumerate(sorted(pieces | {bytes([b]) for b in range(256)}))}
+
+
+@lru_cache(2)
+def _lengths(path: str) -> list[int]:
+    return sorted({len(p) for p in vocabulary(path)})
 
 
 def words(text: str) -> list[bytes]:
-    """Lower-cased runs of letters, each with a space before it; runs of over LONGEST_WORD bytes go in parts."""
+    """Lower-cased runs of letters, each with a space before it."""
+    return [b" " + w for w in text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()]
+
+
+def _parts(word: bytes, most: int) -> list[bytes]:
+    """The word in parts of up to ``most`` bytes, cut between characters."""
     out = []
-    for w in text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split():
-        if len(w) <= LONGEST_WORD:
-            out.append(b" " + w)
-        else:
-            out += [b" " + w[k : k + LONGEST_WORD] for k in range(0, len(w), LONGEST_WORD)]
-    return out
+    while len(word) > most:
+        cut = next((k for k in range(most, most - 4, -1) if word[k] & 0xC0 != 0x80), most)
+        out.append(word[:cut])
+        word = word[cut:]
+    return [*out, word]
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def batches_of(some: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of words, shortest first, such that all together take up to CELLS places when padded (or one word)."""
+    sizes = np.array([len(w) for w in some], np.int64)
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        fits = np.arange(1, len(order) - at + 1) * (sizes[order[at:]] + 1) <= CELLS
+        n = max(1, int(np.count_nonzero(fits)))
+        yield order[at : at + n]
+        at += n
+
+
 class Lattice:
-    """All pieces at all places of some words, ordered by where they end."""
+    """All pieces at all places of some words, by where they end and by where they start; sums are over logarithms."""
 
-    def __init__(self, some: list[bytes], pieces: dict[bytes, int]):
+    def __init__(self, some: list[bytes], path: str):
+        pieces, lengths = vocabulary(path), _lengths(path)
         word, start, end, piece = [], [], [], []
         for k, w in enumerate(some):
             n = len(w)
             for i in range(n):
-                for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                    if (p := pieces.get(w[i:j])) is not None:
+                for size in lengths:
+                    if i + size > n:
+                        break
+                    if (p := pieces.get(w[i : i + size])) is not None:
                         word.append(k)
                         start.append(i)
-                        end.append(j)
+                        end.append(i + size)
                         piece.append(p)
         self.n, self.lengths = len(some), np.array([len(w) for w in some], np.int64)
-        order = np.argsort(end, kind="stable") if end else np.zeros(0, np.int64)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, start, end, piece))
+        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
         self.longest = int(self.lengths.max(initial=0))
-        self.cuts = np.searchsorted(self.end, np.arange(self.longest + 2))
-        self.by_start = np.argsort(self.start, kind="stable")
-        self.start_cuts = np.searchsorted(self.start[self.by_start], np.arange(self.longest + 2))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[word, place]: summed probability of all segmentations up to a place."""
-        alpha = np.zeros((self.n, self.longest + 1))
-        alpha[:, 0] = 1
-        for j in range(1, self.longest + 1):
-            e = slice(self.cuts[j], self.cuts[j + 1])
-            alpha[:, j] = np.bincount(self.word[e], alpha[self.word[e], self.start[e]] * p[self.piece[e]], self.n)
+
+    def _by(self, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each place: the edges there in order of word, where each word's edges begin, and the words."""
+        order = np.lexsort((self.word, place))
+        cuts = np.searchsorted(place[order], np.arange(self.longest + 2))
+        for j in range(self.longest + 1):
+            e = order[cuts[j] : cuts[j + 1]]
+            if len(e):
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(self.word[e]) > 0]))
+                yield j, e, heads, self.word[e[heads]]
+
+    @staticmethod
+    def _sum(v: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Logarithms of sums of exp(v) over stretches of rows."""
+        most = np.maximum.reduceat(v, heads, axis=0)
+        return most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, np.diff(np.append(heads, len(v))), axis=0)), heads, axis=0))
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """alpha[place, word, ...]: log of the summed probability of all segmentations up to a place; ``logp`` is by piece."""
+        alpha = np.full((self.longest + 1, self.n, *logp.shape[1:]), -np.inf)
+        alpha[0] = 0
+        for j, e, heads, who in self._by(self.end):
+            alpha[j, who] = self._sum(alpha[self.start[e], self.word[e]] + logp[self.piece[e]], heads)
         return alpha
 
-    def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[np.arange(self.n), self.lengths], 1e-300))
+    def log_likelihood(self, logp: np.ndarray) -> np.ndarray:
+        return self.forward(logp)[self.lengths, np.arange(self.n)]
 
-    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, summed over all segmentations of all words (forward-backward)."""
-        alpha = self.forward(p)
-        total = np.maximum(alpha[np.arange(self.n), self.lengths], 1e-300)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(self.n), self.lengths] = 1
-        for i in range(self.longest - 1, -1, -1):
-            e = self.by_start[self.start_cuts[i] : self.start_cuts[i + 1]]
-            beta[:, i] += np.bincount(self.word[e], beta[self.word[e], self.end[e]] * p[self.piece[e]], self.n)
-        use = alpha[self.word, self.start] * p[self.piece] * beta[self.word, self.end] * (counts / total)[self.word]
-        return np.bincount(self.piece, use, len(p))
+        alpha = self.forward(logp)
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.lengths, np.arange(self.n)] = 0
+        for i, e, heads, who in reversed(list(self._by(self.start))):
+            beta[i, who] = self._sum(beta[self.end[e], self.word[e]] + logp[self.piece[e]], heads)
+        total = alpha[self.lengths, np.arange(self.n)]
+        use = np.exp(alpha[self.start, self.word] + logp[self.piece] + beta[self.end, self.word] - total[self.word])
+        return np.bincount(self.piece, use * counts[self.word], len(logp))
+
+
+def _streamed(word: bytes, logp: np.ndarray, path: str) -> np.ndarray:
+    """``Lattice.log_likelihood`` of one word that may be very long: only as many places as a piece has bytes are held."""
+    pieces, lengths = vocabulary(path), _lengths(path)
+    ring = lengths[-1] + 1
+    alpha = np.full((ring, logp.shape[1]), -np.inf)
+    alpha[0] = 0
+    for j in range(1, len(word) + 1):
+        found = [(p, (j - size) % ring) for size in lengths if size <= j and (p := pieces.get(word[j - size : j])) is not None]
+        v = logp[[p for p, _ in found]] + alpha[[i for _, i in found]]
+        most = v.max(0)
+        alpha[j % ring] = most + np.log(np.exp(v - most).sum(0))
+    return alpha[len(word) % ring]
+
+
+def log_likelihoods(some: list[bytes], logp: np.ndarray, path: str) -> np.ndarray:
+    """A row for each word, a column for each language."""
+    out = np.zeros((len(some), logp.shape[1]))
+    short = [k for k, w in enumerate(some) if len(w) < CELLS // 64]
+    for at in batches_of([some[k] for k in short]):
+        here = [short[k] for k in at]
+        out[here] = Lattice([some[k] for k in here], path).log_likelihood(logp)
+    for k, w in enumerate(some):
+        if len(w) >= CELLS // 64:
+            out[k] = _streamed(w, logp, path)
+    return out
 
 
 @dataclass
@@ -123,31 +186,35 @@ class LanguageModel:
         at = len(self.cache)
         while at + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for k in range(0, len(new), 8192):
-            some = new[k : k + 8192]
-            lattice = Lattice(some, vocabulary(self.path))
-            for j, p in enumerate(self.probabilities):
-                self.rows[at + k : at + k + len(some), j] = lattice.log_likelihood(p)
+        self.rows[at : at + len(new)] = log_likelihoods(new, np.log(self.probabilities).T, self.path)
         self.cache.update(zip(new, range(at, at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its posterior probability (all languages alike beforehand)."""
+        """Language and its posterior probability (all languages alike beforehand).
+
+        Words of a text are no independent witnesses: the sum of their log-likelihoods counts by the root of their number.
+        """
         split = [words(t) if has_letter(t) else [] for t in texts]
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
         if len(self.cache) > CACHE_WORDS or self.rows is None:
             self._learn_words([])
         cache = self.cache
-        self._learn_words(list({w for s in split for w in s if w not in cache}))
+        self._learn_words(list({w for s in split for w in s if w not in cache and len(w) <= CACHE_LONGEST}))
+        long = [(k, w) for k, s in enumerate(split) for w in s if len(w) > CACHE_LONGEST]
+        sums = np.zeros((len(texts), len(self.languages)))
+        if long:
+            np.add.at(sums, [k for k, _ in long], log_likelihoods([w for _, w in long], np.log(self.probabilities).T, self.path))
         out = []
-        for s in split:
+        for k, s in enumerate(split):
             if not s:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.rows[np.fromiter(map(cache.__getitem__, s), np.int64, len(s))].sum(0, dtype=np.float64)
+            known = [cache[w] for w in s if len(w) <= CACHE_LONGEST]
+            total = (self.rows[np.array(known, np.int64)].sum(0, dtype=np.float64) + sums[k]) / np.sqrt(len(s))
             p = np.exp(total - total.max())
-            k = int(np.argmax(p))
-            out.append((self.languages[k], float(p[k] / p.sum())))
+            best = int(np.argmax(p))
+            out.append((self.languages[best], float(p[best] / p.sum())))
         return out
 
 
@@ -158,15 +225,17 @@ def estimate(counts: dict[str, dict[bytes, int]], path: str, rounds: int = 3, sm
     """
     pieces = vocabulary(path)
     langs = sorted(counts)
-    every = sorted({w for c in counts.values() for w in c})
-    lattice = Lattice(every, pieces)
     start = np.array([float(len(p)) for p in pieces])
     found = []
     for lang in langs:
-        n = np.array([counts[lang].get(w, 0) for w in every], float)
+        own: Counter = Counter()
+        for w, n in counts[lang].items():
+            own.update({x: n for x in _parts(w, FIT_LONGEST)} if len(w) > FIT_LONGEST else {w: n})
+        some = sorted(own)
+        lattices = [(Lattice([some[k] for k in at], path), np.array([own[some[k]] for k in at], float)) for at in batches_of(some)]
         p = start / start.sum()
         for _ in range(rounds):
-            use = lattice.expected(p, n) + 1e-9
+            use = sum((x.expected(np.log(p), n) for x, n in lattices), np.zeros(len(p))) + 1e-9
             p = use / use.sum()
         found.append(p)
     flat = np.full(len(pieces), 1 / len(pieces))
@@ -240,9 +309,3 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(apply, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
-
-
-def held_out(found: DataFrame, n: int, remainder: int, id_col: str = "doc_id") -> DataFrame:
-    return found.withColumn("held_out", fold(id_col, n) == remainder)
-
-
