@@ -159,7 +159,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = FIT_ROWS) -> Trees:
     """Fit on at most about ``max_rows`` labelled documents; only their statistics reach the driver.
 
-    Null ids and labels are left out. A document labelled more than once counts once, by its smallest label.
+    Null ids and labels are left out. A document labelled more than once counts once, by its smallest label; of rows that
+    share an id one counts, that with the least statistics in order. Without a labelled document all scores are alike.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_y"))
     known = saved(bounded_sample(known, id_col, max_rows, known.count()), "labels")
@@ -169,9 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             found = [statistics(t)[1] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.int64()), "y": b.column(2), "x": pa.array(found, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "y": b.column(2), "x": pa.array(found, pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(measure, "id long, y int, x array<double>").limit(2 * max_rows).orderBy("id", "y", "x").collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = rows.mapInArrow(measure, f"id {kind}, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").collect()
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     return fit_trees(x, np.array([r.y > 0 for r in got], float), list(FEATURES.values()))
 
@@ -184,7 +186,10 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20, min_score: float = 0.5) -> DataFrame:
-    """One row a document: id, COUNTS, ``score``, ``base_failed`` and ``kept``. No shuffle. Null texts count as empty."""
+    """One row a document: id, COUNTS, ``score``, ``base_failed`` and ``kept``. No shuffle.
+
+    Null texts count as empty, which the base rules fail. Repeated rows are each judged; other columns are ignored.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trees)
 
@@ -206,7 +211,7 @@ def verdicts(texts: list[str | None], trees: Trees, min_words: int = 10, max_rep
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns unchanged."""
+    """The rows of ``docs`` that pass, all columns unchanged. Null and empty texts don't; repeated rows are each judged."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
     at = docs.columns.index(text_col)
 

@@ -16,6 +16,8 @@ from .common import bounded_sample, fold, saved
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of the id.
 FIT_ROWS = 12_000
+#: Bytes of words of theirs that are fitted on at most, about; beyond, fewer rows are chosen.
+FIT_BYTES = 64 << 20
 #: Words that a model weighs at most: those whose presence depends most on the label.
 FIT_WORDS = 1_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -130,9 +132,10 @@ def train(bags: Sequence[list[list[bytes]]], labels: list[int], max_words: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: tuple[int, int] | None = (5, 0), max_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on at most about ``max_rows`` labelled documents outside the held-out fold.
+    """Fit on at most about ``max_rows`` labelled documents outside the held-out fold, and FIT_BYTES of their words.
 
-    Null ids and labels are left out. A document labelled more than once counts once, by its largest label.
+    Null ids and labels are left out. A document labelled more than once counts once, by its largest label; of rows that
+    share an id one counts, whichever has the least words in order. Without a labelled document all scores are alike.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     if held_out_fold:
@@ -143,18 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [b"\n".join(b" ".join(sorted(set(words(t[a:e])))) for a, e in sentences(t)) if t else b"" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.int64()), "y": b.column(2), "bag": pa.array(bags, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "y": b.column(2), "bag": pa.array(bags, pa.binary())})
 
-    got = rows.mapInArrow(split, "id long, y int, bag binary").limit(2 * max_rows).toArrow()
-    order = np.lexsort([got.column("y").to_numpy(), got.column("id").to_numpy()])
-    bag, y = got.column("bag"), got.column("y")
-    return train(_Bags([bag[int(k)].as_py() for k in order]), [int(y[int(k)].as_py() > 0) for k in order])
+    kind = docs.schema[id_col].dataType.simpleString()
+    one = saved(rows.mapInArrow(split, f"id {kind}, y int, bag binary").groupBy("id").agg(F.max("y").alias("y"), F.min("bag").alias("bag")), "bags")
+    got = bounded_sample(one, "id", FIT_BYTES, one.agg(F.sum(F.octet_length("bag"))).first()[0] or 0).orderBy("id").toArrow()
+    return train(_Bags(got.column("bag").to_pylist()), [int(y > 0) for y in got.column("y").to_pylist()])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """``(id, score, predicted)`` for every whole text, and with ``spans`` the offending sentences. No shuffle.
 
-    Null and empty texts get the score of a sentence without words. Repeated rows are each scored.
+    Null and empty texts get the score of a sentence without words. Repeated rows are each scored; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
