@@ -58,7 +58,7 @@ def test_suffix_array(tmp_path):
         t = rng.integers(1, rng.integers(2, 5), rng.integers(1, 50))
         t = np.append(np.tile(t, 3) if k % 3 == 0 else t, 0)
         with Workspace(1500 if k % 2 else 1 << 20, str(tmp_path)) as space:  # the small budget goes to disk
-            space.base = 0 if k % 5 else 1000
+            space.base, space.block = 0 if k % 5 else 1000, (2, 3, 4, 7, 256)[k % 5]
             sa, lcp = sort_suffixes(t, space)
         s = t.tolist()
         want = sorted(range(len(s)), key=lambda i: s[i:])
@@ -68,6 +68,38 @@ def test_suffix_array(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("symbols", [4, 250, 1 << 20])
+def test_suffix_array_beyond_memory(tmp_path, symbols):
+    """A budget of a twentieth of the text: at most twice as much is held, the rest goes through files, and recursion goes on there."""
+    import tracemalloc
+
+    rng = np.random.default_rng(symbols)
+    n = 1_000_000
+    with Workspace(1500, str(tmp_path)) as space:  # what is imported on the way is not counted
+        sort_suffixes(np.append(rng.integers(1, 9, 3000), 0), space)
+    t = np.memmap(tmp_path / "text", np.int64, "w+", shape=(n,))
+    t[:-1] = rng.integers(1, symbols, n - 1)
+    t[400_000:700_000] = t[:300_000]  # a long repeat
+    t[800_000:810_000] = t[799_999]  # and a run
+    t[-1] = 0
+    budget = t.nbytes // 20
+    tracemalloc.start()
+    with Workspace(budget, str(tmp_path / "work")) as space:
+        sa, lcp = sort_suffixes(t, space)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak <= 2 * budget and space.spilled > budget and space.deepest >= (1 if symbols < 1 << 20 else 0)
+        assert len(np.unique(sa)) == n and not lcp[0]
+        some = np.concatenate([rng.integers(1, n, 20_000), np.flatnonzero(lcp > 5000)[:50]])
+        a, b, same = sa[some - 1], sa[some], lcp[some]
+        assert (t[a + same] < t[b + same]).all()
+        for k in range(20):
+            here = same > k
+            assert (t[a[here] + k] == t[b[here] + k]).all()
+        for x, y, k in zip(a[-50:], b[-50:], same[-50:], strict=True):
+            assert (t[x : x + k] == t[y : y + k]).all()
+
+
 def brute_substrings(rows, length):
     count = Counter()
     raws = [(i, (t or "").encode()) for i, t in rows]
@@ -91,6 +123,33 @@ def test_substrings(docs, corpus, group, rows):
     assert sorted(map(tuple, got.collect())) == brute_substrings(corpus, 200)
 
 
+@pytest.mark.parametrize("length", [60, 306, 400])
+def test_substrings_of_other_lengths(docs, corpus, length):
+    got = substrings.deduplicate_substrings(docs, substrings.SubstringOptions(length=length))
+    assert sorted(map(tuple, got.collect())) == brute_substrings(corpus, length)
+    with pytest.raises(ValueError):
+        substrings.SubstringOptions(length=40)
+
+
+def test_substrings_sort_on_disk(docs, corpus, monkeypatch):
+    """With the production shard and a budget that it exceeds, queues spill and results are the same."""
+    spilled = []
+    rng = random.Random(3)
+    n, o = 40_000, substrings.SubstringOptions()
+    ck = np.array([rng.randrange(9_000) for _ in range(n)])
+    a = np.array([rng.randrange(16) for _ in range(n)])
+    w = a + 1
+    left, right = (np.array(rng.choices(range(97, 100), k=int(k.sum())), np.uint8) for k in (a, w - a + o.chunk - 2))
+    import tempfile
+
+    flags = []
+    for parent in (tempfile.mkdtemp(), None):
+        with substrings.Workspace(o.memory, parent) as space:
+            flags.append(substrings.repeated_windows(ck, left, right, a, w, o, space))
+            spilled.append((space.spilled, space.deepest))
+    assert all((x == y).all() for x, y in zip(*flags, strict=True)) and spilled[0][0] > 0 and spilled[0][1] > 0 and spilled[1][0] == 0
+
+
 def test_substrings_empty(empty):
     assert substrings.deduplicate_substrings(empty).count() == 0
 
@@ -114,19 +173,37 @@ def brute_decontaminate(rows, items, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bound", [16 << 20, 600])
-def test_decontaminate(spark, docs, corpus, bound):
+@pytest.mark.parametrize("bound,rows", [(64 << 20, 500_000), (600, 500_000), (600, -1)])
+def test_decontaminate(spark, docs, corpus, bound, rows):
+    """In one block and in many, which come back by a broadcast or a lookup."""
     items = [(10, corpus[60][1].split(" ", 15)[1][:80]), (2, corpus[5][1].upper()), (3, "漢字かな é"), (4, ""), (5, None), (9, corpus[5][1]), (11, "anou thble")]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    found = decontaminate.decontaminate(docs, bench, max_broadcast_bytes=bound)
+    found = decontaminate.decontaminate(docs, bench, max_set_bytes=bound, max_broadcast_rows=rows)
     assert sorted(map(tuple, decontaminate.contamination_digest(found).collect()), key=str) == brute_decontaminate(corpus, items, 10)
-    clean = decontaminate.decontaminate(docs, bench, action="remove_documents")
-    assert clean.columns == [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")]
+    clean = decontaminate.decontaminate(docs, bench, action="remove_documents", max_set_bytes=bound)
+    assert clean.columns == docs.columns and {r._n_words for r in clean.collect()} == {"extra"}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in found.collect() if not r._spans}
-    cut = decontaminate.decontaminate(docs, bench, action="remove_spans")
+    cut = decontaminate.decontaminate(docs, bench, action="remove_spans", max_set_bytes=bound)
+    assert cut.columns == docs.columns
     assert decontaminate.contamination_digest(decontaminate.decontaminate(cut, bench)).where("contaminated").isEmpty()
 
 
+def test_decontaminate_blocks_bound_the_sets():
+    """Ten blocks of a benchmark take a worker a tenth of what one takes, and no more than the estimate says."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    items = [(str(k), " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for k in range(1000)]
+    peaks = []
+    for part in (items, items[:100]):
+        tracemalloc.start()
+        held = decontaminate.NgramSet(part, 10)
+        peaks.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+        assert held.scan([part[5][1]])[0][2] == {part[5][0]}
+    assert peaks[0] <= 100_000 * (4 * 10 + 170) and peaks[1] <= 0.15 * peaks[0]
+
+
 def test_packing_round_trip(docs, corpus):
     rows = packing.pack(docs, size=64, with_ids=True).collect()
     encode = packing.encoder(packing.default_path()).tokenizer
@@ -175,11 +252,11 @@ def test_warc_round_trip(spark, tmp_path):
     first = {body: 2, "": 3, "漢 é": 7, "漢 é\r\n": 8}
     for i, _, html in pages:
         raw = (html or "").encode()
-        r, kind = got[i], "response" if i is None or first[html or ""] == i else "revisit"
+        r, kind = got[i], "response" if first[html or ""] == i else "revisit"
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), kind, None if kind == "response" else first[html or ""])
         assert kind == "revisit" or bytes(r.payload) == raw
     warc.write_archives(df, str(tmp_path / "b"), min_payload=10)
-    assert {r.page_id for r in warc.read_archives(spark, str(tmp_path / "b")).where("record_type = 'revisit'").collect()} == {5, 9}
+    assert {r.page_id for r in warc.read_archives(spark, str(tmp_path / "b")).where("record_type = 'revisit'").collect()} == {5, 9, None}
     warc.deduplicate_archives(spark, str(tmp_path / "a"), str(tmp_path / "c"))
     again = {r.page_id: (r.record_type, r.payload_digest, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "c")).collect()}
     assert again == {i: (r.record_type, r.payload_digest, r.refers_to) for i, r in got.items()}
@@ -187,21 +264,112 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "d")).count() == 0
 
 
+def test_warc_ties_and_members(spark, tmp_path):
+    """Of rows that repeat one is the response; record ids differ; each record is a gzip member of its own after a warcinfo."""
+    long = "".join(map(chr, random.Random(1).choices(range(0x4E00, 0x9FA5), k=6_000_000)))  # a record of over 16 MB
+    pages = [(1, "u", "same")] * 3 + [(1, "t", "same"), (2, "u", "same"), (None, "u", "same"), (None, None, "same")] + [(None, "n", "lone")] * 2 + [(7, "x", "")] * 2 + [(8, "y", long)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    for name, least in (("a", 0), ("b", 4), ("c", 5)):
+        warc.write_archives(df, str(tmp_path / name), min_payload=least)
+        got = warc.read_archives(spark, str(tmp_path / name)).collect()
+        assert len(got) == len(pages) == len({r.record_id for r in got})
+        assert Counter((r.page_id, r.url, r.payload_bytes) for r in got) == Counter((i, u, len(t.encode())) for i, u, t in pages)
+        for text, size in (("same", 4), ("lone", 4), ("", 0)):
+            own = [r for r in got if r.payload_digest == base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()]
+            responses = [r for r in own if r.record_type == "response"]
+            if size < least:
+                assert len(responses) == len(own)
+                continue
+            smallest = min((i for i, _, t in pages if t == text and i is not None), default=None)
+            assert len(responses) == 1 and responses[0].page_id == smallest and responses[0].refers_to is None
+            assert all(r.refers_to == smallest for r in own if r.record_type == "revisit")
+    import zlib as z
+
+    kinds = []
+    for f in sorted((tmp_path / "a").glob("*.warc.gz")):
+        data = f.read_bytes()
+        first = True
+        while data:
+            d = z.decompressobj(31)
+            raw = d.decompress(data)
+            assert d.eof
+            data = d.unused_data
+            if raw:
+                kinds.append(raw.split(b"\r\n")[1].decode())
+                assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and (kinds[-1] == "WARC-Type: warcinfo") == first
+                first = False
+    assert Counter(kinds)["WARC-Type: response"] + Counter(kinds)["WARC-Type: revisit"] == len(pages)
+    warc.deduplicate_archives(spark, str(tmp_path / "c"), str(tmp_path / "d"))
+    again = lambda x: Counter(map(tuple, warc.read_archives(spark, str(tmp_path / x)).select("page_id", "url", "payload_digest", "record_type", "refers_to").collect()))
+    assert again("d") == again("a") != again("c")
+
+
 def test_language(spark, empty):
     model = language.estimate({"en": {b" the": 50, b" house": 9, b" and": 30}, "de": {b" der": 50, b" haus": 9, b" und": 30}}, language.default_path())
     assert [x for x, _ in model.predict(["The house and the", "und das Haus", None, "12 .", ""])] == ["en", "de", "und", "und", "und"]
     assert all(0 <= s <= 1 for _, s in model.predict(["the", "xyz" * 100]))
-    pieces = language.vocabulary(language.default_path())
-    lattice, p = language.Lattice([b" the", b" ab"], pieces), np.full(len(pieces), 1e-3)
-
-    def segmentations(w):
-        return 1.0 if not w else sum(1e-3 * segmentations(w[j:]) for j in range(1, len(w) + 1) if w[:j] in pieces)
-
-    assert np.exp(lattice.log_likelihood(p)) == pytest.approx([segmentations(b" the"), segmentations(b" ab")])
     nothing = language.fit(empty.withColumn("lang", F.lit(None).cast("string")))
     assert language.identify(spark.createDataFrame([(1, "word")], "doc_id long, text string"), nothing).first().lang_pred == "und"
 
 
+def segmentations(w, pieces):
+    return [[]] if not w else [[w[:j], *more] for j in range(1, len(w) + 1) if w[:j] in pieces for more in segmentations(w[j:], pieces)]
+
+
+def test_language_sums_over_segmentations():
+    """Forward, forward-backward, the fit's EM and the prediction against an enumeration of all segmentations."""
+    path = language.default_path()
+    pieces = language.vocabulary(path)
+    assert len(pieces) >= 50_256
+    rng = np.random.default_rng(3)
+    p = rng.random(len(pieces))
+    p /= p.sum()
+    some = [b" the", b" ab", " 漢é".encode(), b" information", b" a"]
+    cost = lambda s, p: float(np.prod([p[pieces[x]] for x in s]))
+    lattice = language.Lattice(some, path)
+    brute = [sum(cost(s, p) for s in segmentations(w, pieces)) for w in some]
+    assert np.exp(lattice.log_likelihood(np.log(p))) == pytest.approx(brute)
+
+    def expected(p, counts):
+        use = np.zeros(len(pieces))
+        for w, n in zip(some, counts, strict=True):
+            each = segmentations(w, pieces)
+            total = sum(cost(s, p) for s in each)
+            for s in each:
+                for x in s:
+                    use[pieces[x]] += n * cost(s, p) / total
+        return use
+
+    counts = [5.0, 2.0, 1.0, 3.0, 0.5]
+    assert lattice.expected(np.log(p), np.array(counts)) == pytest.approx(expected(p, counts))
+    q = np.array([float(len(x)) for x in pieces])
+    q /= q.sum()
+    for _ in range(2):
+        q = expected(q, [5, 2, 1, 3, 4]) + 1e-9
+        q /= q.sum()
+    model = language.estimate({"xx": dict(zip(some, [5, 2, 1, 3, 4], strict=True)), "yy": {b" zu": 3}}, path, rounds=2, smoothing=0.0)
+    assert model.probabilities[0] == pytest.approx(q)
+    model = language.estimate({"xx": {b" the": 3, b" house": 2}, "yy": {b" der": 3, b" baum": 2}}, path)
+    for text in ("the baum", "der der house", "thd"):
+        logs = np.array([sum(np.log(sum(cost(s, row) for s in segmentations(w, pieces))) for w in language.words(text)) for row in model.probabilities]) / np.sqrt(len(text.split()))
+        posterior = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert model.predict([text])[0] == (model.languages[int(np.argmax(posterior))], pytest.approx(posterior.max(), abs=1e-5))
+
+
+def test_language_reads_words_of_any_length(monkeypatch):
+    """No word is cut, none falls to probability 0, and long ones score alike in a lattice and streamed."""
+    path = language.default_path()
+    model = language.estimate({"aa": {b" abc": 5, b" bca": 2}, "bb": {b" xyz": 5}}, path)
+    assert model.predict(["xyz" * 4000, "abc" * 30, "漢字かな" * 500])[:2] == [("bb", pytest.approx(1.0)), ("aa", pytest.approx(1.0))]
+    logp, some = np.log(model.probabilities).T, [b" " + b"abcxyz" * k for k in (1, 3, 9)] + [b" " + bytes(range(128, 256))]
+    whole = language.log_likelihoods(some, logp, path)
+    assert np.isfinite(whole).all() and (whole[3] < -690).all() and whole[0] != pytest.approx(whole[1])
+    monkeypatch.setattr(language, "CELLS", 64)
+    assert language.log_likelihoods(some, logp, path) == pytest.approx(whole)
+    parts = language._parts(" 漢字かな".encode() * 300, 1024)
+    assert b"".join(parts) == " 漢字かな".encode() * 300 and all(len(x) <= 1024 and x.decode() for x in parts)
+
+
 def test_language_words_are_shared_out(spark, monkeypatch):
     assert language.word_share([5, 100, 80], 65) == 30 and language.word_share([5, 9], 20) == 9 and language.word_share([], 9) == 0
     seen = {}
@@ -239,6 +407,81 @@ def test_urls(spark):
     assert all(got[100 + k][3] == "block" and got[200 + k][3] == "allow" for k in range(40))
 
 
+def brute_templates(rows, o):
+    """The tree of (host, path, label) as nested loops: template and purity of every (host, path)."""
+    import re
+
+    def kind(x):
+        stem, ext = re.match(r"(?s)^(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?$", x).groups()
+        return "" if x == "" else next((v for p, v in urls.KINDS if re.search(p, stem)), "{w}") + (ext or "").lower()
+
+    at = {(h, p): "" for h, p, _ in rows}
+    segments = {p: re.sub("^/", "", p).split("/") for _, p, _ in rows}
+    for depth in range(o.max_depth):
+        branches = defaultdict(lambda: defaultdict(list))
+        for h, p, y in rows:
+            if len(segments[p]) > depth:
+                token = segments[p][depth]
+                branches[h, at[h, p]][token].append(("/".join(map(kind, segments[p][depth + 1 :])), y, (h, p)))
+        for (_, prefix), children in branches.items():
+            total = sum(map(len, children.values()))
+            for token, own in children.items():
+                group = [x for t, xs in children.items() if kind(t) == kind(token) for x in xs]
+                n, all_n = len(own), len(group)
+                below, pool = Counter(r for r, _, _ in own), Counter(r for r, _, _ in group)
+                alike = n == all_n
+                if not alike:
+                    square = sum((below[r] - n * c / all_n) ** 2 / (n * c / all_n) for r, c in pool.items()) / (1 - n / all_n)
+                    alike = square <= len(pool) - 1 + o.similar_z * (2 * (len(pool) - 1)) ** 0.5 + 1e-6
+                mine, every = [y for _, y, _ in own if y is not None], [y for _, y, _ in group if y is not None]
+                k, m = len(mine), len(every) - len(mine)
+                rate = (sum(every) + 1) / (len(every) + 2)
+                error = (rate * (1 - rate) * (1 / max(k, 1) + 1 / max(m, 1))) ** 0.5
+                same = not k or not m or abs(sum(mine) / k - (sum(every) - sum(mine)) / m) <= o.similar_z * error
+                merged = n < o.min_pages or n < o.min_share * total or (n < all_n and alike and same)
+                for _, _, key in own:
+                    at[key] = prefix + "/" + (kind(token) if merged else token)
+    for h, p in at:
+        if len(segments[p]) > o.max_depth:
+            at[h, p] += "/" + "/".join(map(kind, segments[p][o.max_depth :]))
+    known = [(h, at[h, p], y) for h, p, y in rows if y is not None]
+    rate = (sum(y for _, _, y in known) + 1) / (len(known) + 2)
+    purity = {}
+    for key in at:
+        on_host = [y for h, _, y in known if h == key[0]]
+        in_leaf = [y for h, t, y in known if (h, t) == (key[0], at[key])]
+        host_rate = (sum(on_host) + o.prior_weight * rate) / (len(on_host) + o.prior_weight)
+        purity[key] = (sum(in_leaf) + o.prior_weight * host_rate) / (len(in_leaf) + o.prior_weight)
+    return at, purity
+
+
+def test_url_tree(spark, empty):
+    """Against nested loops, over hosts whose branches differ in labels, in what stands below them, or not at all."""
+    rng = random.Random(12)
+    rows = [("", "", None), ("a.b", "", 1), ("a.b", "/", 0), ("a.b", "/x\ny/z", None), ("deep", "/" + "/".join(map(str, range(12))), 1)]
+    for host in ("one", "two", "three"):
+        for k in range(150):
+            lang = rng.choice(("en", "de", "fr"))
+            path = rng.choice((f"/{lang}/{k}", f"/{lang}/{k}.HTML", f"/{lang}/{k}/", f"/blog/2024-01-{k % 28 + 1:02}/title-{k}", f"/{lang}/tag/{rng.choice('abc')}"))
+            path = f"/shop/{lang}/item{k}/{'0123456789abcdef' * 2}" if host == "two" and lang == "fr" else path
+            bad = host == "three" and path.startswith("/de") or rng.random() < 0.05
+            rows.append((host, path, None if rng.random() < 0.3 else int(not bad)))
+    rows += [("one", "/en/1", 1)] * 3
+    df = spark.createDataFrame(rows, "host string, path string, label int")
+    for o in (urls.TreeOptions(), urls.TreeOptions(max_depth=2, min_share=0.1, similar_z=0.5)):
+        want, purity = brute_templates(rows, o)
+        got = {(r.host, r.path): r for r in urls.templates(df, o).collect()}
+        assert {k: r.template for k, r in got.items()} == want
+        assert {k: r.purity for k, r in got.items()} == {k: pytest.approx(v) for k, v in purity.items()}
+        assert all(r.rejected == (purity[k] < o.min_purity) for k, r in got.items())
+    by_host = defaultdict(set)
+    for (h, _), t in brute_templates(rows, urls.TreeOptions())[0].items():
+        by_host[h].add(t)
+    assert {"/de/{n}", "/de/{n}.html", "/de/{n}/", "/blog/{date}/{w}"} <= by_host["one"] and len(by_host["two"]) > 3 and any(t.startswith("/de/") for t in by_host["three"])
+    pages = empty.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))
+    assert urls.filter_urls(pages, empty.select("doc_id", F.lit(1).alias("quality")), []).count() == 0
+
+
 def test_toxicity():
     rng = random.Random(2)
     make = lambda toxic: [prose(rng, 9).encode().split() + ([b"idiot"] if toxic and k == 1 else []) for k in range(4)]
@@ -401,7 +644,11 @@ def test_lines_recall_at_the_threshold(spark):
             pairs.append((a, b))
     rows = [(2 * k + s, x) for k, pair in enumerate(pairs) for s, x in enumerate(pair)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    of = {r.h: set(r.bands) for r in lines.signatures(lines.occurrences(docs), o).collect()}
+    of = defaultdict(set)
+    known = lines.signatures(lines.occurrences(docs), o)
+    for r in lines.bands(known, o).collect():
+        of[r.h].add(r.band)
+    assert {r.size for r in known.collect()} == {max(1, len(x) - 7) for _, x in rows}
     hashes = {r.doc: r.h for r in lines.occurrences(docs).select("doc", "h").collect()}
     found = sum(bool(of[hashes[2 * k]] & of[hashes[2 * k + 1]]) for k in range(len(pairs))) / len(pairs)
     assert found >= 0.985
@@ -421,7 +668,7 @@ def test_lines_that_are_short(spark):
     linked = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
     of = brute_components(len(texts), linked)
     assert len(set(of)) < len(texts) - 50
-    keys = lines.short_keys(lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), lines.LineOptions()).collect()
+    keys = lines.short_keys(lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("h", "line"), lines.LineOptions()).collect()
     named = {r.h: r.doc for r in lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     share = defaultdict(set)
     for r in keys:

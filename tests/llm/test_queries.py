@@ -1,0 +1,19 @@
+import duckdb
+import pytest
+
+from sparkloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
