@@ -50,6 +50,11 @@ def year_of(date: Column) -> Column:
     return F.substring(date, 1, 4).cast("int")
 
 
+def in_year(date: Column, year: int) -> Column:
+    """Of dates and timestamps: a range, which reaches the scan."""
+    return (date >= F.lit(f"{year:04}-01-01").cast("date")) & (date < F.lit(f"{year + 1:04}-01-01").cast("date"))
+
+
 def parse_pair(line: Column) -> tuple[Column, Column]:
     """Both numbers of ``(a,b)``."""
     parts = F.split(F.substring(line, F.lit(2), F.length(line) - 2), ",")

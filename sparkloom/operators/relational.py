@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.iterate import settled
 
 
 def keyword_documents(docs: DataFrame, keywords: list[str], url: str = "url", contents: str = "contents") -> DataFrame:
@@ -15,11 +19,13 @@ def keyword_documents(docs: DataFrame, keywords: list[str], url: str = "url", co
 def web_log(docs: DataFrame, ranks: DataFrame, visits: DataFrame, keywords: list[str], least_rank: int, year: int) -> DataFrame:
     """``rank, url, avg_duration`` of pages with all keywords and over ``least_rank`` that have no visit in ``year``.
 
-    Filters and projections come before the join; rank rows keep their number.
+    Filters and projections come before the join; rank rows keep their number.  Visit dates are text (``2007-1-1``), or dates,
+    of which the year is a range that the scan gets.
     """
     wanted = keyword_documents(docs, keywords)
     ranked = ranks.where(F.col("rank") > least_rank)
-    visited = visits.where(text.year_of(F.col("visit_date")) == year).select("url")
+    date = F.col("visit_date")
+    visited = visits.where(text.year_of(date) == year if visits.schema["visit_date"].dataType.typeName() == "string" else text.in_year(date, year)).select("url")
     return wanted.join(ranked, "url").select("rank", "url", "avg_duration").join(visited, "url", "left_anti").select("rank", "url", "avg_duration")
 
 
@@ -55,28 +61,33 @@ def difference(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old, new.columns, "left_anti")
 
 
-def co_group_right(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All right values of a grouping of both sides: the right side as it is (a criterion of this kind is never empty)."""
-    return right
-
-
-def sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(value).alias(value))
+def co_group(left: DataFrame, right: DataFrame, key: str, function: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``function`` of both sides' rows of each key that either side has; a side without it gives an empty frame."""
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(function, schema)
 
 
-def minima(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(value).alias(value))
+def co_group_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All right rows of a grouping of both sides, also where the left side has none."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in right.schema)
+    return co_group(left, right, key, lambda _, r: r, schema)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
-def running_count(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One update a record: how many records of its key came up to it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("n", F.count("*").over(w))
+def running_count(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
+    """One update a record: how many records of its key came up to it (in ``order``, which tells records apart).
 
-
-def one_hot(condition: Column) -> tuple[Column, Column]:
-    return F.when(condition, 1).otherwise(0), F.when(condition, 0).otherwise(1)
+    Records are dealt out in ranges of key and order, so that a key with a large share of them is counted by many
+    tasks: within a range, and before it by the ranges' totals. Of these only those of keys that go on from range to range,
+    one a range at most, are broadcast.
+    """
+    ranges = df.repartitionByRange(*([partitions] if partitions else []), key, *order)
+    dealt = settled(ranges.withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").select(F.col(key).alias("_key"), F.col("_range").alias("_at"), "_before")
+    own = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.withColumn("_n", F.count("*").over(own)).join(F.broadcast(before), (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_range") == F.col("_at")), "left")
+    return counted.select(*df.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).alias("n"))

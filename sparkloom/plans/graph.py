@@ -20,7 +20,9 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
 
 def page_rank(pages: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 10, epsilon: float | None = 1e-4) -> Iterated:
     """``page, rank``.  The number of pages is counted once; links carry their page's out-degree, so a step is one join and
-    one sum.  Pages without in-links drop out after a step, and the rank of pages without out-links is lost."""
+    one sum.  Pages without in-links drop out after a step, and the rank of pages without out-links is lost.  Both inputs
+    are worked out once."""
+    pages, edges = settled(pages), settled(edges)
     n = pages.count()
     links = settled(edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree"))
 
@@ -36,7 +38,9 @@ def page_rank(pages: DataFrame, edges: DataFrame, damping: float = 0.85, steps:
 
 
 def components(vertices: DataFrame, edges: DataFrame, steps: int = 10) -> Iterated:
-    """``vertex, component``: smallest label by propagation of changes; ``steps`` bound the diameter that is reached."""
+    """``vertex, component``: smallest label by propagation of changes; ``steps`` bound the diameter that is reached.
+
+    See ``contracted_components`` for graphs of unknown diameter."""
     both = settled(mirrored(edges))
     start = vertices.select(F.col("vertex"), F.col("vertex").alias("component"))
 
@@ -47,26 +51,54 @@ def components(vertices: DataFrame, edges: DataFrame, steps: int = 10) -> Iterat
     return delta(start, start, step, "vertex", "component", steps)
 
 
-def closure(edges: DataFrame, steps: int = 10) -> Iterated:
-    """``src, dst``: all pairs with a directed path; paths grow by one edge a step, and only new ones are grown."""
+def contracted_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> Iterated:
+    """``vertex, component`` of the smallest vertex that is reached, in a logarithmic number of rounds whatever the diameter.
+
+    In each round a vertex joins its neighbour (or itself) of the lowest rank, by degree in even rounds and at random in
+    odd ones; edges inside what has joined disappear.  Of each round the joins alone are kept.
+    """
+    live = settled(ordered_edges(edges))
+    labels = settled(vertices.select("vertex", F.col("vertex").alias("root")))
+    for k in range(rounds):
+        if live.isEmpty():
+            break
+        both = mirrored(live)
+        weight = -F.count("*") if k % 2 == 0 else F.lit(0)
+        rank = both.groupBy(F.col("src").alias("v")).agg(weight.alias("w")).select("v", F.struct("w", F.xxhash64(F.lit(k), "v").alias("h"), "v").alias("rank"))
+        lowest = both.join(rank, both["dst"] == rank["v"]).groupBy(F.col("src").alias("v")).agg(F.min("rank").alias("least"))
+        joins = settled(lowest.join(rank, "v").select("v", F.least("least", "rank")["v"].alias("to")))
+        ends = live.join(joins.toDF("src", "a"), "src").join(joins.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        live = settled(ordered_edges(ends))
+        labels = settled(labels.join(joins.toDF("root", "to"), "root", "left").select("vertex", F.coalesce("to", "root").alias("root")))
+    least = labels.groupBy("root").agg(F.min("vertex").alias("component"))
+    return Iterated(labels.join(least, "root").select("vertex", "component"), k, live.isEmpty())
+
+
+def closure(edges: DataFrame, steps: int = 10, doubling: bool = False) -> Iterated:
+    """``src, dst``: all pairs with a directed path; only new paths are grown, and those found are never written again.
+
+    Paths grow by one edge a step, or with ``doubling`` by all paths so far, so that steps are logarithmic in the longest.
+    """
     links = settled(edges.select("src", "dst").distinct())
     paths, fresh = links, links
     for k in range(steps):
-        ends, starts = fresh.toDF("src", "via"), links.toDF("via", "dst")
-        grown = ends.join(starts, "via").select("src", "dst").distinct()
-        fresh = settled(grown.join(paths.toDF("src", "dst"), ["src", "dst"], "left_anti"))
+        grown = fresh.toDF("src", "via").join((paths if doubling else links).toDF("via", "dst"), "via").select("src", "dst")
+        if doubling:
+            grown = grown.union(paths.toDF("src", "via").join(fresh.toDF("via", "dst"), "via").select("src", "dst"))
+        fresh = settled(grown.distinct().join(paths, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return Iterated(paths, k + 1, True)
-        paths = settled(paths.union(fresh))
+        paths = paths.union(fresh)
     return Iterated(paths, steps, False)
 
 
 def triangles(edges: DataFrame, as_written: bool = False) -> DataFrame:
-    """``v1, v2, v3`` in ascending order. Edges are directed from the end of lower degree, so that a hub opens few pairs.
+    """``v1, v2, v3`` in ascending order. Edges are directed from the end of lower degree, so that a hub opens few pairs. Edges
+    are worked out once.
 
     ``as_written``: one pair a vertex, of its two smallest larger neighbours.
     """
-    e = ordered_edges(edges)
+    e = settled(ordered_edges(edges))
     if as_written:
         ranked = e.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where("k <= 2")
         pair = ranked.groupBy("src").agg(F.min("dst").alias("v2"), F.max("dst").alias("v3"), F.count("*").alias("m")).where("m = 2")
@@ -75,7 +107,7 @@ def triangles(edges: DataFrame, as_written: bool = False) -> DataFrame:
     a = degree.select(F.col("v").alias("src"), F.col("d").alias("ds"))
     b = degree.select(F.col("v").alias("dst"), F.col("d").alias("dd"))
     lower = F.struct("ds", "src") < F.struct("dd", "dst")
-    out = e.join(a, "src").join(b, "dst").select(F.when(lower, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(lower, F.col("dst")).otherwise(F.col("src")).alias("high"))
+    out = settled(e.join(a, "src").join(b, "dst").select(F.when(lower, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(lower, F.col("dst")).otherwise(F.col("src")).alias("high")))
     open_ = out.alias("x").join(out.alias("y"), "low").where("x.high < y.high").select("low", F.col("x.high").alias("src"), F.col("y.high").alias("dst"))
     v = open_.join(e, ["src", "dst"]).select(F.sort_array(F.array("low", "src", "dst")).alias("t"))
     return v.select(*[F.col("t")[k].alias(f"v{k + 1}") for k in range(3)])

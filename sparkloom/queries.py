@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import relational, words
 from .plans import graph, ml
+from .plans.iterate import settled
+from .sources import readers
 from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,13 +70,19 @@ AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = doc_id AND year(o_orderda
 def weblog_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").withColumn("url", F.col("doc_id").cast("string"))
     docs, ranks = d.select("url", F.col("text").alias("contents")), d.select(F.col("n_chars").alias("rank"), "url", F.col("lang").alias("avg_duration"))
-    visits = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("url"), F.col("o_orderdate").cast("string").alias("visit_date"))
+    visits = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("url"), F.col("o_orderdate").alias("visit_date"))
     return relational.web_log(docs, ranks, visits, [" the ", " and "], 400, 1995)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE year(o_orderdate) = 1997")
 def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").where(text.year_of(F.col("o_orderdate").cast("string")) == 1997).select("o_orderkey", "o_custkey")
+    return _table(spark, sf_dir, "orders").where(text.in_year(F.col("o_orderdate"), 1997)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
+def year_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = _table(spark, sf_dir, "orders").select(text.year_of(F.col("o_orderdate").cast("string")).alias("year"))
+    return dates.groupBy("year").agg(F.count("*").alias("n"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +113,16 @@ def user_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.join_pairs(users, mails, "key").select("left.c_name", "right.o_orderkey")
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.difference(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")))
+    orders = _table(spark, sf_dir, "orders").where(text.in_year(F.col("o_orderdate"), 1995))
+    return relational.difference(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), orders.select(F.col("o_custkey").alias("key")))
+
+
+@query("SELECT o_custkey AS key, o_orderkey AS value FROM orders")
+def co_group_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return relational.co_group_right(left, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value")), "key")
 
 
 @query("SELECT o_custkey AS src, array_to_string(list_sort(list(o_orderkey)), ',') AS neighbours FROM orders GROUP BY 1")
@@ -169,10 +184,15 @@ def _part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
 
 
-_PARTS = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
+_PARTS = """e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
+# open pairs are few once each edge leaves its end of lower degree
+_DIRECTED = """, d AS MATERIALIZED (SELECT v, count(*) AS k FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY 1),
+o AS MATERIALIZED (SELECT CASE WHEN (a.k, src) < (b.k, dst) THEN src ELSE dst END AS low, CASE WHEN (a.k, src) < (b.k, dst) THEN dst ELSE src END AS high
+FROM e JOIN d a ON a.v = src JOIN d b ON b.v = dst),
+p AS MATERIALIZED (SELECT x.low, x.high AS src, y.high AS dst FROM o x JOIN o y ON x.low = y.low AND x.high < y.high)"""
 
 
-@query("WITH " + _PARTS + " SELECT a.src AS v1, a.dst AS v2, b.dst AS v3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst")
+@query("WITH " + _PARTS + _DIRECTED + " SELECT least(low, p.src, p.dst) AS v1, low + p.src + p.dst - least(low, p.src, p.dst) - greatest(low, p.src, p.dst) AS v2, greatest(low, p.src, p.dst) AS v3 FROM p JOIN e ON e.src = p.src AND e.dst = p.dst")
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.triangles(_part_graph(spark, sf_dir))
 
@@ -194,13 +214,26 @@ _TURNS = "t AS (SELECT DISTINCT conv_id * 100000 + turn AS v FROM conversations)
 
 @query("WITH RECURSIVE " + _TURNS + ", c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_turns(spark, sf_dir), steps=1000).result
+    return graph.closure(_turns(spark, sf_dir), steps=60, doubling=True).result
 
 
 @query("WITH RECURSIVE " + _TURNS + ", c AS (SELECT v AS vertex, v AS label FROM t UNION SELECT e.dst, c.label FROM c JOIN e ON c.vertex = e.src) SELECT vertex, min(label) AS component FROM c GROUP BY 1")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("vertex")).distinct()
-    return graph.components(vertices, _turns(spark, sf_dir), steps=1000).result
+    return graph.contracted_components(vertices, _turns(spark, sf_dir)).result
+
+
+def _steps_sql(steps: int) -> str:
+    out = "WITH " + _TURNS + ", u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), c0 AS (SELECT v AS vertex, v AS component FROM t)"
+    for k in range(steps):
+        out += f", c{k + 1} AS (SELECT vertex, min(component) AS component FROM (SELECT vertex, component FROM c{k} UNION ALL SELECT u.dst, c.component FROM c{k} c JOIN u ON u.src = c.vertex) GROUP BY 1)"
+    return out + f" SELECT vertex, component FROM c{steps}"
+
+
+@query(_steps_sql(3))
+def components_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("vertex")).distinct()
+    return graph.components(vertices, _turns(spark, sf_dir), steps=3).result
 
 
 def _rank_sql(steps: int) -> str:
@@ -212,7 +245,7 @@ def _rank_sql(steps: int) -> str:
 
 @query(_rank_sql(5))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.mirrored(_part_graph(spark, sf_dir))
+    edges = settled(graph.mirrored(_part_graph(spark, sf_dir)))
     found = graph.page_rank(edges.select(F.col("src").alias("page")).distinct(), edges, steps=5, epsilon=None).result
     return found.select("page", F.round("rank", 9).alias("rank"))
 
@@ -264,6 +297,20 @@ def pi_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.pi_estimate(_table(spark, sf_dir, "orders"), x, y).select(F.round("pi", 9).alias("pi"))
 
 
+@query("SELECT round(sum(CASE WHEN x * x + y * y < 1 THEN 1 ELSE 0 END) * 4 / 1000000::DOUBLE, 9) AS pi FROM (SELECT ((id * 7919) % 10007) / 10007.0::DOUBLE AS x, ((id * 104729) % 10009) / 10009.0::DOUBLE AS y FROM range(1000000) r(id))")
+def pi_of_a_million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = (F.col("id") * 7919 % 10007) / F.lit(10007.0), (F.col("id") * 104729 % 10009) / F.lit(10009.0)
+    return ml.pi_estimate(spark.range(1_000_000), x, y).select(F.round("pi", 9).alias("pi"))
+
+
+@query("""WITH p AS (SELECT id % 10000 + 1 AS key, id // 500000 * 500 AS pane, count(*) AS part FROM range(20000000) r(id) GROUP BY ALL)
+SELECT key, pane - k * 500 AS window_start_ms, CAST(sum(part) AS BIGINT) AS total FROM p, range(5) s(k) GROUP BY ALL""")
+def cycling_sliding_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 million rows of 10,000 keys, a million a second: windows of 2.5 seconds that slide by half a second."""
+    rows = readers.cycling_keys(spark, 20_000_000, 10_000, with_millis=1_000_000)
+    return windows.sliding_sum(rows, 2500, 500, "key", "n", "ms")
+
+
 @query("SELECT CAST(p_size AS BIGINT) + 2 AS value, count(*) AS n FROM part GROUP BY 1")
 def increment_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = _table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("value"))

@@ -39,25 +39,54 @@ def stream_to_csv(df: DataFrame, path: str, checkpoint: str, sep: str = "|", onc
 
 
 class SocketWriter:
-    """``foreach`` writer that sends ``<now_ms> : <row>`` lines to a server."""
+    """``foreach`` writer that sends ``<now_ms> : <row>`` lines to a server; a lost connection is opened again.
 
-    def __init__(self, host: str, port: int):
-        self.host, self.port, self.connection = host, port, None
+    A line is sent once at least: one that the server got before the connection broke may come again.
+    """
+
+    def __init__(self, host: str, port: int, tries: int = 4, wait: float = 0.2):
+        self.host, self.port, self.tries, self.wait, self.connection = host, port, tries, wait, None
 
     def open(self, partition: int, epoch: int) -> bool:
-        self.connection = socket.create_connection((self.host, self.port))
+        self._again(lambda: None)
         return True
 
     def process(self, row: Row) -> None:
-        self.connection.sendall(f"{int(time.time() * 1000)} : ({','.join(map(str, row))})\n".encode())
+        line = f"{int(time.time() * 1000)} : ({','.join(map(str, row))})\n".encode()
+        self._again(lambda: self.connection.sendall(line))
+
+    def _again(self, act: Callable[[], None]) -> None:
+        for k in range(self.tries):
+            try:
+                if self.connection is None:
+                    self.connection = socket.create_connection((self.host, self.port))
+                return act()
+            except OSError:
+                self.close(None)
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(self.wait * 2**k)
 
     def close(self, error: Exception | None) -> None:
         if self.connection is not None:
             self.connection.close()
+            self.connection = None
+
+
+def stream_to_socket(df: DataFrame, host: str, port: int, mode: str = "update", one_connection: bool = False, **trigger) -> StreamingQuery:
+    """A connection a partition; ``one_connection`` sends a micro-batch in order through one."""
+    writer = (df.coalesce(1) if one_connection else df).writeStream.foreach(SocketWriter(host, port)).outputMode(mode)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def stream_to_socket(df: DataFrame, host: str, port: int, mode: str = "update", **trigger) -> StreamingQuery:
-    writer = df.writeStream.foreach(SocketWriter(host, port)).outputMode(mode)
+def show_window_ends(df: DataFrame, name: str = "ends", mode: str = "append", **trigger) -> StreamingQuery:
+    """Prints each row of closed windows after the last instant of its window."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        rest = [c for c in batch.columns if c not in ("window_start", "window_end")]
+        stamped(batch).select(F.concat_ws(" ", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"), *rest).alias(name)).show(batch.count() or 1, truncate=False)
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(each)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 

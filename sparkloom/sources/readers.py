@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
@@ -57,9 +59,25 @@ def rate(spark: SparkSession, rows_per_second: int = 100) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
 
 
-def cycling_keys(spark: SparkSession, n: int = 20_000_000, keys: int = 10_000, instances: int = 1) -> DataFrame:
-    """``n`` rows (key, 1) an instance; keys go 1 to ``keys`` and start again."""
-    return spark.range(n * instances).select((F.col("id") % n % keys + 1).alias("key"), F.lit(1).cast("long").alias("n"))
+def cycling_keys(spark: SparkSession, n: int = 20_000_000, keys: int = 10_000, instances: int = 1, with_millis: int | None = None) -> DataFrame:
+    """``n`` rows (key, 1) an instance; keys go 1 to ``keys`` and start again. ``with_millis`` rows a second: ``ms`` has their time."""
+    row = F.col("id") % n
+    time = [F.floor(row * 1000 / with_millis).alias("ms")] if with_millis else []
+    return spark.range(n * instances).select((row % keys + 1).alias("key"), F.lit(1).cast("long").alias("n"), *time)
+
+
+def cycling_keys_stream(spark: SparkSession, rows_per_batch: int = 100_000, keys: int = 10_000, instances: int = 4, n: int | None = None, millis_per_batch: int = 1000) -> DataFrame:
+    """``key, n, timestamp`` as a stream of ``instances`` parallel tasks; all rows, or the first ``n`` (bounded)."""
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("numPartitions", instances).option("advanceMillisPerBatch", millis_per_batch)
+    rows = reader.load()
+    rows = rows.where(F.col("value") < n) if n is not None else rows
+    return rows.select((F.col("value") % keys + 1).alias("key"), F.lit(1).cast("long").alias("n"), "timestamp")
+
+
+def parsed_pairs(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``a, b`` of ``(a,b)`` lines."""
+    a, b = text.parse_pair(F.col(column))
+    return lines.select(a.alias("a"), b.alias("b"))
 
 
 def random_pairs(spark: SparkSession, n: int = 100, bound: int = 49, seed: int = 7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYWORDS = ("editors", "oscillations", "convection")
+KEYWORDS = ("harbour", "lantern", "meadow")
 FILLER = tuple("lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy".split())
 
 

@@ -15,8 +15,15 @@ def event_time(df: DataFrame, column: str, slack: str | None = None, millis: boo
     return out.withWatermark("ts", slack) if slack else out
 
 
-def processing_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.current_timestamp())
+def processing_time(df: DataFrame, slack: str | None = None) -> DataFrame:
+    """``ts`` is the time of the micro-batch (or of its arrival, if the source has none of its own); ``slack`` as in ``event_time``."""
+    out = df.withColumn("ts", F.current_timestamp())
+    return out.withWatermark("ts", slack) if slack else out
+
+
+def with_parallelism(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """What follows runs in ``n`` tasks, of whole keys if some are given."""
+    return df.repartition(n, *keys)
 
 
 def windowed(df: DataFrame, window: Column, keys: list[str], *aggregates: Column) -> DataFrame:
@@ -33,6 +40,21 @@ def sliding(df: DataFrame, width: str, slide: str, keys: list[str], *aggregates:
     return windowed(df, F.window("ts", width, slide), keys, *aggregates)
 
 
+def sliding_sum(df: DataFrame, width_ms: int, slide_ms: int, key: str, value: str, time_ms: str) -> DataFrame:
+    """``key, window_start_ms, total``: sums of sliding windows by panes of one slide, so that a record is summed once and
+    only panes go into several windows. ``width_ms`` is a multiple of ``slide_ms``."""
+    if width_ms % slide_ms:
+        raise ValueError("the width is a multiple of the slide")
+    panes = df.groupBy(key, (F.floor(F.col(time_ms) / slide_ms) * slide_ms).alias("pane")).agg(F.sum(value).alias("part"))
+    starts = F.explode(F.sequence(F.col("pane") - (width_ms - slide_ms), F.col("pane"), F.lit(slide_ms)))
+    return panes.select(key, "part", starts.alias("window_start_ms")).groupBy(key, "window_start_ms").agg(F.sum("part").alias("total"))
+
+
+def full_windows(df: DataFrame, width: str, keys: list[str], function, schema: str) -> DataFrame:
+    """``function`` (pandas frame to pandas frame) of all records of each window and key, where no aggregate will do."""
+    return df.withColumn("window_start", F.window("ts", width)["start"]).groupBy("window_start", *keys).applyInPandas(function, schema)
+
+
 def session(df: DataFrame, gap: str, keys: list[str], *aggregates: Column) -> DataFrame:
     """An event exactly one gap later belongs to the session."""
     return windowed(df, F.session_window("ts", gap), keys, *aggregates)
@@ -65,11 +87,10 @@ DASHBOARD_SQL = """
 SELECT count(*) AS pv, sum(restime) div count(restime) AS avg_restime,
        round(CAST(sum(CASE WHEN status = 200 THEN 0 ELSE 1 END) AS DOUBLE) / count(*), 2) AS error_rate,
        window.start + INTERVAL '8' HOUR AS at
-FROM {table} WHERE status <> 404 GROUP BY window(ts, '{width}')
+FROM {{log}} WHERE status <> 404 GROUP BY window(ts, '{width}')
 """
 
 
-def dashboard(log: DataFrame, width: str = "1 second", view: str = "request_log") -> DataFrame:
-    """Page views, mean response time (whole) and error rate of each window, in SQL on a named view (batch or streaming)."""
-    log.createOrReplaceTempView(view)
-    return log.sparkSession.sql(DASHBOARD_SQL.format(table=view, width=width))
+def dashboard(log: DataFrame, width: str = "1 second") -> DataFrame:
+    """Page views, mean response time (whole) and error rate of each window, in SQL on the log (batch or streaming)."""
+    return log.sparkSession.sql(DASHBOARD_SQL.format(width=width), log=log)
