@@ -84,10 +84,10 @@ def running_count(df: DataFrame, key: str, order: list[str], partitions: int | N
     one a range at most, are broadcast.
     """
     ranges = df.repartitionByRange(*([partitions] if partitions else []), key, *order)
-    dealt = settled(ranges.withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy(key, "_range").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").select(F.col(key).alias("_key"), F.col("_range").alias("_at"), "_before")
-    own = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = dealt.withColumn("_n", F.count("*").over(own)).join(F.broadcast(before), (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_range") == F.col("_at")), "left")
-    return counted.select(*df.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).alias("n"))
+    dealt = settled(ranges.withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy(key, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("__before", F.sum("__n").over(earlier)).where("__before > 0").select(F.col(key).alias("__key"), F.col("__range").alias("__at"), "__before")
+    own = Window.partitionBy(key, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.withColumn("__n", F.count("*").over(own)).join(F.broadcast(before), (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__range") == F.col("__at")), "left")
+    return counted.select(*df.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).alias("n"))

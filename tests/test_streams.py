@@ -37,8 +37,8 @@ def run_to_memory(df, name, mode="append"):
 
 @pytest.mark.parametrize("slack,kept", [("3 seconds", 4), ("0 seconds", 3), ("3 milliseconds", 3)])
 def test_late_rows(spark, tmp_path, slack, kept):
-    """A row of the first window comes when the watermark has passed it, but for a slack of three seconds."""
-    parts = [[{"ts_ms": t, "word": "a"}] for t in (1_000, 2_000, 11_500, 3_000, 30_000, 60_000)]
+    """A row of the first window comes when the watermark of the micro-batch before has passed it, but for a slack of three seconds."""
+    parts = [[{"ts_ms": t, "word": "a"}] for t in (1_000, 2_000, 11_500, 12_000, 3_000, 30_000, 60_000)]
     name = "late_" + slack.replace(" ", "_")
     stream = windows.event_time(readers.file_stream(spark, write_parts(tmp_path / "in", parts), "ts_ms long, word string", files_per_batch=1), "ts_ms", slack, millis=True)
     got = run_to_memory(windows.tumbling(stream, "10 seconds", ["word"], F.count("*").alias("n")), name)
