@@ -33,6 +33,7 @@ class Workspace:
         #: Reduced strings of up to so many symbols are sorted in memory, which ends the recursion.
         self.base = budget // 1024
         self.spilled = self.deepest = 0
+        self.paths: dict[int, str] = {}
 
     def path(self) -> str:
         if self.folder is None:
@@ -44,7 +45,10 @@ class Workspace:
     def array(self, n: int, dtype) -> np.ndarray:
         if self.parent is None or n * np.dtype(dtype).itemsize <= self.budget // 64:
             return np.empty(n, dtype)
-        return np.memmap(self.path(), dtype, "w+", shape=(n,))
+        path = self.path()
+        out = np.memmap(path, dtype, "w+", shape=(n,)).view(np.ndarray)  # plain slices cost less
+        self.paths[out.ctypes.data] = path
+        return out
 
     def blocks(self, n: int, first: int = 0) -> Iterator[tuple[int, int]]:
         for a in range(first, n, self.block):
@@ -53,8 +57,8 @@ class Workspace:
     def free(self, *arrays: np.ndarray) -> None:
         """Files of arrays that are not needed any more."""
         for a in arrays:
-            if isinstance(a, np.memmap) and a.filename:
-                os.remove(a.filename)
+            if path := self.paths.pop(a.ctypes.data, None):
+                os.remove(path)
 
     def __enter__(self) -> Workspace:
         return self
@@ -74,9 +78,9 @@ class MonotoneQueue:
 
     def __init__(self, sample: np.ndarray, total: int, space: Workspace):
         """``sample`` has keys in order, out of ``total`` to come."""
-        width = max(64, space.budget // (12 * _ENTRY.itemsize))
+        width = min(1 << 13, max(64, space.budget // (12 * _ENTRY.itemsize)))
         step = max(1, int(len(sample) * width / max(total, 1)))
-        cuts = sample[step::step] if total > width and space.parent else sample[:0]
+        cuts = sample[step::step] if total > width else sample[:0]
         heavy = np.unique(cuts[1:][cuts[1:] == cuts[:-1]])
         self.bounds, self.space = np.unique(np.concatenate([cuts, heavy + 1])), space
         self.single = np.concatenate([[False], np.isin(self.bounds, heavy)])
@@ -84,6 +88,7 @@ class MonotoneQueue:
         self.ahead: dict[int, list[np.ndarray]] = {}  # to be read before the file
         self.files: dict[int, str] = {}
         self.read: dict[int, int] = {}
+        self.later: dict[int, list[np.ndarray]] = {}  # in place of files where there is no folder
         self.pending: list[np.ndarray] = []  # to be read after the file, of all ranges
         self.counts = np.zeros(n, np.int64)  # entries outside the front
         self.held, self.at, self.front = 0, 0, np.empty(0, _ENTRY)
@@ -105,7 +110,7 @@ class MonotoneQueue:
             self.pending.append(entries.copy())
             np.add.at(self.counts, where, 1)
             self.held += entries.nbytes + 150  # with what an array takes besides
-            if self.space.parent and self.held > self.space.budget // 12:
+            if self.held > self.space.budget // 12:
                 self._spill()
 
     def _spill(self) -> None:
@@ -117,11 +122,14 @@ class MonotoneQueue:
         cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(every)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             r = int(where[a])
+            if not self.space.parent:
+                self.later.setdefault(r, []).append(every[a:b])
+                continue
             if r not in self.files:
                 self.files[r] = self.space.path()
             with open(self.files[r], "ab") as out:
                 out.write(every[a:b].tobytes())
-        self.space.spilled += every.nbytes
+        self.space.spilled += every.nbytes if self.space.parent else 0
 
     def _waiting(self, r: int) -> list[np.ndarray]:
         """Takes a range's entries out of what is pending."""
@@ -149,7 +157,7 @@ class MonotoneQueue:
                 os.remove(self.files.pop(r))
                 del self.read[r]
         if n < most and r not in self.files:
-            out += self._waiting(r)
+            out += self.later.pop(r, []) + self._waiting(r)
             n = sum(map(len, out))
         self.counts[r] -= n
         return np.concatenate(out) if out else np.empty(0, _ENTRY)
