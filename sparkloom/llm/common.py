@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ SALTS = 1024
 
 _local_root: str | None = None
 _written: list[tuple[SparkSession, str]] = []
+_open = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +55,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not _written:
         atexit.register(_clear)
     _written.append((spark, path))
+    for frame in getattr(_open, "frames", [])[-1:]:
+        frame.append((spark, path))
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are saved inside go at the end, but for those that are passed to what this gives."""
+    frames = _open.frames = getattr(_open, "frames", [])
+    frames.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._saved_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for spark, path in frames.pop():
+            if path in kept:
+                for frame in frames[-1:]:
+                    frame.append((spark, path))
+            else:
+                _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +103,7 @@ class Saved:
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df._saved_at = self.path
 
     def drop(self) -> None:
         _delete(self.spark, self.path)

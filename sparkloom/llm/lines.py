@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_masks, lookup, saved
+from .common import hash_masks, lookup, saved, scratch
 from .similar import few, similar_sets
 
 
@@ -170,16 +170,29 @@ class LineSets:
         return both.select(*pairs.columns)
 
     def near_pivots(self, ranked: DataFrame, done: int, until: int) -> DataFrame:
-        if self.sketches is None:  # later ranks are some of the first
+        if done > 1:
+            return self._held(ranked, self._sketched, _may_be_similar, done, until)
+        # bands that are through after this step are small: their pairs go by signature alone
+        small = self._held(ranked.where(F.col("m") <= until), self.signed.drop("first_doc", "n"), _agree, done, until)
+        return small.union(self._held(ranked.where(F.col("m") > until), self._sketched, _may_be_similar, done, until))
+
+    def _sketched(self, ranked: DataFrame) -> DataFrame:
+        if self.sketches is None:  # later ones are some of the first
             asked = self.texts.join(few(ranked.select("h").distinct(), self.o.broadcast_rows), "h", "left_semi")
             each = asked.select("h", F.array_distinct(_shingles(F.col("line"), self.o)).alias("set")).select("h", F.size("set").alias("size"), F.explode("set").alias("s"))
             each = each.select("h", "size", F.xxhash64("s").alias("x")).withColumn("w", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1))
             bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
             words = each.groupBy("h", "size", "w").agg(F.bit_xor(bit).alias("bits")).groupBy("h", "size")
             self.sketches = saved(words.agg(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]), "sketches")
-        full = saved(ranked.join(self.sketches, "h"), "sketched")
+        return self.sketches
+
+    def _held(self, ranked: DataFrame, by, alike, done: int, until: int) -> DataFrame:
+        """Pairs of pivots and later members of their bands that are ``alike`` by the columns of ``by``."""
+        if ranked.isEmpty():
+            return ranked.sparkSession.createDataFrame([], "ha long, hb long, la long, lb long")
+        full = saved(ranked.join(by(ranked) if callable(by) else by, "h"), "held")
         pivots = full.where((F.col("rank") > done) & (F.col("rank") <= until))
-        near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & _may_be_similar("a_", "b_", self.o)
+        near = (F.col("a_band") == F.col("b_band")) & F.expr("b_rank > a_rank and a_label <> b_label") & alike("a_", "b_", self.o)
         return _named(pivots, "a_", "ha").join(_named(full, "b_", "hb"), near).select("ha", "hb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
@@ -208,22 +221,23 @@ def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str
     Equal lines, and lines in one component of similar ones, are a class; of each class the line of
     the smallest id stays, there (if rows share the id) of the smallest text hash, and there of the smallest position.
     """
-    occ = occurrences(docs, id_col, text_col)
-    known = saved(signatures(occ, o), "lines")
-    graph = similar_lines(docs, known, o, id_col, text_col)
-    named = known.select("h", "first_doc", "n").join(graph, "h", "left").where("n > 1 or component is not null")
-    named = saved(named.withColumn("component", F.coalesce("component", "h")), "named")
-    first = named.groupBy("component").agg(F.min("first_doc").alias("keep_doc"))
-    classes = saved(named.join(first, "component").select("h", "n", "component", "keep_doc"), "classes")
-    size = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
-    if size.rows <= o.broadcast_rows:
-        named = occ.select("doc", "own", "pos", "h").join(F.broadcast(classes.drop("n")), "h")
-    else:
-        named = lookup(occ.select("doc", "own", "pos", "h"), classes, "h", "n", "pos", size["lines"]).where("component is not null")
-    again = saved(named.select("doc", "own", "pos", "component", "keep_doc"), "again")
-    kept = again.where("doc = keep_doc").groupBy("component", "doc").agg(F.min(F.struct("own", "pos")).alias("at")).select("doc", "at.own", "at.pos")
-    gone = again.select("doc", "own", "pos").join(kept, ["doc", "own", "pos"], "left_anti").distinct()
-    return saved(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")
+    with scratch() as keep:
+        occ = occurrences(docs, id_col, text_col)
+        known = saved(signatures(occ, o), "lines")
+        graph = similar_lines(docs, known, o, id_col, text_col)
+        named = known.select("h", "first_doc", "n").join(graph, "h", "left").where("n > 1 or component is not null")
+        named = saved(named.withColumn("component", F.coalesce("component", "h")), "named")
+        first = named.groupBy("component").agg(F.min("first_doc").alias("keep_doc"))
+        classes = saved(named.join(first, "component").select("h", "n", "component", "keep_doc"), "classes")
+        size = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
+        if size.rows <= o.broadcast_rows:
+            named = occ.select("doc", "own", "pos", "h").join(F.broadcast(classes.drop("n")), "h")
+        else:
+            named = lookup(occ.select("doc", "own", "pos", "h"), classes, "h", "n", "pos", size["lines"]).where("component is not null")
+        again = saved(named.select("doc", "own", "pos", "component", "keep_doc"), "again")
+        kept = again.where("doc = keep_doc").groupBy("component", "doc").agg(F.min(F.struct("own", "pos")).alias("at")).select("doc", "at.own", "at.pos")
+        gone = again.select("doc", "own", "pos").join(kept, ["doc", "own", "pos"], "left_anti").distinct()
+        return keep(saved(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed"))
 
 
 def remove_duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:

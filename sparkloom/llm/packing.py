@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Words whose ids a worker remembers, by the library's own encoding; all are forgotten when there are so many.
 CACHE_WORDS = 300_000
+#: Windows that a partition holds open at most; beyond, all are cut into full ones as at its end.
+MAX_OPEN = 4096
 #: Sequence ids of a partition start at its number times this.
 SEQUENCES = 1 << 32
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -86,6 +88,7 @@ class SquaresPacker:
     def __init__(self, size: int):
         self.size, self.count = size, np.zeros(size + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
+        self.windows = 0
 
     def add(self, doc: int, ids: bytes, total: int) -> Iterator[list[Piece]]:
         """Windows that are closed by this document."""
@@ -105,38 +108,46 @@ class SquaresPacker:
         window = self.open[h].pop() if h else []
         if h:
             self.count[h] -= 1
+            self.windows -= 1
         window.append((doc, whole * size, ids[4 * whole * size :], total))
         if h + r == size:
             yield window
         else:
             self.count[h + r] += 1
             self.open[h + r].append(window)
+            self.windows += 1
+            if self.windows > MAX_OPEN:
+                yield from self.rest(last=False)
 
-    def rest(self) -> Iterator[list[Piece]]:
-        """What is open at the end, cut into full windows; the last ones have powers of two ids and need no padding."""
+    def rest(self, last: bool = True) -> Iterator[list[Piece]]:
+        """What is open, cut into full windows; at the end the last ones have powers of two ids and need no padding, before it what is left stays open."""
         pieces = [p for h in range(self.size, 0, -1) for w in self.open[h] for p in w]
         left = sum(len(p[2]) // 4 for p in pieces)
+        self.count[:], self.open, self.windows = 0, [[] for _ in range(self.size + 1)], 0
         window: list[Piece] = []
         room = target = 0
         for doc, start, ids, total in pieces:
             at = 0
             while at < len(ids):
                 if not room:
-                    target = room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+                    target = room = self.size if left >= self.size or not last else 1 << (left.bit_length() - 1)
                 take = min(room, len(ids) // 4 - at // 4)
                 window.append((doc, start + at // 4, ids[at : at + 4 * take], total))
                 at, room, left = at + 4 * take, room - take, left - take
                 if not room:
                     yield window
                     window = []
-        assert not window and left == 0, target
+        assert left == 0 and (not window or not last), target
+        if window:
+            self.count[self.size - room], self.windows = 1, 1
+            self.open[self.size - room].append(window)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids`` if asked for).
 
-    Every partition is packed as it is read, without a shuffle; it holds its open windows (of under
-    ``size`` ids each, their number is not bounded), which are concatenated and cut at its end so that none is padded.  Each id of a document lies in exactly
+    Every partition is packed as it is read, without a shuffle; it holds its open windows, MAX_OPEN of under
+    ``size`` ids each at most, which are concatenated and cut at its end so that none is padded.  Each id of a document lies in exactly
     one piece. A null or empty text is ``end_id`` alone. Repeated rows are packed each; other columns are ignored.
     """
     if size < 1 or size & (size - 1):

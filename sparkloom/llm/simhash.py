@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_masks, lookup, saved
+from .common import hash_masks, lookup, saved, scratch
 from .components import connected_components
 from .similar import few, similar_sets
 
@@ -251,13 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few such fingerprints.  Texts without words have fingerprint zero and are linked like others. Null
     ids don't count as smallest; a component of nulls alone has a null id. Repeated rows are all returned.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "distinct")
-    graph = saved(connected_components(links(distinct.select("fp"), radius, bucket)), "components")
-    named = distinct.join(graph.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = saved(named.join(least, "component").select("fp", "n", "component_id"), "named")
-    return lookup(prints, of, "fp", "n", id_col, distinct.agg(F.sum("n")).first()[0] or 0)
+    with scratch() as keep:
+        prints = keep(saved(fingerprints(docs, id_col, text_col, width, seed), "fingerprints"))
+        distinct = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "distinct")
+        graph = saved(connected_components(links(distinct.select("fp"), radius, bucket)), "components")
+        named = distinct.join(graph.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+        of = keep(saved(named.join(least, "component").select("fp", "n", "component_id"), "named"))
+        return lookup(prints, of, "fp", "n", id_col, distinct.agg(F.sum("n")).first()[0] or 0)
 
 
 @dataclass(frozen=True)
@@ -424,20 +425,21 @@ def keep_one(docs: DataFrame, o: NearOptions = NearOptions(), id_col: str = "doc
     of their own (of those the smallest text hash stays); of rows that agree in both one stays (the smallest by
     all columns). Rows with a null id stay as they are. An empty table gives an empty one.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    signed = saved(_signed_sets(named, o, id_col, text_col), "signed")
-    bands = [f"b{k}" for k in range(o.bands)]
-    folded = signed.groupBy("h").agg(F.min(F.struct("id", "own")).alias("first"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in bands])
-    distinct = saved(folded.select("h", "first.id", "first.own", "fp", *bands), "distinct")
-    graph = similar_sets(distinct.select(F.explode(F.array(*bands)).alias("band"), "h"), _DocumentSets(named, distinct, o, id_col, text_col), o.broadcast_rows)
-    of = saved(distinct.select("h", "id", "own").join(graph, "h", "left").withColumn("component", F.coalesce("component", "h")), "components")
-    stay = saved(of.groupBy("component").agg(F.min(F.struct("id", "own")).alias("first")).select("first.*"), "stay")
-    rows = signed.groupBy("id", "own").agg(F.count("*").alias("n"))
-    gone = saved(rows.join(stay, ["id", "own"], "left_anti").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "gone")
-    twice = saved(rows.where("n > 1").join(stay, ["id", "own"], "left_semi").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "twice")
-    here = lambda x: (docs[id_col] == x["__id"]) & (F.xxhash64(docs[text_col]) == x["__own"])
-    kept = docs.join(few(gone, o.broadcast_rows), here(gone), "left_anti")
-    if twice.isEmpty():
-        return kept
-    again = docs.join(few(twice, o.broadcast_rows), here(twice)).groupBy("__id", "__own").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
-    return kept.join(few(twice, o.broadcast_rows), here(twice), "left_anti").unionByName(again)
+    with scratch() as keep:
+        named = docs.where(F.col(id_col).isNotNull())
+        signed = saved(_signed_sets(named, o, id_col, text_col), "signed")
+        bands = [f"b{k}" for k in range(o.bands)]
+        folded = signed.groupBy("h").agg(F.min(F.struct("id", "own")).alias("first"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in bands])
+        distinct = saved(folded.select("h", "first.id", "first.own", "fp", *bands), "distinct")
+        graph = similar_sets(distinct.select(F.explode(F.array(*bands)).alias("band"), "h"), _DocumentSets(named, distinct, o, id_col, text_col), o.broadcast_rows)
+        of = saved(distinct.select("h", "id", "own").join(graph, "h", "left").withColumn("component", F.coalesce("component", "h")), "components")
+        stay = saved(of.groupBy("component").agg(F.min(F.struct("id", "own")).alias("first")).select("first.*"), "stay")
+        rows = signed.groupBy("id", "own").agg(F.count("*").alias("n"))
+        gone = keep(saved(rows.join(stay, ["id", "own"], "left_anti").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "gone"))
+        twice = keep(saved(rows.where("n > 1").join(stay, ["id", "own"], "left_semi").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "twice"))
+        here = lambda x: (docs[id_col] == x["__id"]) & (F.xxhash64(docs[text_col]) == x["__own"])
+        kept = docs.join(few(gone, o.broadcast_rows), here(gone), "left_anti")
+        if twice.isEmpty():
+            return kept
+        again = docs.join(few(twice, o.broadcast_rows), here(twice)).groupBy("__id", "__own").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+        return kept.join(few(twice, o.broadcast_rows), here(twice), "left_anti").unionByName(again)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, saved
+from .common import bounded_sample, fold, saved, scratch
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of the id.
 FIT_ROWS = 12_000
@@ -79,6 +79,24 @@ class _Bags(Sequence):
         return [s.split(b" ") for s in self.raw[k].split(b"\n")] if self.raw[k] else []
 
 
+def _gradient(theta: np.ndarray, y: np.ndarray, plain: np.ndarray, doc_of: np.ndarray, sent_of: np.ndarray, word_of: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Loss of the noisy-or likelihood, and its gradient by the words' weights and the bias (last).
+
+    ``plain`` counts each document's sentences without a word; others are of ``doc_of``, and hold ``word_of`` at ``sent_of``.
+    """
+    ps = _sigmoid(theta[-1] + np.bincount(sent_of, theta[word_of], len(doc_of)))
+    p0 = _sigmoid(theta[-1])
+    clean = plain * np.log1p(-p0) + np.bincount(doc_of, np.log1p(-np.minimum(ps, 1 - 1e-12)), len(y))
+    q = np.clip(np.exp(clean), 1e-12, 1 - 1e-12)  # probability of a clean document
+    loss = -(y * np.log(1 - q) + (1 - y) * np.log(q)).mean() + decay / 2 * (theta[:-1] ** 2).sum()
+    # d loss / d log q is y q / (1 - q) - (1 - y); d log(1 - sigmoid(z)) / dz is -sigmoid(z)
+    g = y * q / (1 - q) - (1 - y)
+    gs = -g[doc_of] * ps
+    grad = np.append(np.bincount(word_of, gs[sent_of], len(theta) - 1), gs.sum() - (g * plain).sum() * p0) / len(y)
+    grad[:-1] += decay * theta[:-1]
+    return float(loss), grad
+
+
 def train(bags: Sequence[list[list[bytes]]], labels: list[int], max_words: int = FIT_WORDS, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
     """Sentence weights from document labels, by gradient descent on the noisy-or likelihood.
 
@@ -117,15 +135,7 @@ def train(bags: Sequence[list[list[bytes]]], labels: list[int], max_words: int =
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        ps = _sigmoid(theta[-1] + np.bincount(sent_of, theta[word_of], len(doc_of)))
-        p0 = _sigmoid(theta[-1])
-        clean = plain * np.log1p(-p0) + np.bincount(doc_of, np.log1p(-np.minimum(ps, 1 - 1e-12)), len(bags))
-        q = np.clip(np.exp(clean), 1e-12, 1 - 1e-12)  # probability of a clean document
-        # d loss / d log q is y q / (1 - q) - (1 - y); d log(1 - sigmoid(z)) / dz is -sigmoid(z)
-        g = y * q / (1 - q) - (1 - y)
-        gs = -g[doc_of] * ps
-        grad = np.append(np.bincount(word_of, gs[sent_of], len(chosen)), gs.sum() - (g * plain).sum() * p0) / len(y)
-        grad[:-1] += decay * theta[:-1]
+        grad = _gradient(theta, y, plain, doc_of, sent_of, word_of, decay)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return ToxicityModel({w: float(theta[k]) for w, k in index.items()}, float(theta[-1]))
@@ -137,21 +147,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Null ids and labels are left out. A document labelled more than once counts once, by its largest label; of rows that
     share an id one counts, whichever has the least words in order. Without a labelled document all scores are alike.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    if held_out_fold:
-        known = known.where(fold(id_col, held_out_fold[0]) != held_out_fold[1])
-    known = saved(bounded_sample(known, id_col, max_rows, known.count()), "labels")
-    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)  # about max_rows rows of an id and a number
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bags = [b"\n".join(b" ".join(sorted(set(words(t[a:e])))) for a, e in sentences(t)) if t else b"" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "y": b.column(2), "bag": pa.array(bags, pa.binary())})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    one = saved(rows.mapInArrow(split, f"id {kind}, y int, bag binary").groupBy("id").agg(F.max("y").alias("y"), F.min("bag").alias("bag")), "bags")
-    got = bounded_sample(one, "id", FIT_BYTES, one.agg(F.sum(F.octet_length("bag"))).first()[0] or 0).orderBy("id").toArrow()
-    return train(_Bags(got.column("bag").to_pylist()), [int(y > 0) for y in got.column("y").to_pylist()])
+    with scratch():
+        known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
+        if held_out_fold:
+            known = known.where(fold(id_col, held_out_fold[0]) != held_out_fold[1])
+        known = saved(bounded_sample(known, id_col, max_rows, known.count()), "labels")
+        rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)  # about max_rows rows of an id and a number
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bags = [b"\n".join(b" ".join(sorted(set(words(t[a:e])))) for a, e in sentences(t)) if t else b"" for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"id": b.column(0), "y": b.column(2), "bag": pa.array(bags, pa.binary())})
+
+        kind = docs.schema[id_col].dataType.simpleString()
+        one = saved(rows.mapInArrow(split, f"id {kind}, y int, bag binary").groupBy("id").agg(F.max("y").alias("y"), F.min("bag").alias("bag")), "bags")
+        got = bounded_sample(one, "id", FIT_BYTES, one.agg(F.sum(F.octet_length("bag"))).first()[0] or 0).orderBy("id").toArrow()
+        return train(_Bags(got.column("bag").to_pylist()), [int(y > 0) for y in got.column("y").to_pylist()])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:

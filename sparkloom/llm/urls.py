@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, saved
+from .common import lookup, saved, scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Kinds of segments, by the whole segment without its file extension; any other is a word.
@@ -147,11 +147,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], options:
     ``://``, has empty host and path and is judged as the template of those. Repeated ids in
     ``labels`` count once, by their smallest label; repeated pages are all returned; other columns are ignored.
     """
-    host, path = split_url(F.col(url_col))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    known = labels.where(F.col(label_key).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_key).alias("page_id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
-    found = templates(split.join(known, "page_id", "left").select("host", "path", "label"), options)
-    found = saved(found.select(_key("host", "path").alias("place"), "pages", "template", "purity", "rejected"), "templates")
-    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    placed = lookup(split.withColumn("place", _key("host", "path")), found, "place", "pages", "page_id", found.agg(F.sum("pages")).first()[0] or 0)
-    return placed.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    with scratch() as keep:
+        host, path = split_url(F.col(url_col))
+        split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+        known = labels.where(F.col(label_key).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_key).alias("page_id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
+        found = templates(split.join(known, "page_id", "left").select("host", "path", "label"), options)
+        found = keep(saved(found.select(_key("host", "path").alias("place"), "pages", "template", "purity", "rejected"), "templates"))
+        rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+        placed = lookup(split.withColumn("place", _key("host", "path")), found, "place", "pages", "page_id", found.agg(F.sum("pages")).first()[0] or 0)
+        return placed.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "purity")

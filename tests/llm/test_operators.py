@@ -237,6 +237,25 @@ def test_squares_choice():
     assert steps == [[], [], [], [[0, 1, 3]]] and p.count[5] == 1 and p.count.sum() == 1
 
 
+def test_open_windows_have_a_bound(monkeypatch):
+    """Beyond it windows are cut as at the end; each id still lies in one piece, and only the end is not full."""
+    monkeypatch.setattr(packing, "MAX_OPEN", 5)
+    rng, p, windows = random.Random(2), packing.SquaresPacker(64), []
+    sizes = [rng.randrange(33, 60) for _ in range(300)]
+    for k, n in enumerate(sizes):
+        windows += list(p.add(k, bytes([k % 256]) * (4 * n), n))
+        assert p.windows == sum(map(len, p.open)) == p.count.sum() <= 6
+    windows += list(p.rest())
+    got = Counter()
+    for w in windows:
+        for doc, start, ids, total in w:
+            assert total == sizes[doc] and start + len(ids) // 4 <= total
+            got[doc] += len(ids) // 4
+    assert dict(got) == dict(enumerate(sizes))
+    filled = [sum(len(x[2]) // 4 for x in w) for w in windows]
+    assert all(n & (n - 1) == 0 for n in filled) and sum(n < 64 for n in filled) <= 6
+
+
 def test_word_encoder():
     texts = ["", "a.", "É.,b ", "x<|endoftext|>y", "İstanbul I'LL'S don't. d'.,  \t\x0b ź", "a" * 500 + " b" * 10, "a.b, c,, d.. '.", "４.5, ½."]
     e = packing.WordEncoder(packing.default_path())
@@ -494,6 +513,28 @@ def test_toxicity():
     assert toxicity.train([], []).score("x") == pytest.approx(0.5, abs=0.01)
 
 
+def test_toxicity_is_noisy_or_and_its_gradient_is_right():
+    """Scores against the product over sentences, the gradient against finite differences."""
+    model = toxicity.ToxicityModel({b"bad": 3.0, b"worse": 5.0, b"mild": 0.5}, -4.0)
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        found = [rng.choice(["bad", "worse", "mild", "fine", "good"], rng.integers(1, 5)).tolist() for _ in range(rng.integers(1, 6))]
+        clean = 1.0
+        for s in found:
+            clean *= 1 - 1 / (1 + np.exp(4.0 - sum({"bad": 3.0, "worse": 5.0, "mild": 0.5}.get(w, 0.0) for w in set(s))))
+        assert model.score(". ".join(map(" ".join, found))) == pytest.approx(1 - clean)
+    y, plain = rng.integers(0, 2, 12).astype(float), rng.integers(0, 4, 12).astype(float)
+    doc_of = np.sort(rng.integers(0, 12, 20))
+    sent_of, word_of = (np.array(x) for x in zip(*sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 20, 40), rng.integers(0, 5, 40), strict=True)}), strict=True))
+    theta = rng.normal(0, 1, 6)
+    loss, grad = toxicity._gradient(theta, y, plain, doc_of, sent_of, word_of, 0.01)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        ends = [toxicity._gradient(theta + d * step, y, plain, doc_of, sent_of, word_of, 0.01)[0] for d in (1, -1)]
+        assert grad[k] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-4, abs=1e-7)
+
+
 def test_toxicity_fits_training_fold_only(spark):
     rows = [(k, f"word{k % 7} thing. idiot there" if k % 3 == 0 else f"word{k % 7} thing. nice there") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -531,6 +572,23 @@ def test_trees_are_monotonic():
     assert quality.fit_trees(np.zeros((0, 3)), np.zeros(0), [0, 0, 0]).score(np.zeros((1, 3)))[0] == pytest.approx(0.5, abs=0.01)
 
 
+def test_tree_arrays_equal_a_walk():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((400, 4)), 2)
+    trees = quality.fit_trees(x, ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float), [0, 1, 0, -1], trees=12)
+
+    def walk(row):
+        total = trees.start
+        for t in range(len(trees.feature)):
+            node = 0
+            while trees.left[t, node] != node:
+                node = trees.left[t, node] if row[trees.feature[t, node]] < trees.threshold[t, node] else trees.right[t, node]
+            total += trees.value[t, node]
+        return 1 / (1 + np.exp(-total))
+
+    assert trees.score(x) == pytest.approx([walk(r) for r in x])
+
+
 def test_quality_on_documents(spark, docs, empty):
     labels = spark.createDataFrame([(k, 1) for k in range(60)] + [(95, 0), (96, 0)], "doc_id long, quality int")
     trees = quality.fit(docs, labels)
