@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup, saved
+from .common import free_names, lookup, saved
 
 #: A-Z to a-z; what is no word character (ASCII other than a-z and 0-9) to a space; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -154,18 +154,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
         here = texts.mapInArrow(_hits(grams), f"own long, bytes int, spans {_FOUND}, items array<string>")
         hits = here if hits is None else hits.union(here)
     hits = hits.distinct().groupBy("own", "bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    hits = saved(hits.select(F.concat_ws(":", "own", "bytes").alias("__key"), F.struct("spans", "items").alias("__hit"), F.lit(1).alias("weight")), "hits")
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.xxhash64(text_col), F.octet_length(text_col)))
+    key, hit = free_names(docs, "_key", "_hit")
+    hits = saved(hits.select(F.concat_ws(":", "own", "bytes").alias(key), F.struct("spans", "items").alias(hit)), "hits")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.xxhash64(text_col), F.octet_length(text_col)))
     if hits.count() <= max_broadcast_rows:
-        joined = keyed.join(F.broadcast(hits.drop("weight")), "__key", "left").select(*docs.columns, "__hit")
+        joined = keyed.join(F.broadcast(hits), key, "left").select(*docs.columns, hit)
     else:
-        counts = keyed.groupBy("__key").agg(F.count("*").alias("weight"))
-        joined = lookup(keyed, saved(hits.drop("weight").join(counts, "__key"), "weighted"), "__key", "weight", "__key", keyed.count()).select(*docs.columns, "__hit")
+        (weight,) = free_names(docs, "_weight")
+        counts = keyed.groupBy(key).agg(F.count("*").alias(weight))
+        joined = lookup(keyed, saved(hits.join(counts, key), "weighted"), key, weight, key, keyed.count()).select(*docs.columns, hit)
 
     def found(texts: list[str | None], hit: list) -> list:
         return [(len(words(t)), _merged([(s["start"], s["end"]) for s in h["spans"]]) if h else [], {*h["items"]} if h else set()) for t, h in zip(texts, hit, strict=True)]
 
-    return _acted(joined, action, text_col, found, "__hit")
+    return _acted(joined, action, text_col, found, hit)
 
 
 def _hits(grams):

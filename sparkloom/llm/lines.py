@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_masks, lookup, saved, scratch
+from .common import free_names, hash_masks, lookup, saved, scratch
 from .similar import few, similar_sets
 
 
@@ -248,12 +248,13 @@ def remove_duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_c
     ``report`` adds ``_removed`` (positions, null if none) in place of a column of that name. Lines, and texts under one id, are told
     apart by a 64-bit hash; two different lines meet in it with a chance of n^2 / 2^65.
     """
-    gone = duplicate_lines(docs, o, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("removed").alias("__removed"))
-    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__removed")), F.lit(0)).alias("lines")).first()
+    doc, own, gone_at, parts = free_names(docs, "_doc", "_own", "_gone", "_parts")
+    gone = duplicate_lines(docs, o, id_col, text_col).select(F.col("doc").alias(doc), F.col("own").alias(own), F.col("removed").alias(gone_at))
+    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(gone_at)), F.lit(0)).alias("lines")).first()
     small = size.docs <= o.broadcast_rows and size.lines <= 4 * o.broadcast_rows
-    joined = docs.join(F.broadcast(gone) if small else gone, (docs[id_col] == gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__own"]), "left")
-    joined = joined.withColumn("__parts", F.when(F.col("__removed").isNotNull(), F.split(text_col, "\n")))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__removed")
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get("__parts", i)), "\n"))
+    joined = docs.join(F.broadcast(gone) if small else gone, (docs[id_col] == gone[doc]) & (F.xxhash64(docs[text_col]) == gone[own]), "left")
+    joined = joined.withColumn(parts, F.when(F.col(gone_at).isNotNull(), F.split(text_col, "\n")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_at)
+    text = F.when(F.col(gone_at).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if not (report and c == "_removed")]
-    return joined.select(*columns, *([F.col("__removed").alias("_removed")] if report else []))
+    return joined.select(*columns, *([F.col(gone_at).alias("_removed")] if report else []))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_masks, lookup, saved, scratch
+from .common import free_names, hash_masks, lookup, saved, scratch
 from .components import connected_components
 from .similar import few, similar_sets
 
@@ -426,6 +426,7 @@ def keep_one(docs: DataFrame, o: NearOptions = NearOptions(), id_col: str = "doc
     all columns). Rows with a null id stay as they are. An empty table gives an empty one.
     """
     with scratch() as keep:
+        key, own, row = free_names(docs, "_id", "_own", "_row")
         named = docs.where(F.col(id_col).isNotNull())
         signed = saved(_signed_sets(named, o, id_col, text_col), "signed")
         bands = [f"b{k}" for k in range(o.bands)]
@@ -435,11 +436,11 @@ def keep_one(docs: DataFrame, o: NearOptions = NearOptions(), id_col: str = "doc
         of = saved(distinct.select("h", "id", "own").join(graph, "h", "left").withColumn("component", F.coalesce("component", "h")), "components")
         stay = saved(of.groupBy("component").agg(F.min(F.struct("id", "own")).alias("first")).select("first.*"), "stay")
         rows = signed.groupBy("id", "own").agg(F.count("*").alias("n"))
-        gone = keep(saved(rows.join(stay, ["id", "own"], "left_anti").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "gone"))
-        twice = keep(saved(rows.where("n > 1").join(stay, ["id", "own"], "left_semi").select(F.col("id").alias("__id"), F.col("own").alias("__own")), "twice"))
-        here = lambda x: (docs[id_col] == x["__id"]) & (F.xxhash64(docs[text_col]) == x["__own"])
+        gone = keep(saved(rows.join(stay, ["id", "own"], "left_anti").select(F.col("id").alias(key), F.col("own").alias(own)), "gone"))
+        twice = keep(saved(rows.where("n > 1").join(stay, ["id", "own"], "left_semi").select(F.col("id").alias(key), F.col("own").alias(own)), "twice"))
+        here = lambda x: (docs[id_col] == x[key]) & (F.xxhash64(docs[text_col]) == x[own])
         kept = docs.join(few(gone, o.broadcast_rows), here(gone), "left_anti")
         if twice.isEmpty():
             return kept
-        again = docs.join(few(twice, o.broadcast_rows), here(twice)).groupBy("__id", "__own").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+        again = docs.join(few(twice, o.broadcast_rows), here(twice)).groupBy(key, own).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
         return kept.join(few(twice, o.broadcast_rows), here(twice), "left_anti").unionByName(again)

@@ -71,7 +71,7 @@ def test_values(docs):
     good = quality.keep_good(docs, model(docs, "quality"))
     assert good.columns == docs.columns and all(r.text for r in good.collect())
     pieces = packing.pack(docs).collect()
-    assert len(pieces) == len(ROWS) and sum(r.doc_tokens == 1 for r in pieces) == 4  # two nulls, an empty text and white space
+    assert sum(r.start == 0 for r in pieces) == len(ROWS) and sum(r.doc_tokens == 1 for r in pieces) == 4  # two nulls, an empty text and white space
     assert packing.pack(docs.limit(0)).count() == 0
     lang = {r.lang_pred for r in language.identify(docs, model(docs, "language")).where("score = 0").collect()}
     assert lang == {"und"}
