@@ -345,17 +345,18 @@ def repeats(table: DataFrame, o: SubstringOptions) -> DataFrame:
         found = saved(anchors(table, o), "anchors")
         shared = _shared(found, "g", "rh", o)
         spans = [span(shared.where("not mixed"))]
-        mixed = saved(shared.where("mixed").withColumn("gr", F.concat_ws(":", "g", "rh")), "mixed")
-        regions = saved(mixed.groupBy("gr").agg(F.count("*").alias("m"), *_any_row("th", "n", "p", "first", "last")), "regions")
-        same = regions.where("m > 1").select("gr", "m", F.lit(True).alias("again"))
-        spans.append(span(lookup(mixed, same, "gr", "m", "p", same.agg(F.sum("m")).first()[0] or 0).where("again")))
+        both = lambda *c: F.struct(*c).alias("both")  # noqa: E731  two hashes as one key
+        mixed = saved(shared.where("mixed").drop("m", "mixed"), "mixed")
+        regions = saved(mixed.groupBy("g", "rh").agg(F.count("*").alias("m"), *_any_row("th", "n", "p", "first", "last")), "regions")
+        same = regions.where("m > 1").select(both("g", "rh"), "m", F.lit(True).alias("again"))
+        spans.append(span(lookup(mixed.select("*", both("g", "rh")), same, "both", "m", "p", same.agg(F.sum("m")).first()[0] or 0).where("again")))
         chunks = saved(_chunks(table, regions.select(F.concat_ws(":", "th", "n").alias("key"), "p", "first", "last"), o), "chunks")
         parted = _shared(chunks, "ck", "cr", o)
         spans.append(whole(parted.where("not mixed")))
-        parted = saved(parted.where("mixed").withColumn("cc", F.concat_ws(":", "ck", "cr")), "parted")
-        kinds = saved(parted.groupBy("cc").agg(F.count("*").alias("copies"), *_any_row("th", "n", "s", "a", "w", "ck", "m")), "kinds")
-        same = kinds.where("copies > 1").select("cc", "copies", F.lit(True).alias("again"))
-        spans.append(whole(lookup(parted, same, "cc", "copies", "s", same.agg(F.sum("copies")).first()[0] or 0).where("again")))
+        parted = saved(parted.where("mixed").drop("mixed"), "parted")
+        kinds = saved(parted.groupBy("ck", "cr").agg(F.count("*").alias("copies"), *_any_row("th", "n", "s", "a", "w", "m")), "kinds")
+        same = kinds.where("copies > 1").select(both("ck", "cr"), "copies", F.lit(True).alias("again"))
+        spans.append(whole(lookup(parted.select("*", both("ck", "cr")), same, "both", "copies", "s", same.agg(F.sum("copies")).first()[0] or 0).where("again")))
         unequal = saved(_with_bytes(table, kinds.select("ck", "th", "n", "s", "a", "w", "m"), o), "unequal")
         spans.append(_sorted_spans(unequal.where(F.col("m") <= o.group), o, parent))
         large = unequal.where(F.col("m") > o.group)
