@@ -31,7 +31,7 @@ class Workspace:
         #: Elements that are worked on together, of which some hundred bytes are held each.
         self.block = min(1 << 16, max(256, budget // 1024))
         #: Reduced strings of up to so many symbols are sorted in memory, which ends the recursion.
-        self.base = budget // 1024
+        self.base = budget // 256
         self.spilled = self.deepest = 0
         self.paths: dict[int, str] = {}
 
@@ -110,7 +110,7 @@ class MonotoneQueue:
             self.pending.append(entries.copy())
             np.add.at(self.counts, where, 1)
             self.held += entries.nbytes + 150  # with what an array takes besides
-            if self.held > self.space.budget // 12:
+            if self.held > min(1 << 20, self.space.budget // 12):
                 self._spill()
 
     def _spill(self) -> None:
