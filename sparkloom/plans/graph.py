@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .iterate import Iterated, bulk, delta, settled
+from . import cells
+from .iterate import Iterated, bulk, delta, settled, stored
+
+#: Most vertices whose degrees are broadcast, and edges of which they are counted, about.
+HUBS, COUNTED = 500_000, 4_000_000
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -15,7 +20,11 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 def ordered_edges(edges: DataFrame) -> DataFrame:
     """Distinct undirected edges with the smaller end first; loops go."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return _smaller_first(edges).distinct()
+
+
+def _smaller_first(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def page_rank(pages: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 10, epsilon: float | None = 1e-4) -> Iterated:
@@ -96,13 +105,43 @@ def triangles(edges: DataFrame, as_written: bool = False) -> DataFrame:
     """``v1, v2, v3`` in ascending order. Edges are directed from the end of lower degree, so that a hub opens few pairs. Edges
     are worked out once.
 
+    Of whole numbers no open pair is a row: they are closed in the memory of ``cells``.  Only vertices of over four times the mean
+    degree are told apart by it (of many edges, by their share of a part); which end an edge leaves decides on the work, not on the result.
     ``as_written``: one pair a vertex, of its two smallest larger neighbours.
     """
-    e = settled(ordered_edges(edges))
     if as_written:
+        e = settled(ordered_edges(edges))
         ranked = e.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where("k <= 2")
         pair = ranked.groupBy("src").agg(F.min("dst").alias("v2"), F.max("dst").alias("v3"), F.count("*").alias("m")).where("m = 2")
         return pair.select(F.col("src").alias("v1"), "v2", "v3").join(e.select(F.col("src").alias("v2"), F.col("dst").alias("v3")), ["v2", "v3"]).select("v1", "v2", "v3")
+    pairs = _smaller_first(edges)
+    kind = pairs.schema["src"].dataType
+    if not isinstance(kind, IntegralType):
+        return _joined_triangles(settled(pairs.distinct()))
+    e = stored(pairs.select(*[F.col(c).cast("long").alias(c) for c in ("src", "dst")]))
+    size = e.agg(F.count("*").alias("n"), F.min("src").alias("least"), F.max("dst").alias("most")).first()
+    wide = bool(size.n) and not -(1 << 31) <= size.least <= size.most < 1 << 31
+    directed = e.select(F.col("src").alias("low"), F.col("dst").alias("high"))
+    hubs = _hubs(e, size.n)
+    if hubs is not None:
+        a, b = F.broadcast(hubs.toDF("src", "ds")), F.broadcast(hubs.toDF("dst", "dd"))
+        turned = F.coalesce("ds", F.lit(0)) > F.coalesce("dd", F.lit(0))
+        ends = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("dst", "src"), ("src", "dst"))]
+        directed = e.join(a, "src", "left").join(b, "dst", "left").select(ends[0].alias("low"), ends[1].alias("high"))
+    return cells.closed(directed, size.n, wide).select(*[F.col(f"v{k}").cast(kind).alias(f"v{k}") for k in (1, 2, 3)])
+
+
+def _hubs(e: DataFrame, n: int) -> DataFrame | None:
+    """``(v, d)`` of the vertices of over four times the mean degree, HUBS at most; None if there are none."""
+    every = max(1, n // COUNTED)
+    counted = e.where(F.pmod(F.xxhash64("src", "dst"), F.lit(every)) == 0).distinct() if every > 1 else e.distinct()
+    degree = settled(mirrored(counted).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")))
+    size = degree.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("ends")).first()
+    hubs = degree.where(F.col("d") > max(4 * size.ends / max(1, size.n), size.ends / HUBS))
+    return None if hubs.isEmpty() else hubs
+
+
+def _joined_triangles(e: DataFrame) -> DataFrame:
     degree = mirrored(e).groupBy("src").agg(F.count("*").alias("d")).withColumnRenamed("src", "v")
     a = degree.select(F.col("v").alias("src"), F.col("d").alias("ds"))
     b = degree.select(F.col("v").alias("dst"), F.col("d").alias("dd"))

@@ -5,7 +5,10 @@ Every step's result goes to the checkpoint folder, which cuts lineage and surviv
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,14 +16,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
+def _folder(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))  # a local folder only where none is named
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``settled``, packed (ORC), for tables of many rows; it goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.orc(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).orc(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session has ended: nothing can be reached any more
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @dataclass
 class Iterated:
     result: DataFrame

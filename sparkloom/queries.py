@@ -177,11 +177,15 @@ def running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.running_count(_events(spark, sf_dir), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "n")
 
 
-def _part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the same order, smaller key first."""
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the same order, smaller key first, once for each order; lines are shuffled once."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     pairs = lines.alias("a").join(lines.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey")
-    return pairs.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
+    return pairs.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
+
+
+def _part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_pairs(spark, sf_dir).distinct()
 
 
 _PARTS = """e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
@@ -194,7 +198,7 @@ p AS MATERIALIZED (SELECT x.low, x.high AS src, y.high AS dst FROM o x JOIN o y
 
 @query("WITH " + _PARTS + _DIRECTED + " SELECT least(low, p.src, p.dst) AS v1, low + p.src + p.dst - least(low, p.src, p.dst) - greatest(low, p.src, p.dst) AS v2, greatest(low, p.src, p.dst) AS v3 FROM p JOIN e ON e.src = p.src AND e.dst = p.dst")
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangles(_part_graph(spark, sf_dir))
+    return graph.triangles(_part_pairs(spark, sf_dir))
 
 
 @query("WITH " + _PARTS + """, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM e)

@@ -2,6 +2,7 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,46 @@ def test_custom_source(spark):
     q.stop()
     got = spark.table("custom").collect()
     assert got and all(r.status in (200, 404, 500, 501) and 0 <= r.userid < 100 and 0 <= r.restime < 200 for r in got)
+
+
+def _triangles(edges):
+    near = {}
+    for a, b in {(min(e), max(e)) for e in edges if None not in e and e[0] != e[1]}:
+        near.setdefault(a, set()).add(b)
+    return sorted((a, b, c) for a, out in near.items() for b in out for c in out & near.get(b, set()))
+
+
+def test_triangles_in_cells(spark, monkeypatch):
+    """Open pairs are no rows of any join; hubs, repeats, loops, nulls and ids of every kind, whatever the number of cells."""
+    from sparkloom.plans import cells
+
+    random.seed(4)
+    plain = [(random.randrange(-30, 30), random.randrange(-30, 30)) for _ in range(400)]
+    hub = [(-40, k) for k in range(-39, 900)] + [(k, 901) for k in range(0, 900)] + [(901, -40)]  # the smallest and the largest
+    edges = plain + hub + [(b, a) for a, b in plain[:50]] + [(5, 5), (None, 3), (3, None)]
+    want = _triangles(edges)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert graph._hubs(graph.ordered_edges(e), len(edges)).count() >= 2
+    assert "Join" not in graph.triangles(spark.createDataFrame(plain, "src long, dst long"))._jdf.queryExecution().executedPlan().toString()
+    assert rows(graph.triangles(e)) == want
+    for wide in (True, False):
+        assert rows(cells.closed(graph.ordered_edges(e).toDF("low", "high"), 2000, wide, lambda n: (4, 3))) == want
+    for name, value in (("HELD", 40), ("PASSED", 150), ("CHUNK", 7), ("MARKS", 64), ("OPENED", 3)):
+        monkeypatch.setattr(cells, name, value)
+    colours, slices = cells.cells_of(2000)
+    assert colours == 8 and slices == 2
+    low, high = zip(*sorted((min(x), max(x)) for x in edges if None not in x and x[0] != x[1]), strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["low", "high"])
+    dealt = [r for out in cells._dealt((batch.slice(k, 50) for k in range(0, len(low), 50)), colours, slices, pa.int32()) for r in out.to_pylist()]
+    dealt.sort(key=lambda r: (r["cell"], not r["held"]))
+    sent = pa.RecordBatch.from_pylist(dealt, schema=pa.schema([("cell", pa.int32()), ("held", pa.bool_()), ("lists", pa.binary())]))
+    found = [tuple(r.values()) for out in cells._closed((sent.slice(k, 30) for k in range(0, len(dealt), 30)), colours, slices) for r in out.to_pylist()]
+    assert sorted(found) == want
+    wide = spark.createDataFrame([(a * 2**50, b * 2**50) for a, b in plain], "src long, dst long")
+    assert rows(graph.triangles(wide)) == [tuple(x * 2**50 for x in t) for t in _triangles(plain)]
+    small = graph.triangles(spark.createDataFrame(edges, "src int, dst int"))
+    assert rows(small) == want and small.dtypes == [("v1", "int"), ("v2", "int"), ("v3", "int")]
+    assert rows(graph.triangles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string"))) == [("a", "b", "c")]
+    assert rows(graph.triangles(e.limit(0))) == []
+    monkeypatch.setattr(graph, "COUNTED", 300)  # degrees of a part of the edges
+    assert rows(graph.triangles(e)) == want
