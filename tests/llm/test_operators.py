@@ -892,3 +892,23 @@ def test_pipeline_stages(spark):
     assert names == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
     want = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, want.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_line_comparison_takes_numbers(spark):
+    """Sketches come of the distinct shingles of generated code, sizes too; no text of a shingle is compared with another."""
+    from sparkloom.llm import lines
+
+    o = lines.LineOptions()
+    texts = ["abcdefghabcdefghabcdefgh", "short", "é𝄞 " * 40 + "tail", "x" * 300, "a longer line of words that do not repeat at all, or hardly"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "h long, line string")
+    sets = lines.LineSets(df, df, o, "h", "line")
+    sets.texts, sets.sketches = df, None
+    plain = df.select("h").withColumn("label", F.col("h"))
+    held = {r.h: r for r in sets._sketched(plain).collect()}
+    for k, x in enumerate(texts):
+        shingles = line_shingles(x)
+        bits = sum(bin(held[k][f"k{w}"] & (2**64 - 1)).count("1") for w in range(lines.SKETCH))
+        assert held[k]["size"] == len(shingles) and bits <= len(shingles) and (bits - len(shingles)) % 2 == 0
+    kind = df.select(lines._shingles(F.col("line"), o).alias("s"))
+    assert kind.schema["s"].dataType.simpleString() == "array<bigint>"
+    assert [len(set(r.s)) for r in kind.collect()] == [len(line_shingles(x)) for x in texts]
