@@ -71,65 +71,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Hashes:
-    """Hashes of any substring of a text, from prefix sums modulo 2^64."""
+    """Hashes of any substring of texts that lie in a row, from prefix sums modulo 2^64; equal strings have one hash wherever they are."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self.sums[1:])
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _power(_BASE, n)
+        np.cumsum(terms, out=self.sums[1:])
         self.inverse = _power(_INVERSE, n + 1)
 
     def of(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.inverse[a] + np.uint64(0x9FB21C651E98DF25) * np.asarray(salt, np.uint64))
 
+    def every(self, size: int) -> np.ndarray:
+        """Of the ``size`` bytes from each place on."""
+        h = self.sums[size:] - self.sums[:-size]
+        h *= self.inverse[: len(h)]
+        return _mix(h)
+
 
 def _sliding(h: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least or largest value of each ``width`` consecutive ones."""
-    f, n = (np.minimum if least else np.maximum), len(h)
-    x = np.full(-(-n // width) * width + width, np.uint64(0xFFFFFFFFFFFFFFFF) if least else np.uint64(0))
-    x[:n] = h
-    rows = x[: len(x) - width].reshape(-1, width)
-    ahead = f.accumulate(rows, axis=1).ravel()
-    back = f.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - width + 1], ahead[width - 1 : n])
-
-
-def _anchors(raw: np.ndarray, o: SubstringOptions) -> tuple[_Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text of at least ``length`` bytes: gram hash, place, first and last window start that they own."""
-    hashes = _Hashes(raw)
-    n, w = len(raw), o.windows
-    at = np.arange(n - o.gram + 1)
-    gram = hashes.of(at, at + o.gram)
+    """Least or largest value of each ``width`` consecutive ones, by those of 1, 2, 4 ... consecutive ones."""
+    f, have = (np.minimum if least else np.maximum), 1
+    while 2 * have <= width:
+        h, have = f(h[:-have], h[have:]), 2 * have
+    return f(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
+
+
+def _anchors(hashes: _Hashes, begin: np.ndarray, end: np.ndarray, o: SubstringOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts of at least ``length`` bytes that lie in a row, each from ``begin`` to ``end``: the text's number,
+    gram hash, place, first and last window start that they own."""
+    w, gram = o.windows, hashes.every(o.gram)
     least = _sliding(gram, w, True)  # of each window
+    for x in end[:-1].tolist():
+        least[x - o.length + 1 : x] = 0  # no window goes from one text into the next
     pad = np.zeros(w - 1, np.uint64)
     p = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), w, False) == gram)
     begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(begins[1:], len(least)) - 1
-    low, high = np.maximum(p - w + 1, 0), np.minimum(p, len(least) - 1)
+    own, value = np.searchsorted(end, p, "right"), least[begins]
+    low, high = np.maximum(p - w + 1, begin[own]), np.minimum(p, end[own] - o.length)
     r = np.searchsorted(begins, low, "right") - 1
     while True:  # the first run of windows from low on whose least gram is this one
-        r = np.where((ends[r] < low) | (least[begins[r]] != gram[p]), r + 1, r)
-        if (least[begins[r]] == gram[p]).all():
+        r2 = np.where((ends[r] < low) | (value[r] != gram[p]), r + 1, r)
+        if (r2 == r).all():
             break
+        r = r2
     first = np.maximum(begins[r], low)
     # equal grams close by may part what one owns; it takes all up to the last such window
     q = np.searchsorted(begins, high, "right") - 1
     while True:
-        q2 = np.where(least[begins[q]] != gram[p], q - 1, q)
+        q2 = np.where(value[q] != gram[p], q - 1, q)
         if (q2 == q).all():
             break
         q = q2
-    return hashes, gram[p], p, first, np.minimum(ends[q], high)
+    return own, gram[p], p, first, np.minimum(ends[q], high)
 
 
 def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text, th, n, key)``; equal texts have one key, so they are handled alike and their spans are kept once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -137,36 +141,63 @@ def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("key", F.concat_ws(":", "th", "n"))
 
 
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What the texts, binaries or lists of a column have, in a row, and where each begins (and the last ends)."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Bytes of texts that are worked on together, so that arrays with an element for each stay in a core's cache.
+_TOGETHER = 1 << 15
+
+
 def _each(make, names: list[str]):
-    """mapInArrow function that runs ``make`` on each row's values and joins the arrays it returns."""
+    """mapInArrow function that runs ``make`` on some texts (the first column: hashes, where they begin and end, the bytes) and
+    the other columns of their rows."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                found = [x for x in map(make, *[c.to_pylist() for c in b.columns]) if x is not None]
-                if found:
-                    yield pa.RecordBatch.from_pydict({k: pa.concat_arrays([f[j] for f in found]) for j, k in enumerate(names)})
+            ends = _values(whole.column(0))[1][1:]
+            found, start, held = [], 0, 0
+            while start < whole.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _TOGETHER, "right")))
+                b = whole.slice(start, stop - start)
+                raw, places = _values(b.column(0))
+                found.append([x if isinstance(x, pa.Array) else pa.array(x) for x in make(raw, places[:-1], places[1:], *b.columns[1:])])
+                start, held = stop, held + len(found[-1][0])
+                if held > 1 << 14 or start == whole.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*found, strict=True)], names)
+                    found, held = [], 0
 
     return apply
 
 
-def _many(x, n: int, kind=None) -> pa.Array:
-    return pa.repeat(pa.scalar(x, kind or pa.int64()), n)
+def _binaries(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Binary values of ``size`` bytes from ``begin`` on."""
+    ends = np.cumsum(size)
+    data = raw[_counted(size) + np.repeat(begin, size)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def anchors(table: DataFrame, o: SubstringOptions) -> DataFrame:
     """``(g, rh, th, n, p, first, last)``: anchors, with a hash of all bytes of the windows they own."""
 
-    def make(text: str, th: int, n: int):
-        if n < o.length:
-            return None
-        hashes, g, p, first, last = _anchors(np.frombuffer(_bytes(text), np.uint8), o)
-        rh = hashes.of(first, last + o.length, ((p - first) << 24) + (p - last))
-        return _signed(g), _signed(rh), _many(th, len(p)), _many(n, len(p)), pa.array(p), pa.array(first), pa.array(last)
+    def make(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, th: pa.Array, n: pa.Array):
+        hashes = _Hashes(raw)
+        own, g, p, first, last = _anchors(hashes, begin, end, o)
+        rh, at = hashes.of(first, last + o.length, ((p - first) << 24) + (p - last)), begin[own]
+        return g.view(np.int64), rh.view(np.int64), th.to_numpy()[own], n.to_numpy()[own], p - at, first - at, last - at
 
     names = ["g", "rh", "th", "n", "p", "first", "last"]
-    return table.select("text", "th", "n").mapInArrow(_each(make, names), ", ".join(f"{c} long" for c in names))
+    long = table.where(F.col("n") >= o.length).select("text", "th", "n")
+    return long.mapInArrow(_each(make, names), ", ".join(f"{c} long" for c in names))
 
 
 def _shared(rows: DataFrame, key: str, value: str, o: SubstringOptions) -> DataFrame:
@@ -196,19 +227,20 @@ def _chunks(table: DataFrame, places: DataFrame, o: SubstringOptions) -> DataFra
     ``s`` is the first window's start, ``a`` how far it is before the core, ``w`` the number of windows.
     """
 
-    def make(text: str, th: int, n: int, places: list[int], firsts: list[int], lasts: list[int]):
-        hashes = _Hashes(np.frombuffer(_bytes(text), np.uint8))
-        p = np.array(places, np.int64)
-        most, least = p - np.array(firsts, np.int64), p - np.array(lasts, np.int64)  # how far before p windows start
-        out = []
-        for j in range(int(least.min()) // o.chunk, int(most.max()) // o.chunk + 1):
-            l0, l1 = np.maximum(least, j * o.chunk), np.minimum(most, (j + 1) * o.chunk - 1)
-            k = np.flatnonzero(l0 <= l1)
-            core, a = p[k] - j * o.chunk, l1[k] - j * o.chunk
-            s, w = core - a, l1[k] - l0[k] + 1
-            out.append((hashes.of(core, core + o.core, 1 + j), hashes.of(s, s + w - 1 + o.length, a), s, a, w))
-        ck, cr, s, a, w = (np.concatenate([x[i] for x in out]) for i in range(5))
-        return _signed(ck), _signed(cr), _many(th, len(s)), _many(n, len(s)), pa.array(s), pa.array(a.astype(np.int32)), pa.array(w.astype(np.int32))
+    def make(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, th: pa.Array, n: pa.Array, *lists: pa.Array):
+        hashes = _Hashes(raw)
+        places, ends = _values(lists[0])
+        own = np.repeat(np.arange(len(begin)), np.diff(ends))
+        most, least = (places - _values(x)[0] for x in lists[1:])  # how far before p windows start
+        low = least // o.chunk
+        size = most // o.chunk - low + 1
+        j = np.repeat(low, size) + _counted(size)
+        own, p, most, least = (np.repeat(x, size) for x in (own, places + begin[own], most, least))
+        l0, l1 = np.maximum(least, j * o.chunk), np.minimum(most, (j + 1) * o.chunk - 1)
+        core, a = p - j * o.chunk, l1 - j * o.chunk
+        s, w = core - a, l1 - l0 + 1
+        ck, cr = hashes.of(core, core + o.core, 1 + j), hashes.of(s, s + w - 1 + o.length, a)
+        return ck.view(np.int64), cr.view(np.int64), th.to_numpy()[own], n.to_numpy()[own], s - begin[own], a.astype(np.int32), w.astype(np.int32)
 
     items = ["p", "first", "last"]
     rows = _at_places(table, places, items, o).select("text", "th", "n", *items)
@@ -218,12 +250,13 @@ def _chunks(table: DataFrame, places: DataFrame, o: SubstringOptions) -> DataFra
 def _with_bytes(table: DataFrame, chunks: DataFrame, o: SubstringOptions) -> DataFrame:
     """Mixed chunks with their bytes before and after the core (``left``, ``right``)."""
 
-    def make(text: str, th: int, n: int, ck: list[int], s: list[int], a: list[int], w: list[int], m: list[int]):
-        raw = _bytes(text)
-        left = [raw[x : x + y] for x, y in zip(s, a, strict=True)]
-        right = [raw[x + y + o.core : x + z - 1 + o.length] for x, y, z in zip(s, a, w, strict=True)]
-        long = pa.int64()
-        return pa.array(ck, long), _many(th, len(s)), _many(n, len(s)), pa.array(s, long), pa.array(a, long), pa.array(w, long), pa.array(m, long), pa.array(left, pa.binary()), pa.array(right, pa.binary())
+    def make(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, th: pa.Array, n: pa.Array, *lists: pa.Array):
+        ends = _values(lists[0])[1]
+        own = np.repeat(np.arange(len(begin)), np.diff(ends))
+        ck, s, a, w, m = (_values(x)[0].astype(np.int64) for x in lists)
+        at = s + begin[own]
+        left, right = _binaries(raw, at, a), _binaries(raw, at + a + o.core, w - a + o.chunk - 2)
+        return ck, th.to_numpy()[own], n.to_numpy()[own], s, a, w, m, left, right
 
     items = ["ck", "s", "a", "w", "m"]
     rows = _at_places(table, chunks.withColumn("key", F.concat_ws(":", "th", "n")), items, o).select("text", "th", "n", *items)
@@ -231,11 +264,6 @@ def _with_bytes(table: DataFrame, chunks: DataFrame, o: SubstringOptions) -> Dat
     return rows.mapInArrow(_each(make, [*names, "left", "right"]), ", ".join(f"{c} long" for c in names) + ", left binary, right binary")
 
 
-def _joined(column: pa.ChunkedArray) -> np.ndarray:
-    """The bytes of all values of a binary column, one after another."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-
-
 def repeated_windows(ck: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.ndarray, w: np.ndarray, o: SubstringOptions, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
     """Chunk number of every window, and whether it equals a window of another chunk: of its neighbours in suffix
     order one has ``length`` bytes or more in common.
@@ -268,12 +296,11 @@ def repeated_windows(ck: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.
         text[starts[x] : starts[y]] = part
     text[-1] = 0
     sa, lcp = sort_suffixes(text, space)
-    far = lambda i: i + (o.core - 1) * np.searchsorted(at_core, i)  # noqa: E731  bytes before a symbol
     long_enough = space.array(len(text), bool)
     for x, y in space.blocks(len(text)):
-        here = np.array(sa[x : min(y + 1, len(text))])
-        common = far(here + lcp[x : x + len(here)]) - far(here)  # in bytes, with the suffix before
-        long_enough[here[: y - x]] = np.maximum(common, np.append(common[1:], 0)[: len(common)])[: y - x] >= o.length
+        # chunk symbols in common, with the suffix before or behind: a core has fewer on either side, so it is among them
+        common = np.append(lcp[x : min(y + 1, len(text))], 0)
+        long_enough[sa[x:y]] = np.maximum(common[: y - x], common[1 : y - x + 1]) >= o.length - o.core + 1
     out = [long_enough[np.repeat(starts[x : x + step][: n - x] + 1, w[x : x + step]) + _counted(w[x : x + step])] for x in range(0, n, step)]
     return np.repeat(np.arange(n), w), np.concatenate(out) if out else np.zeros(0, bool)
 
@@ -290,7 +317,7 @@ def _sorted_spans(rows: DataFrame, o: SubstringOptions, parent: str | None) -> D
         t = pa.Table.from_batches(parts).combine_chunks()
         ck, th, n, s, a, w = (t.column(c).to_numpy() for c in ("ck", "th", "n", "s", "a", "w"))
         with Workspace(o.memory, parent) as space:
-            at, flags = repeated_windows(ck, _joined(t.column("left")), _joined(t.column("right")), a, w, o, space)
+            at, flags = repeated_windows(ck, *(_values(t.column(c).combine_chunks())[0] for c in ("left", "right")), a, w, o, space)
         # runs of repeated windows: at has the windows' chunks, in order
         first = s[at] + np.arange(len(at)) - np.searchsorted(at, at)
         edge = np.concatenate([[True], at[1:] != at[:-1], [True]])

@@ -54,10 +54,10 @@ class Workspace:
         for a in range(first, n, self.block):
             yield a, min(n, a + self.block)
 
-    def free(self, *arrays: np.ndarray) -> None:
+    def free(self, *arrays: np.ndarray | None) -> None:
         """Files of arrays that are not needed any more."""
         for a in arrays:
-            if path := self.paths.pop(a.ctypes.data, None):
+            if a is not None and (path := self.paths.pop(a.ctypes.data, None)):
                 os.remove(path)
 
     def __enter__(self) -> Workspace:
@@ -104,7 +104,7 @@ class MonotoneQueue:
         if where[0] == self.at and not self.single[self.at]:
             here = int(np.searchsorted(where, self.at, "right"))
             both = np.concatenate([self.front, entries[:here]])
-            self.front = both[np.argsort(both["key"], kind="stable")]
+            self.front = both.take(_order(both["key"]))
             entries, where = entries[here:], where[here:]
         if len(entries):
             self.pending.append(entries.copy())
@@ -117,8 +117,8 @@ class MonotoneQueue:
         every = np.concatenate(self.pending)
         self.pending, self.held = [], 0
         where = np.searchsorted(self.bounds, every["key"], "right")
-        order = np.argsort(where, kind="stable")
-        every, where = every[order], where[order]
+        order = _order(where)
+        every, where = every.take(order), where[order]
         cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(every)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             r = int(where[a])
@@ -137,9 +137,9 @@ class MonotoneQueue:
             return []
         every = np.concatenate(self.pending)
         mine = np.searchsorted(self.bounds, every["key"], "right") == r
-        self.pending = [every[~mine]] if not mine.all() else []
+        self.pending = [every.take(np.flatnonzero(~mine))] if not mine.all() else []
         self.held = sum(x.nbytes + 150 for x in self.pending)
-        return [every[mine]] if mine.any() else []
+        return [every.take(np.flatnonzero(mine))] if mine.any() else []
 
     def _taken(self, r: int, most: int) -> np.ndarray:
         """Up to ``most`` entries of a range (or some more) in the order in which they came."""
@@ -172,7 +172,7 @@ class MonotoneQueue:
                     self.front = self._taken(r, self.space.block)
                 else:
                     both = self._taken(r, int(self.counts[r]))
-                    self.front = both[np.argsort(both["key"], kind="stable")]
+                    self.front = both.take(_order(both["key"]))
         return self.front
 
     def limit(self) -> int:
@@ -185,6 +185,23 @@ class MonotoneQueue:
         self.front = self.front[n:]
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Places in order of key, equal ones as they come: a radix sort by 16 bits at a time, as far as the keys differ."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    low = key.min()
+    rest, order = int(key.max()) - int(low), None
+    key = key - low
+    while True:
+        part = key if order is None else key[order]
+        more = np.argsort(part.astype(np.uint16), kind="stable")
+        order = more if order is None else order[more]
+        rest >>= 16
+        if not rest:
+            return order
+        key = key >> 16
+
+
 def _range_min(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minima of a[lo..hi], ends included, by a table of powers of two."""
     span = hi - lo + 1
@@ -260,16 +277,16 @@ def _sample(t: np.ndarray, n: int, of, space: Workspace) -> np.ndarray:
     return np.sort(of(np.arange(0, n, max(1, n // (4 * space.block)))))
 
 
-def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want_s: bool, total: int, seeds: np.ndarray, seed_lcp: np.ndarray, space: Workspace) -> tuple[np.ndarray, np.ndarray]:
+def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want_s: bool, total: int, seeds: np.ndarray, seed_lcp: np.ndarray | None, space: Workspace) -> tuple[np.ndarray, np.ndarray | None]:
     """Suffixes of one kind in order (S: the largest first), with their common prefixes; the end is of neither kind.
 
     ``seeds`` are sorted suffixes of the other kind, which follow those of equal first symbol.  In each step a stretch of
     keys is taken from queue and seeds of which no suffix induces one that would belong into it; what is
-    induced has 1 + the least common prefix in between in common.  A symbol that induces itself, or that has too many
+    induced has 1 + the least common prefix in between in common.  Without common prefixes of the seeds there are none.  A symbol that induces itself, or that has too many
     suffixes, is taken alone, block by block.
     """
     sign, end = (-1 if want_s else 1), len(t) - 1
-    out_s, out_l = space.array(total, np.int64), space.array(total, np.int32)
+    out_s, out_l = space.array(total, np.int64), None if seed_lcp is None else space.array(total, np.int32)
     keys_of = lambda places: sign * t[places].astype(np.int64)
 
     def induced(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,15 +300,21 @@ def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want
     done, at, cap = 0, 0, max(64, space.block // 16)
     key_at = lambda k: int(keys_of(seeds[k : k + 1])[0]) if k < len(seeds) else FAR
 
-    def emit(suffix: np.ndarray, lcp: np.ndarray) -> None:
+    def emit(suffix: np.ndarray, lcp: np.ndarray | None) -> None:
         nonlocal done
-        out_s[done : done + len(suffix)], out_l[done : done + len(suffix)] = suffix, lcp
+        out_s[done : done + len(suffix)] = suffix
+        if out_l is not None:
+            out_l[done : done + len(suffix)] = lcp
         done += len(suffix)
 
-    def push(hit: np.ndarray, to: np.ndarray, suffix: np.ndarray, lcp: np.ndarray, group: _Group | None = None) -> None:
-        hit = hit[np.argsort(to[hit], kind="stable")]
+    def push(hit: np.ndarray, to: np.ndarray, suffix: np.ndarray, lcp: np.ndarray | None, group: _Group | None = None) -> None:
+        hit = hit[_order(to[hit])]
         entries = np.empty(len(hit), _ENTRY)
         entries["key"], entries["suffix"], entries["lcp"] = to[hit], suffix[hit] - 1, -1
+        if lcp is None:
+            if len(hit):
+                queue.push(entries)
+            return
         first = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]]) if len(hit) else np.zeros(0, bool)
         near = np.flatnonzero(~first)
         if len(near):
@@ -309,28 +332,30 @@ def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want
     def alone(first: int) -> None:
         """All suffixes of one first symbol: what is and comes into the queue, then seeds."""
         nonlocal at, group
-        group = group or _Group(symbols, space)
-        group.begin()
+        if out_l is not None:
+            group = group or _Group(symbols, space)
+            group.begin()
         before, seeded = -1, False
         while True:
             head = queue.head()
             if len(head) and head["key"][0] == first:
                 n = min(space.block, int(np.searchsorted(head["key"], first, "right")))
-                suffix, lcp, now = head["suffix"][:n].copy(), head["lcp"][:n].copy(), False
+                suffix, lcp, now = head["suffix"][:n].copy(), None if out_l is None else head["lcp"][:n].copy(), False
                 queue.take(n)
             else:
                 suffix = np.array(seeds[at : at + space.block])
                 suffix = suffix[: int(np.searchsorted(keys_of(suffix), first, "right"))]
                 if not len(suffix):
                     return
-                lcp, now = np.array(seed_lcp[at : at + len(suffix)]), True
+                lcp, now = None if seed_lcp is None else np.array(seed_lcp[at : at + len(suffix)]), True
                 at += len(suffix)
-            prior = np.concatenate([[before if before >= 0 else suffix[0]], suffix[:-1]])
-            joint = lcp < 0
-            joint[0] |= now and not seeded
-            lcp = np.where(joint, np.minimum(run[suffix], run[prior]), lcp).astype(np.int32)
-            if before < 0:
-                lcp[0] = 0
+            if lcp is not None:
+                prior = np.concatenate([[before if before >= 0 else suffix[0]], suffix[:-1]])
+                joint = lcp < 0
+                joint[0] |= now and not seeded
+                lcp = np.where(joint, np.minimum(run[suffix], run[prior]), lcp).astype(np.int32)
+                if before < 0:
+                    lcp[0] = 0
             before, seeded = int(suffix[-1]), now
             if not now:
                 emit(suffix, lcp)
@@ -356,10 +381,9 @@ def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want
         ns = int(np.searchsorted(keys, until, "left"))
         q = head[:nq]
         key = np.concatenate([q["key"], keys[:ns]])
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         key = key[order]
         suffix = np.concatenate([q["suffix"], ahead[:ns]])[order]
-        lcp = np.concatenate([q["lcp"], seed_lcp[at : at + ns]])[order]
         seeded = (np.arange(len(order)) >= nq)[order]
         able, to = induced(suffix)
         bad = np.flatnonzero(np.minimum.accumulate(to) <= key)
@@ -368,15 +392,19 @@ def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want
         if cut == 0:
             alone(first)
             continue
-        key, suffix, lcp, seeded, to, able = (x[:cut] for x in (key, suffix, lcp, seeded, to, able))
+        lcp = None
+        if seed_lcp is not None:
+            lcp = np.concatenate([q["lcp"], seed_lcp[at : at + ns]])[order[:cut]]
+        key, suffix, seeded, to, able = (x[:cut] for x in (key, suffix, seeded, to, able))
         taken_q = int(np.count_nonzero(~seeded))
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        short = np.minimum(run[suffix], run[np.concatenate([suffix[:1], suffix[:-1]])])
-        joint = same & ((lcp < 0) | (seeded & ~np.concatenate([[True], seeded[:-1]])))
-        lcp = np.where(joint, short, np.where(same, lcp, 0)).astype(np.int32)
+        if lcp is not None:
+            same = np.concatenate([[False], key[1:] == key[:-1]])
+            short = np.minimum(run[suffix], run[np.concatenate([suffix[:1], suffix[:-1]])])
+            joint = same & ((lcp < 0) | (seeded & ~np.concatenate([[True], seeded[:-1]])))
+            lcp = np.where(joint, short, np.where(same, lcp, 0)).astype(np.int32)
         queue.take(taken_q)
         at += cut - taken_q
-        emit(suffix[~seeded], lcp[~seeded])
+        emit(suffix[~seeded], None if lcp is None else lcp[~seeded])
         push(np.flatnonzero(able), to, suffix, lcp)
     assert done == total
     if group is not None:
@@ -385,14 +413,14 @@ def _induce(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, want
 
 
 def _doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common prefixes in memory, by ranks of prefixes of 1, 2, 4 ... symbols."""
+    """Suffix array and common prefixes in memory, by ranks of prefixes of 1, 2, 4 ... symbols; the symbols are 0, 1, 2 ... without a gap."""
     n = len(t)
-    ranks = [np.unique(t, return_inverse=True)[1]]
+    ranks = [t]
     while ranks[-1].max() < n - 1:
         step = 1 << (len(ranks) - 1)
         key = ranks[-1] * (n + 1)
         key[:-step] += ranks[-1][step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         ranks.append(rank)
@@ -440,7 +468,7 @@ def _by_symbol(t: np.ndarray, places: np.ndarray, space: Workspace) -> np.ndarra
         entries = np.empty(b - a, _ENTRY)
         entries["suffix"], entries["lcp"] = places[a:b], 0
         entries["key"] = t[entries["suffix"]]
-        queue.push(entries[np.argsort(entries["key"], kind="stable")])
+        queue.push(entries.take(_order(entries["key"])))
 
     def drained() -> Iterator[np.ndarray]:
         while len(head := queue.head()):
@@ -450,17 +478,18 @@ def _by_symbol(t: np.ndarray, places: np.ndarray, space: Workspace) -> np.ndarra
     return _filled(len(places), np.int64, drained(), space)
 
 
-def _both(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, n_s: int, lms: np.ndarray, lcp: np.ndarray, space: Workspace):
-    """L suffixes in order, then S suffixes in order (the end first), each with common prefixes, from sorted LMS suffixes."""
+def _both(t: np.ndarray, symbols: int, run: np.ndarray, is_s: np.ndarray, n_s: int, lms: np.ndarray, lcp: np.ndarray | None, space: Workspace):
+    """L suffixes in order, then S suffixes in order (the end first), each with common prefixes, from sorted LMS suffixes.
+    Without common prefixes of these there are none."""
     large, large_lcp = _induce(t, symbols, run, is_s, False, len(t) - n_s, lms, lcp, space)
     m = len(large)
     # from the largest on, a suffix has in common with the one before it what that has with it
-    back = _filled(m, np.int32, (np.concatenate([[0] * (a == 0), large_lcp[m - b + 1 : m - max(a, 1) + 1][::-1]]) for a, b in space.blocks(m)), space)
+    back = None if lcp is None else _filled(m, np.int32, (np.concatenate([[0] * (a == 0), large_lcp[m - b + 1 : m - max(a, 1) + 1][::-1]]) for a, b in space.blocks(m)), space)
     down, down_lcp = _induce(t, symbols, run, is_s, True, n_s - 1, large[::-1], back, space)
     space.free(back)
     k = n_s - 1
     up = _filled(n_s, np.int64, (np.concatenate([[len(t) - 1] * (a == 0), down[k - b + 1 : k - max(a, 1) + 1][::-1]]) for a, b in space.blocks(n_s)), space)
-    up_lcp = _filled(n_s, np.int32, (np.concatenate([[0, 0][: (a == 0) * min(2, b)], down_lcp[k - b + 2 : k - max(a, 2) + 2][::-1]]) for a, b in space.blocks(n_s)), space)
+    up_lcp = None if lcp is None else _filled(n_s, np.int32, (np.concatenate([[0, 0][: (a == 0) * min(2, b)], down_lcp[k - b + 2 : k - max(a, 2) + 2][::-1]]) for a, b in space.blocks(n_s)), space)
     space.free(down, down_lcp)
     return large, large_lcp, up, up_lcp
 
@@ -504,14 +533,13 @@ def sort_suffixes(t: np.ndarray, space: Workspace, depth: int = 0) -> tuple[np.n
     for a, b in space.blocks(n):
         n_s, n_lms = n_s + int(np.count_nonzero(is_s[a:b])), n_lms + len(starts(max(a, 1), b))
     lms = _filled(n_lms, np.int64, (starts(a, b) for a, b in space.blocks(n, 1)), space)
-    no_lcp = _filled(n_lms, np.int32, (np.zeros(b - a, np.int32) for a, b in space.blocks(n_lms)), space)
     if n_lms == 1:
-        order, lcp = lms, no_lcp
+        order, lcp = lms, np.zeros(1, np.int32)
     else:
         # names of the strings from one LMS place to the next, sorted by inducing from unsorted places
         rough = _by_symbol(t, lms, space)
-        large, large_lcp, up, up_lcp = _both(t, symbols, run, is_s, n_s, rough, no_lcp, space)
-        space.free(rough, no_lcp, large, large_lcp, up_lcp)
+        large, _, up, _ = _both(t, symbols, run, is_s, n_s, rough, None, space)
+        space.free(rough, large)
 
         def only_lms() -> Iterator[np.ndarray]:
             for a, b in space.blocks(n_s):

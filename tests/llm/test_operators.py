@@ -150,6 +150,45 @@ def test_substrings_sort_on_disk(docs, corpus, monkeypatch):
     assert all((x == y).all() for x, y in zip(*flags, strict=True)) and spilled[0][0] > 0 and spilled[0][1] > 0 and spilled[1][0] == 0
 
 
+def test_anchors_of_texts_in_a_row():
+    """Many short texts are worked on together, and each has the anchors that it has alone."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    o = substrings.SubstringOptions(length=60, gram=20)
+    texts = [bytes(rng.choices(b"abc", k=rng.choice([60, 61, 90, 400]))) for _ in range(300)] + [b"a" * 150, b"ab" * 100, b"a" * 150]
+
+    def found(raws):
+        end = np.cumsum([len(x) for x in raws])
+        begin = end - [len(x) for x in raws]
+        own, gram, *places = substrings._anchors(substrings._Hashes(np.frombuffer(b"".join(raws), np.uint8)), begin, end, o)
+        return own.tolist(), list(zip(gram.tolist(), *((x - begin[own]).tolist() for x in places), strict=True))
+
+    own, got = found(texts)
+    alone = [found([x])[1] for x in texts]
+    assert got == [x for each in alone for x in each] and own == [k for k, each in enumerate(alone) for _ in each]
+    for text, each in zip(texts, alone, strict=True):  # each window has an owner
+        owned = {s for _, _, first, last in each for s in range(first, last + 1)}
+        assert owned == set(range(len(text) - o.length + 1))
+    calls = []
+    each = substrings._each(lambda raw, begin, end, n: calls.append(len(begin)) or (end - begin, n.to_numpy()), ["size", "n"])
+    batch = pa.RecordBatch.from_pydict({"text": [x.decode() for x in texts], "n": [len(x) for x in texts]}).slice(1)
+    out = pa.Table.from_batches(each(iter([batch])))
+    assert out["size"].to_pylist() == out["n"].to_pylist() == [len(x) for x in texts[1:]] and len(calls) < 10
+
+
+def test_names_are_sorted_without_common_prefixes(monkeypatch, tmp_path):
+    """What only names the strings between LMS places takes no minima: each suffix has one at most."""
+    from sparkloom.llm import suffix
+
+    asked, least = [], suffix._range_min
+    monkeypatch.setattr(suffix, "_range_min", lambda a, lo, hi: asked.append(len(lo)) or least(a, lo, hi))
+    t = np.append(np.random.default_rng(2).integers(1, 30, 50_000), 0)
+    with Workspace(1 << 25, str(tmp_path)) as space:
+        sort_suffixes(t, space)
+    assert 0 < sum(asked) <= len(t)
+
+
 def test_substrings_empty(empty):
     assert substrings.deduplicate_substrings(empty).count() == 0
 
