@@ -97,11 +97,12 @@ def _clear() -> None:
 
 
 class Saved:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors.  ``plain`` ones, of hashes that hardly
+    repeat, are written without dictionaries of their values."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, plain: bool = False):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
-        df.write.parquet(self.path)
+        df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         self.df._saved_at = self.path
 
@@ -109,8 +110,8 @@ class Saved:
         _delete(self.spark, self.path)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    return Saved(df, label).df
+def saved(df: DataFrame, label: str, plain: bool = False) -> DataFrame:
+    return Saved(df, label, plain).df
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -38,17 +38,17 @@ class LineOptions:
 
 
 def _shingles(line: Column, o: LineOptions) -> Column:
-    """XXH64 of every shingle, in an array: sets of numbers take a fraction of the time of sets of texts."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{o.width}}}))."), F.lit(1))  # the last dot: no match begins inside a surrogate pair
-    return F.transform(F.when(F.length(line) <= o.width, F.array(line)).otherwise(every), lambda x: F.xxhash64(x))
+    """XXH64 of every shingle, in an array, as ``_hashed`` has them."""
+    one = lambda e: F.transform(F.sequence(F.lit(0), _last(e, o)), lambda k: F.xxhash64(F.substring(e, 4 * k + 1, F.lit(4 * o.width))))
+    return F.get(F.transform(F.array(_coded(line)), one), F.lit(0))  # as a lambda's argument the line is coded once, not for every shingle
 
 
-def _coded(line: str) -> Column:
+def _coded(line: str | Column) -> Column:
     """The line as UTF-32, where a shingle is a slice at a known place."""
     return F.encode(line, "UTF-32").alias("e")
 
 
-def _last(coded: str, o: LineOptions) -> Column:
+def _last(coded: str | Column, o: LineOptions) -> Column:
     return F.greatest(F.lit(0), (F.octet_length(coded) / 4).cast("int") - o.width)
 
 
@@ -89,8 +89,9 @@ def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, own, pos, line, h)``: lines with more than white space of documents with an id; ``own`` is the whole text's XXH64
     and tells rows with one id apart, ``h`` the line's."""
-    split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("own"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return split.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("h", F.xxhash64("line"))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+    split = own.select("doc", "own", F.posexplode(F.split("text", "\n")).alias("pos", "line"))  # own is worked out for a text, not for each of its lines
+    return split.where(F.ltrim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("h", F.xxhash64("line"))
 
 
 def _filled(minima: str, o: LineOptions) -> Column:
@@ -116,7 +117,9 @@ def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     lines = F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n")
     folded = held.groupBy("h").agg(F.min("doc").alias("first_doc"), lines, F.max("size").alias("size"), *minima)
     kept = ["h", "first_doc", "n", "size"]
-    filled = folded.select(*kept, F.array(*[f"m{j}" for j in range(o.bins)]).alias("minima")).select(*kept, _filled("minima", o).alias("filled"))
+    every = [F.col(f"m{j}") for j in range(o.bins)]
+    missing = folded.select(*kept, (F.greatest(*every) >= F.lit(1 << 32) if o.bins > 1 else F.lit(True)).alias("missing"), F.array(*every).alias("minima"))
+    filled = missing.select(*kept, F.when(F.col("missing"), _filled("minima", o)).otherwise(F.col("minima")).alias("filled"))
     return filled.select(*kept, *[F.get("filled", F.lit(j)).cast("int").alias(f"m{j}") for j in range(o.bins)])
 
 
@@ -160,7 +163,7 @@ class LineSets:
         return split.withColumn("h", F.xxhash64("line")).join(few(wanted, rows), "h").where("doc = first_doc").select("h", "line")
 
     def prepare(self, wanted: DataFrame) -> None:
-        self.signed = saved(self.known.join(few(wanted, self.o.broadcast_rows), "h", "left_semi"), "signed")
+        self.signed = saved(self.known.join(few(wanted, self.o.broadcast_rows), "h", "left_semi"), "signed", plain=True)
         self.sketches: DataFrame | None = None
         self.texts = saved(self.lines(self.signed.select("h", "first_doc")), "texts")
 
@@ -180,12 +183,12 @@ class LineSets:
     def _sketched(self, ranked: DataFrame) -> DataFrame:
         if self.sketches is None:  # later ones are some of the first
             asked = self.texts.join(few(ranked.select("h").distinct(), self.o.broadcast_rows), "h", "left_semi")
-            # dealt out by line, all that follows stays in its task and in generated code
-            each = _hashed(asked.repartition("h"), self.o).select("h", "x").distinct().withColumn("w", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1))
+            # dealt out by line, and a line's shingles told apart in its row: the aggregate holds a row a line, not one a shingle
+            each = asked.repartition("h").select("h", F.explode(F.array_distinct(_shingles(F.col("line"), self.o))).alias("x"))
             bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
-            words = each.groupBy("h", "w").agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("n")).groupBy("h")
-            held = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]
-            self.sketches = saved(words.agg(F.sum("n").cast("int").alias("size"), *held), "sketches")
+            each = each.select("h", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1).alias("w"), bit.alias("bit"))
+            held = [F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(0)).alias(f"k{w}") for w in range(SKETCH)]
+            self.sketches = saved(each.groupBy("h").agg(F.count("*").cast("int").alias("size"), *held), "sketches")
         return self.sketches
 
     def _held(self, ranked: DataFrame, by, alike, done: int, until: int) -> DataFrame:
@@ -201,8 +204,9 @@ class LineSets:
         both = pairs
         for c in "ab":
             both = both.join(self.texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line")), c)
-        sets = [_shingles(F.col(f"{c}_line"), self.o) for c in "ab"]
-        counted = saved(both.select(*pairs.columns, F.size(F.array_intersect(*sets)).alias("shared"), F.size(F.array_union(*sets)).alias("all")), "counted")
+        both = both.select(*pairs.columns, *[F.array_distinct(_shingles(F.col(f"{c}_line"), self.o)).alias(f"{c}_set") for c in "ab"])
+        shared = both.select(*pairs.columns, F.size("a_set").alias("na"), F.size("b_set").alias("nb"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
+        counted = saved(shared.select(*pairs.columns, "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all")), "counted")
         return counted.where(F.col("shared") >= self.o.similarity * F.col("all") - 1e-9).select(*pairs.columns)
 
 
@@ -225,7 +229,7 @@ def duplicate_lines(docs: DataFrame, o: LineOptions = LineOptions(), id_col: str
     """
     with scratch() as keep:
         occ = occurrences(docs, id_col, text_col)
-        known = saved(signatures(occ, o), "lines")
+        known = saved(signatures(occ, o), "lines", plain=True)
         graph = similar_lines(docs, known, o, id_col, text_col)
         named = known.select("h", "first_doc", "n").join(graph, "h", "left").where("n > 1 or component is not null")
         named = saved(named.withColumn("component", F.coalesce("component", "h")), "named")

@@ -951,3 +951,18 @@ def test_line_comparison_takes_numbers(spark):
     kind = df.select(lines._shingles(F.col("line"), o).alias("s"))
     assert kind.schema["s"].dataType.simpleString() == "array<bigint>"
     assert [len(set(r.s)) for r in kind.collect()] == [len(line_shingles(x)) for x in texts]
+
+
+def test_lines_have_one_hash_of_a_shingle(spark):
+    """Comparisons and sketches take the hashes that signatures are made of; sketches hold a row for each line, not for each shingle."""
+    from sparkloom.llm import lines
+
+    o = lines.LineOptions()
+    texts = ["abcdefghabcdefghabcdefgh", "short", "é𝄞 " * 40 + "tail", "exactly8", "漢字かな" * 9, "a longer line of words that do not repeat at all, or hardly"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "h long, line string")
+    each = defaultdict(list)
+    for r in lines._hashed(df, o).collect():
+        each[r.h].append((r.k, r.x))
+    for r in df.select("h", lines._shingles(F.col("line"), o).alias("s")).collect():
+        assert r.s == [x for _, x in sorted(each[r.h])]
+        assert [x & (2**64 - 1) for x in r.s] == [xxhash.xxh64(texts[r.h][k : k + o.width].encode("utf-32-be"), seed=42).intdigest() for k in range(max(1, len(texts[r.h]) - o.width + 1))]
