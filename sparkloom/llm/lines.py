@@ -110,14 +110,14 @@ def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     a line that a third of all documents hold nor its text is sent more than once a task.
     """
     each = _hashed(occ.select("doc", "h", "line"), o, bound=o.sure * o.bins)
-    # y has the bin above 32 bits of hash: XOR a bin's number it is under 2^32 for that bin alone
-    place = F.shiftright(F.col("x").bitwiseAND(0xFFFFFF) * o.bins, 24)
-    held = each.select("doc", "h", "k", "size", F.shiftleft(place, 32).bitwiseOR(F.shiftrightunsigned("x", 33)).alias("y"))
-    minima = [F.min(F.col("y").bitwiseXOR(F.lit(j << 32))).alias(f"m{j}") for j in range(o.bins)]
+    bin_ = F.shiftright(F.col("x").bitwiseAND(0xFFFFFF) * o.bins, 24).alias("bin")
+    held = each.select("doc", "h", "k", "size", bin_, F.shiftrightunsigned("x", 33).alias("y"))
+    # a shingle changes the minimum of its bin alone: a filter costs the other bins a comparison, not a minimum read and written
+    minima = [F.expr(f"min(y) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(o.bins)]
     lines = F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n")
     folded = held.groupBy("h").agg(F.min("doc").alias("first_doc"), lines, F.max("size").alias("size"), *minima)
     kept = ["h", "first_doc", "n", "size"]
-    every = [F.col(f"m{j}") for j in range(o.bins)]
+    every = [F.coalesce(f"m{j}", F.lit(1 << 32)) for j in range(o.bins)]
     missing = folded.select(*kept, (F.greatest(*every) >= F.lit(1 << 32) if o.bins > 1 else F.lit(True)).alias("missing"), F.array(*every).alias("minima"))
     filled = missing.select(*kept, F.when(F.col("missing"), _filled("minima", o)).otherwise(F.col("minima")).alias("filled"))
     return filled.select(*kept, *[F.get("filled", F.lit(j)).cast("int").alias(f"m{j}") for j in range(o.bins)])

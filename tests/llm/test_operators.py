@@ -966,3 +966,22 @@ def test_lines_have_one_hash_of_a_shingle(spark):
     for r in df.select("h", lines._shingles(F.col("line"), o).alias("s")).collect():
         assert r.s == [x for _, x in sorted(each[r.h])]
         assert [x & (2**64 - 1) for x in r.s] == [xxhash.xxh64(texts[r.h][k : k + o.width].encode("utf-32-be"), seed=42).intdigest() for k in range(max(1, len(texts[r.h]) - o.width + 1))]
+
+
+def test_line_minima_are_folded_under_filters(spark):
+    """A shingle is held against the minimum of its own bin alone, and the minima are those of its bins' hashes."""
+    from sparkloom.llm import lines
+
+    o = lines.LineOptions()
+    texts = ["short", "é𝄞 " * 40 + "tail", " ".join(f"word{k} of a long line" for k in range(60)), "a longer line of words that do not repeat at all, or hardly"]
+    df = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "doc long, h long, line string")
+    got = lines.signatures(df, o)
+    assert "FILTER (WHERE (bin" in got._jdf.queryExecution().executedPlan().toString()
+    least = defaultdict(dict)
+    for r in lines._hashed(df.select("h", "line"), o, bound=o.sure * o.bins).collect():
+        bin_, y = ((r.x & 0xFFFFFF) * o.bins) >> 24, (r.x & (2**64 - 1)) >> 33
+        least[r.h][bin_] = min(y, least[r.h].get(bin_, y))
+    for r in got.collect():
+        minima = [r[f"m{j}"] for j in range(o.bins)]
+        assert all(minima[j] == y for j, y in least[r.h].items()) and set(minima) == set(least[r.h].values())
+        assert r.n == 1 and r.size == max(1, len(texts[r.h]) - 7)
