@@ -39,7 +39,7 @@ class LineOptions:
 
 def _shingles(line: Column, o: LineOptions) -> Column:
     """XXH64 of every shingle, in an array, as ``_hashed`` has them."""
-    one = lambda e: F.transform(F.sequence(F.lit(0), _last(e, o)), lambda k: F.xxhash64(F.substring(e, 4 * k + 1, F.lit(4 * o.width))))
+    one = lambda e: F.transform(F.sequence(F.lit(1), 4 * _last(e, o) + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(e, at, F.lit(4 * o.width))))
     return F.get(F.transform(F.array(_coded(line)), one), F.lit(0))  # as a lambda's argument the line is coded once, not for every shingle
 
 
@@ -59,12 +59,15 @@ def _hashed(lines: DataFrame, o: LineOptions, bound: float | None = None) -> Dat
     """
     kept = [c for c in lines.columns if c != "line"]
     sized = lines.select(*kept, _coded("line")).select(*kept, "e", (_last("e", o) + 1).alias("size"))
-    each = sized.select(*kept, "e", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
-    each = each.select(*kept, "size", "k", F.expr(f"xxhash64(substring(e, 4 * k + 1, {4 * o.width}))").alias("x"))
+    place, hashed = F.shiftright(F.col("at") - 1, 2).alias("k"), F.expr(f"xxhash64(substring(e, at, {4 * o.width}))")
+    at = F.explode(F.sequence(F.lit(1), 4 * F.col("size") - 3, F.lit(4))).alias("at")
     if bound is None:
-        return each
-    most = F.lit(bound * 2.0**63) / F.col("size")
-    return each.where((F.col("k") == 0) | (F.shiftrightunsigned("x", 1).cast("double") < most))
+        return sized.select(*kept, "e", "size", at).select(*kept, "size", place, hashed.alias("x"))
+    most = F.when(F.col("size") <= bound, F.lit(2**63 - 1)).otherwise((F.lit(bound * 2.0**63) / F.col("size")).cast("long"))  # once a line
+    # what depends on the partition isn't copied into the filter: else shingles that are held would be cut and hashed twice
+    once = hashed.bitwiseXOR(F.spark_partition_id() * 0)
+    each = sized.select(*kept, "e", "size", most.alias("most")).select(*kept, "e", "size", "most", at).select(*kept, "size", "most", "at", once.alias("x"))
+    return each.where((F.col("at") == 1) | (F.shiftrightunsigned("x", 1) <= F.col("most"))).select(*kept, "size", place, "x")
 
 
 def _agree(a: str, b: str, o: LineOptions) -> Column:
@@ -114,8 +117,8 @@ def signatures(occ: DataFrame, o: LineOptions) -> DataFrame:
     held = each.select("doc", "h", "k", "size", bin_, F.shiftrightunsigned("x", 33).alias("y"))
     # a shingle changes the minimum of its bin alone: a filter costs the other bins a comparison, not a minimum read and written
     minima = [F.expr(f"min(y) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(o.bins)]
-    lines = F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n")
-    folded = held.groupBy("h").agg(F.min("doc").alias("first_doc"), lines, F.max("size").alias("size"), *minima)
+    line = [F.expr(f"{what} FILTER (WHERE k = 0)").alias(name) for what, name in (("min(doc)", "first_doc"), ("count(*)", "n"), ("max(size)", "size"))]
+    folded = held.groupBy("h").agg(*line, *minima)
     kept = ["h", "first_doc", "n", "size"]
     every = [F.coalesce(f"m{j}", F.lit(1 << 32)) for j in range(o.bins)]
     missing = folded.select(*kept, (F.greatest(*every) >= F.lit(1 << 32) if o.bins > 1 else F.lit(True)).alias("missing"), F.array(*every).alias("minima"))
@@ -165,7 +168,7 @@ class LineSets:
     def prepare(self, wanted: DataFrame) -> None:
         self.signed = saved(self.known.join(few(wanted, self.o.broadcast_rows), "h", "left_semi"), "signed", plain=True)
         self.sketches: DataFrame | None = None
-        self.texts = saved(self.lines(self.signed.select("h", "first_doc")), "texts")
+        self.texts = saved(self.lines(self.signed.select("h", "first_doc")), "texts", plain=True)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         signed = self.signed.drop("first_doc", "n")
@@ -187,7 +190,7 @@ class LineSets:
             each = asked.repartition("h").select("h", F.explode(F.array_distinct(_shingles(F.col("line"), self.o))).alias("x"))
             bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
             each = each.select("h", F.shiftrightunsigned("x", 6).bitwiseAND(SKETCH - 1).alias("w"), bit.alias("bit"))
-            held = [F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(0)).alias(f"k{w}") for w in range(SKETCH)]
+            held = [F.coalesce(F.expr(f"bit_xor(bit) FILTER (WHERE w = {w})"), F.lit(0)).alias(f"k{w}") for w in range(SKETCH)]
             self.sketches = saved(each.groupBy("h").agg(F.count("*").cast("int").alias("size"), *held), "sketches")
         return self.sketches
 
@@ -204,10 +207,13 @@ class LineSets:
         both = pairs
         for c in "ab":
             both = both.join(self.texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line")), c)
-        both = both.select(*pairs.columns, *[F.array_distinct(_shingles(F.col(f"{c}_line"), self.o)).alias(f"{c}_set") for c in "ab"])
-        shared = both.select(*pairs.columns, F.size("a_set").alias("na"), F.size("b_set").alias("nb"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
-        counted = saved(shared.select(*pairs.columns, "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all")), "counted")
-        return counted.where(F.col("shared") >= self.o.similarity * F.col("all") - 1e-9).select(*pairs.columns)
+        both = both.select(*pairs.columns, *[_shingles(F.col(f"{c}_line"), self.o).alias(f"{c}_each") for c in "ab"])
+        united = both.select("*", F.size(F.array_union("a_each", "b_each")).alias("all"))
+        # at most so many are shared, fewer if a line repeats some: where that is not enough, none are looked up
+        most, enough = F.size("a_each") + F.size("b_each") - F.col("all"), self.o.similarity * F.col("all") - 1e-9
+        shared = F.when(most >= enough, F.size(F.array_intersect("a_each", "b_each"))).otherwise(most).alias("shared")
+        counted = saved(united.select(*pairs.columns, shared, "all"), "counted")
+        return counted.where(F.col("shared") >= enough).select(*pairs.columns)
 
 
 def similar_lines(docs: DataFrame, known: DataFrame, o: LineOptions, id_col: str, text_col: str) -> DataFrame:

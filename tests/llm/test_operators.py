@@ -985,3 +985,43 @@ def test_line_minima_are_folded_under_filters(spark):
         minima = [r[f"m{j}"] for j in range(o.bins)]
         assert all(minima[j] == y for j, y in least[r.h].items()) and set(minima) == set(least[r.h].values())
         assert r.n == 1 and r.size == max(1, len(texts[r.h]) - 7)
+
+
+def test_line_shingles_are_hashed_once(spark):
+    """A shingle that is held isn't cut and hashed a second time behind the filter, and what is held is what the bound says."""
+    from sparkloom.llm import lines
+
+    o = lines.LineOptions()
+    texts = ["short", "x" * 300, "é𝄞 " * 40 + "tail", "y" * 126 + "z", " ".join(f"word{k} of a long line" for k in range(60))]
+    df = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "doc long, h long, line string")
+    plan = lines.signatures(df, o)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(substring(") == 1
+    every = defaultdict(list)
+    for r in lines._hashed(df.select("h", "line"), o).collect():
+        every[r.h].append((r.k, r.x))
+    held = defaultdict(list)
+    for r in lines._hashed(df.select("h", "line"), o, bound=o.sure * o.bins).collect():
+        held[r.h].append((r.k, r.x))
+    for h, each in every.items():
+        most = o.sure * o.bins * 2**63 / len(each)
+        assert sorted(held[h]) == sorted((k, x) for k, x in each if k == 0 or (x & (2**64 - 1)) >> 1 < most)
+    assert len(held[4]) < len(every[4]) and all(len(held[h]) == len(every[h]) for h in (0, 3))
+
+
+def test_line_pairs_are_compared_exactly(spark):
+    """Lines of repeated shingles, pairs on and around the similarity, and pairs that their number of shingles alone rules out."""
+    from sparkloom.llm import lines
+
+    rng, o, pairs = random.Random(5), lines.LineOptions(), [("a" * 60, "a" * 9), ("ab" * 40, "ba" * 9), ("short", "short!"), ("abcdefgh" * 9, "abcdefgh" * 3 + "x"), ("é𝄞 " * 30, "é𝄞 " * 12)]
+    for k in range(300):
+        a = "".join(rng.choices("ab" if k % 3 == 0 else "abcdefgh ", k=rng.randrange(8, 150)))
+        at = rng.randrange(len(a))
+        pairs.append((a, a[:at] + rng.choice(("", "q", a[:30])) + a[at + rng.randrange(12) :] + a[: rng.choice((0, 0, 40))]))
+    known = {x: n for n, x in enumerate(sorted({x for pair in pairs for x in pair}))}
+    sets = lines.LineSets(None, None, o, "h", "line")
+    sets.texts = spark.createDataFrame([(n, x) for x, n in known.items()], "h long, line string")
+    asked = spark.createDataFrame([(known[a], known[b], k) for k, (a, b) in enumerate(pairs)], "a long, b long, k long")
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    want = {k for k, (a, b) in enumerate(pairs) if alike(line_shingles(a), line_shingles(b))}
+    found = sets.similar(asked)
+    assert found.columns == ["a", "b", "k"] and {r.k for r in found.collect()} == want and 20 < len(want) < len(pairs) - 20
